@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from . import decontaminate, exact_dedup, license_scan, token_output
 
-def queries() -> dict:
-    from . import exact_dedup
 
+def queries() -> dict:
     return {
+        "op3_license_scan": license_scan.op3_license_scan,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op10_token_output": token_output.op10_token_output,
     }
 
 
 def oracle_sql() -> dict:
-    from . import exact_dedup
-
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
