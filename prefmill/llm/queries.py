@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, token_output
+from . import decontaminate, exact_dedup, language_id, license_scan, pieces, token_output
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
+        "op5_pieces": pieces.op5_pieces,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op10_token_output": token_output.op10_token_output,
