@@ -25,15 +25,20 @@ def encode(values: np.ndarray, block: int = BLOCK) -> dict:
     if len(at):
         v = v.copy()
         v[at] = 0
+    if int(v.max(initial=0)) < 1 << 32:
+        v = v.astype(np.uint32)
     blocks = -(-n // block)
     wide = block + 240  # so that a word may read zeros beyond its block
-    grid = np.zeros((blocks, wide), np.uint64)
-    full = np.zeros(blocks * block, np.uint64)
+    grid = np.zeros((blocks, wide), v.dtype)
+    full = np.zeros(blocks * block, v.dtype)
     full[:n] = v
     grid[:, :block] = full.reshape(blocks, block)
-    width = np.zeros(grid.shape, np.uint8)
-    for b in sorted({int(x) for x in BITS}, reverse=True):  # the narrowest class that holds the value
-        width[grid < (np.uint64(1) << np.uint64(b))] = b
+    classes = np.unique(BITS)  # the narrowest class that holds the value
+    tops = np.uint64(1) << classes.astype(np.uint64)
+    if int(v.max(initial=0)) < 1 << 16:
+        width = classes.astype(np.uint8)[np.searchsorted(tops, np.arange(1 << 16, dtype=np.uint64), side="right")][grid]
+    else:
+        width = classes.astype(np.uint8)[np.searchsorted(tops, grid.reshape(-1), side="right")].reshape(grid.shape)
     choice = np.full(grid.shape, 15, np.uint8)
     most, span = width, 1
     runs = {1: width}
@@ -42,10 +47,14 @@ def encode(values: np.ndarray, block: int = BLOCK) -> dict:
         nxt[:, :-span] = np.maximum(most[:, :-span], most[:, span:])
         span *= 2
         runs[span] = most = nxt
+        if span >= 8 and nxt[:, :block].min(initial=60) > 6:
+            break  # no word of that many values or more
     for s in range(14, -1, -1):
         c, b = int(COUNTS[s]), int(BITS[s])
         p = 1 << (c.bit_length() - 1)
-        high = runs[min(p, 128)]
+        if p not in runs:
+            continue
+        high = runs[p]
         if c > p:
             high = high.copy()
             high[:, : wide - (c - p)] = np.maximum(high[:, : wide - (c - p)], high[:, c - p :])
@@ -74,7 +83,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> dict:
     for k in range(2, 16):
         pick = np.flatnonzero(s == k)
         if len(pick):
-            part = grid[r[pick, None], p[pick, None] + np.arange(COUNTS[k])]
+            part = grid[r[pick, None], p[pick, None] + np.arange(COUNTS[k])].astype(np.uint64)
             words[pick] |= np.bitwise_or.reduce(part << (np.arange(COUNTS[k]) * BITS[k]).astype(np.uint64), axis=1)
     offsets = np.searchsorted(r, rows).astype(np.uint32)
     return {"words": words, "offsets": offsets, "escape_at": at.astype(np.uint32), "escapes": escapes, "n": n}

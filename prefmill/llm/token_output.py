@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,18 @@ from . import common, simple8b
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SEGMENT = 1 << 18
-CACHE = 400_000
+CACHE = 500_000
 _ADJOINING = re.compile(r"\s | \s")
+#: Byte-level BPE always cuts between a letter and these.
+_MARKS = ".,;:!?)\n"
 _SEGMENT_SQL = "part int, seq int, before long, doc_ids array<long>, lengths array<int>, n int, words binary, offsets binary, escape_at binary, escapes binary"
 
 
 class PieceEncoder:
-    """Ids of a text as little-endian 32-bit integers; pieces are cached, CACHE of them at most."""
+    """Ids of a text as little-endian 32-bit integers.
+
+    Pieces (without their leading space) and their letter cores are cached, CACHE of each at most; a cache that is
+    full is emptied. Cores that are not cached are encoded many at a time, joined by their spaces."""
 
     def __init__(self, path: str):
         import os
@@ -48,45 +55,60 @@ class PieceEncoder:
         pieces = self.tok.get_vocab()
         self.begins = np.zeros(max(pieces.values()) + 1, bool)
         self.begins[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it."""
+        out = []
+        for k in range(0, len(pieces), 500):
+            some = pieces[k : k + 500]
+            blob = self._ids([" " + " ".join(some)])[0]
+            at = (np.flatnonzero(self.begins[np.frombuffer(blob, "<u4")]) * 4).tolist()
+            if len(at) == len(some):
+                out += [blob[i:j] for i, j in zip(at, at[1:] + [len(blob)])]
+            else:
+                out += self._ids([" " + p for p in some])
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
-        spaced = [p for p in pieces if p[:1] == " "]
-        for k in range(0, len(spaced), 2000):
-            some = spaced[k : k + 2000]
-            ids = self._ids(["".join(some)])[0]
-            begin = np.flatnonzero(self.begins[ids])
-            if len(begin) == len(some):
-                self.cache.update(zip(some, (x.tobytes() for x in np.split(ids, begin[1:]))))
-            else:
-                self.cache.update(zip(some, (x.tobytes() for x in self._ids(some))))
-        rest = [p for p in pieces if p[:1] != " "]
-        self.cache.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+        cores = [p.rstrip(_MARKS) for p in pieces]
+        plain = [c.isalpha() for c in cores]
+        whole = [p for p, ok in zip(pieces, plain) if not ok]
+        if whole:
+            self.pieces.update(zip(whole, self._spaced(whole)))
+            pieces, cores = list(compress(pieces, plain)), list(compress(cores, plain))
+        ends = [p[len(c) :] for p, c in zip(pieces, cores)]
+        new = list(set(cores).difference(self.cores))
+        self.cores.update(zip(new, self._spaced(new)))
+        some = list(set(ends).difference(self.ends))
+        self.ends.update(zip(some, self._ids(some)))
+        self.pieces.update(zip(pieces, map(add, map(self.cores.__getitem__, cores), map(self.ends.__getitem__, ends))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cut: list = []
-        for t in texts:
-            if _ADJOINING.search(t) or t[:1] == " " or t[-1:] == " ":
-                cut.append(None)
-            else:
-                first, *more = t.split(" ")
-                cut.append([first, *map(" ".__add__, more)])
-        need = {p for c in cut if c for p in c if p not in self.cache}
+        for cache in (self.pieces, self.cores, self.ends):
+            if len(cache) > CACHE:
+                cache.clear()
+        odd = [bool(_ADJOINING.search(t)) or t[:1] == " " or t[-1:] == " " for t in texts]
+        cut = [[] if o else t.split(" ") for t, o in zip(texts, odd)]
+        heads = iter(self._ids([t if o else c[0] for t, o, c in zip(texts, odd, cut)]))
+        need = set().union(*(c[1:] for c in cut)).difference(self.pieces)
         if need:
-            self._learn(sorted(need))
-        whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        get = self.cache.__getitem__
-        return [next(whole).tobytes() if c is None else b"".join(map(get, c)) for c in cut]
+            self._learn(list(need))
+        get = self.pieces.__getitem__
+        return [next(heads) + b"".join(map(get, c[1:])) for c in cut]
+
+
+_CODERS: dict[str, PieceEncoder] = {}  # a Python worker serves many tasks
 
 
 def _encode(path: str, end: int, segment: int):
     def run(batches):
-        coder, part, seq, before = PieceEncoder(path), TaskContext.get().partitionId(), 0, 0
+        coder, part, seq, before = _CODERS.get(path) or _CODERS.setdefault(path, PieceEncoder(path)), TaskContext.get().partitionId(), 0, 0
         tail = np.array([end], "<u4").tobytes()
         ids, lengths, blobs, held = [], [], [], 0
 
