@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -84,3 +85,15 @@ def batches(rows, schema: pa.Schema) -> pa.RecordBatch:
 def task_temp() -> str:
     """A folder for spills that live no longer than their task."""
     return tempfile.mkdtemp(prefix="spill-", dir=os.environ.get("TMPDIR") or None)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows at most for what runs inside: rows with long texts or sets fill a batch soon."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -65,7 +65,9 @@ def _sets(batches):
         for a, z, texts in _in_groups(b):
             s, sizes = setjoin.segments([_words(t) for t in texts])
             raw, ends = s.tobytes(), np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(sizes.astype(np.int32)), pa.array([raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], names=["id", "n", "s"])
+            whole = [raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
+            sig = [setjoin.signature(s[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(sig, pa.binary()), pa.array(whole, pa.binary())], names=["id", "n", "sig", "s"])
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -88,16 +90,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTR
     rows = common.with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     packed = rows.mapInArrow(_pack(setjoin.buckets(spark), extra), setjoin.ITEM)
     packed = common.materialise(spark, packed.withColumn("kind", F.when(F.col("blob").isNull(), 0).otherwise(1)), "op7-packed", partitionBy="kind")
-    items = packed.filter("kind = 0").select("id", F.col("owner").alias("rid"), "doc_id", "n", "k1", "k2")
-    points = items.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("point"), F.min("doc_id").alias("least"))
-    member = common.materialise(spark, items.join(points, ["k1", "k2", "n"], "left").select("id", "rid", "doc_id", "n", "point", "least"), "op7-members")
-
-    met = setjoin.cells(spark, packed.filter("kind = 1"), extra).join(member.select("id", "point", "n"), "id")
-    met = met.groupBy("h", "point").agg(F.max("c").alias("c"), F.first("n").alias("n"))
-    shared = met.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
-    met = common.materialise(spark, met.join(shared, "h").withColumn("share", F.col("c") / F.col("n")), "op7-cells")
-    wanted = met.select(F.col("point").alias("id")).distinct().join(member.select("id", "rid"), "id")
-    sets = common.materialise(spark, rows.select("rid", "text").join(wanted, "rid").select("id", "text").mapInArrow(_sets, "id long, n int, s binary"), "op7-sets")
+    items = packed.filter("kind = 0").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
+    met = common.materialise(spark, setjoin.cells(spark, packed.filter("kind = 1"), extra).withColumn("share", F.col("c") / F.col("low")), "op7-cells")
+    firsts = items.join(met.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.min("rid").alias("rid"))
+    texts = rows.select("rid", "text").join(firsts, "rid").select(F.col("point").alias("id"), "text")
+    sets = common.materialise(spark, texts.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op7-sets")
 
     links, left, known = None, met, None
     for k in range(rounds):
@@ -113,19 +110,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTR
         if left.isEmpty():
             break
     label = components(spark, links)
-    tagged = met.join(label.withColumnRenamed("id", "point"), "point", "left").select("h", "point", "n", F.coalesce("label", "point").alias("label"))
+    tagged = met.join(label.withColumnRenamed("id", "point"), "point", "left").select("h", "point", "low", F.coalesce("label", "point").alias("label"))
     mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
-    tagged = tagged.join(mixed, "h")
-    x, y = tagged.select("h", *(F.col(c).alias(f"{c}_a") for c in ("point", "n", "label"))), tagged.select("h", *(F.col(c).alias(f"{c}_b") for c in ("point", "n", "label")))
-    across = x.join(y, (x["h"] == y["h"]) & (F.col("point_a") < F.col("point_b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= setjoin.PERCENT * F.greatest("n_a", "n_b")))
+    tagged = common.materialise(spark, tagged.join(mixed, "h"), "op7-mixed")
+    x, y = (tagged.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("point", "low", "label"))) for side in "ab")
+    across = x.join(y, "h").filter((F.col("point_a") < F.col("point_b")) & (F.col("label_a") != F.col("label_b")) & setjoin.fits("low_a", "low_b"))
     across = across.select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
     rest = common.materialise(spark, setjoin.verify(across.join(known, ["a", "b"], "left_anti"), sets), "op7-across")
     label = components(spark, links.union(rest)) if not rest.isEmpty() else label
 
-    ids = member.filter("id = point").select("point", "least").join(label.withColumnRenamed("id", "point"), "point")
-    ids = ids.join(ids.groupBy("label").agg(F.min("least").alias("component")), "label").select("point", "component")
-    return member.join(ids, "point", "left").select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "least", "doc_id").alias("component_id"))
+    ends = items.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "point"), "point", "left")
+    ends = ends.withColumn("label", F.coalesce("label", "point"))
+    ends = ends.join(ends.groupBy("label").agg(F.min("least").alias("component")), "label").select("point", "component")
+    out = items.withColumn("point", F.when(F.col("n") > 0, F.col("point"))).join(ends, "point", "left")
+    return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, common.documents(spark, sf_dir)).drop("rid")
+    with common.arrow_rows(spark, 1000):
+        return jaccard_components(spark, common.documents(spark, sf_dir)).drop("rid")

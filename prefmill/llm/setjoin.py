@@ -2,6 +2,8 @@
 
 Sets hold 64-bit hashes of shingles of five words. Two sets are similar when 100 * |x & y| >= 75 * |x | y|. The steps:
 
+A set is known by the 64-bit hash of its sorted hashes: equal sets are one point from the start.
+
 1. prefix: every set is sorted by hash and gives its first n - ceil(0.75 n) + l(n) hashes, l(n) = floor(extra * n) + 1.
    Similar sets share at least min(l) of them. A task packs them into blobs by hash bucket, so the shuffle moves
    arrays, not rows; a set that a task has already seen is not sent again.
@@ -29,12 +31,12 @@ WIDTH, PERCENT = 5, 75
 _GROW = 1.06
 #: Lower bounds of n by code: exact below 32, then rising by 6 %.
 _LOW = np.array([c if c < 32 else int(32 * _GROW ** (c - 32)) for c in range(256)], np.int64)
-_FLUSH = 1_500_000
+_FLUSH = 800_000
 
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -98,8 +100,8 @@ def least_shared(code: np.ndarray, extra: float) -> np.ndarray:
     return np.floor(extra * PERCENT / 100 / _GROW * _LOW[code]).astype(np.int64) + 1
 
 
-ITEM = "id long, owner long, line int, doc_id long, n int, k1 long, k2 long, bucket int, blob binary"
-_ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+ITEM = "id long, owner long, line int, doc_id long, n int, point long, bucket int, blob binary"
+_ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("point", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 class Packer:
@@ -116,7 +118,7 @@ class Packer:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         raw = s.tobytes()
-        keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        keys = [xxhash.xxh3_64_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
         fresh = np.ones(count, bool)
         for k, key in enumerate(keys):
             if key in self.seen:
@@ -125,18 +127,18 @@ class Packer:
                 self.seen.add(key)
         if len(self.seen) > 2_000_000:
             self.seen.clear()
-        local = np.arange(self.next, self.next + count, dtype=np.uint32)
+        local = np.arange(self.next, self.next + count)
+        k = np.frombuffer(b"".join(keys), "<i8") if count else np.zeros(0, np.int64)
         if count:
             code = np.searchsorted(_LOW, sizes, side="right") - 1
             take = np.where(fresh, prefix_length(sizes, self.extra), 0)
             seg = np.repeat(np.arange(count), sizes)
             ok = np.arange(len(s)) - starts[seg] < take[seg]
             e = (s[ok] & ~np.uint64(255)) | code[seg[ok]].astype(np.uint64)
-            self.held.append((e, local[seg[ok]]))
+            self.held.append((e, k[seg[ok]]))
             self.size += len(e)
-        k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2) if count else np.zeros((0, 2), np.int64)
         none = pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(local.astype(np.int64) + (self.task << 36)), pa.array(owners, pa.int64()), pa.array(lines, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(k[:, 0]), pa.array(k[:, 1]), *none], schema=_ITEM)
+        yield pa.RecordBatch.from_arrays([pa.array(local + (self.task << 36)), pa.array(owners, pa.int64()), pa.array(lines, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(k), *none], schema=_ITEM)
         self.next += count
         if self.size > _FLUSH:
             yield from self.flush()
@@ -151,16 +153,13 @@ class Packer:
         e, i, b = e[order], i[order], b[order]
         cut = np.flatnonzero(np.diff(b)) + 1
         for a, z in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(b)]]).tolist()):
-            blob = np.int64(self.task << 36).tobytes() + e[a:z].tobytes() + i[a:z].tobytes()
+            blob = e[a:z].tobytes() + i[a:z].tobytes()
             yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": blob}], schema=_ITEM)
 
 
 def _unpack(blobs: list[bytes]):
-    e, ids = [], []
-    for x in blobs:
-        n = (len(x) - 8) // 12
-        e.append(np.frombuffer(x, np.uint64, n, 8))
-        ids.append(np.frombuffer(x, np.uint32, n, 8 + 8 * n).astype(np.int64) + np.frombuffer(x, np.int64, 1)[0])
+    e = [np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs]
+    ids = [np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs]
     return (np.concatenate(e), np.concatenate(ids)) if e else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -169,8 +168,11 @@ def _cells(buckets: int):
 
     def run(batches):
         e, ids = _unpack([x for b in batches for x in b.column("blob").to_pylist()])
-        order = np.argsort(e, kind="stable")
+        order = np.lexsort((ids, e))
         e, ids = e[order], ids[order]
+        once = np.ones(len(e), bool)  # equal sets of several tasks count once
+        once[1:] = (e[1:] != e[:-1]) | (ids[1:] != ids[:-1])
+        e, ids = e[once], ids[once]
         h = e >> np.uint64(8)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
@@ -213,32 +215,57 @@ def _rarest(extra: float):
         ok = np.arange(len(i)) - start[group] < (c[group] - least_shared((e & np.uint64(255)).astype(np.int64), extra) + 1)
         e, i, c = e[ok], i[ok], c[group][ok]
         for k in range(0, len(e), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array((e[k : k + 200_000] >> np.uint64(8)).astype(np.int64)), pa.array(i[k : k + 200_000]), pa.array(c[k : k + 200_000].astype(np.int32))], names=["h", "id", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array((e[k : k + 200_000] >> np.uint64(8)).astype(np.int64)), pa.array(i[k : k + 200_000]), pa.array(c[k : k + 200_000].astype(np.int32)), pa.array(_LOW[(e[k : k + 200_000] & np.uint64(255)).astype(np.int64)])], names=["h", "point", "c", "low"])
 
     return run
 
 
 def cells(spark: SparkSession, packed: DataFrame, extra: float) -> DataFrame:
-    """h, id, c (shared prefix hashes of the set) from the blobs of a packed table."""
+    """h, point, c (shared prefix hashes of the set), low (lower bound of its size) from the blobs of a packed table."""
     p = common.partitions(spark)
     by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(4 * p), "bucket int, blob binary")
-    return by_hash.repartition(p, "bucket").mapInArrow(_rarest(extra), "h long, id long, c int")
+    return by_hash.repartition(p, "bucket").mapInArrow(_rarest(extra), "h long, point long, c int, low long")
+
+
+def fits(a: str, b: str):
+    """Whether lower bounds of two sizes permit similar sets."""
+    return 100 * _GROW * (F.least(a, b) + 1) >= PERCENT * F.greatest(a, b)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Distinct low 16 bits of the hashes. Of two sets, |x & y| <= common values + the fewer of their collisions."""
+    return np.unique(s.astype(np.uint16)).tobytes()
+
 
+def _measure(kind, spare: bool):
+    """Upper bound of the overlap from signatures (spare: collisions are added), or the overlap from whole sets."""
 
-def _overlaps(batches):
-    for b in batches:
-        n = [np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n, pa.int64())], names=["a", "b", "shared"])
+    def run(batches):
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            n = np.zeros(b.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
+                x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+                n[k] = np.intersect1d(x, y, assume_unique=True).size + (min(na[k] - len(x), nb[k] - len(y)) if spare else 0)
+            ok = pa.array(100 * n >= PERCENT * (na.astype(np.int64) + nb - n))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs whose sets (id, n, s) are similar. The length filter comes before the sets are sent."""
+    """a, b of the pairs whose sets (id, n, sig, s) are similar: sizes, then signatures, then whole sets."""
+
+    def with_both(df: DataFrame, column: str) -> DataFrame:
+        one = sets.select("id", column)
+        return df.join(one.select(F.col("id").alias("a"), F.col(column).alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col(column).alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+
     size = sets.select("id", "n")
     near = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     near = near.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = full.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, shared long")
-    return near.join(out, ["a", "b"]).filter(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    out = "a long, b long, na int, nb int"
+    near = with_both(near, "sig").mapInArrow(_measure(np.uint16, True), out)
+    return with_both(near, "s").mapInArrow(_measure(np.uint64, False), out).select("a", "b")
 
 
 def similar(x: set, y: set) -> bool:
