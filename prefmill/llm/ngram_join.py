@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, setjoin
 
-EXTRA, ROUNDS = 0.15, 3
+EXTRA, ROUNDS = 0.1, 3
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -91,10 +91,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTR
     packed = rows.mapInArrow(_pack(setjoin.buckets(spark), extra), setjoin.ITEM)
     packed = common.materialise(spark, packed.withColumn("kind", F.when(F.col("blob").isNull(), 0).otherwise(1)), "op7-packed", partitionBy="kind")
     items = packed.filter("kind = 0").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
-    met = common.materialise(spark, setjoin.cells(spark, packed.filter("kind = 1"), extra).withColumn("share", F.col("c") / F.col("low")), "op7-cells")
-    firsts = items.join(met.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.min("rid").alias("rid"))
+    alive = common.materialise(spark, setjoin.survivors(spark, packed.filter("kind = 1"), extra), "op7-survivors")
+    firsts = items.join(alive, "point", "left_semi").groupBy("point").agg(F.min("rid").alias("rid"))
     texts = rows.select("rid", "text").join(firsts, "rid").select(F.col("point").alias("id"), "text")
     sets = common.materialise(spark, texts.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op7-sets")
+    met = common.materialise(spark, setjoin.cells(spark, sets).withColumn("share", F.col("c") / F.col("n")), "op7-cells")
 
     links, left, known = None, met, None
     for k in range(rounds):
@@ -110,11 +111,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTR
         if left.isEmpty():
             break
     label = components(spark, links)
-    tagged = met.join(label.withColumnRenamed("id", "point"), "point", "left").select("h", "point", "low", F.coalesce("label", "point").alias("label"))
+    tagged = met.join(label.withColumnRenamed("id", "point"), "point", "left").select("h", "point", "n", "pos", F.coalesce("label", "point").alias("label"))
     mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
     tagged = common.materialise(spark, tagged.join(mixed, "h"), "op7-mixed")
-    x, y = (tagged.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("point", "low", "label"))) for side in "ab")
-    across = x.join(y, "h").filter((F.col("point_a") < F.col("point_b")) & (F.col("label_a") != F.col("label_b")) & setjoin.fits("low_a", "low_b"))
+    x, y = (tagged.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("point", "n", "pos", "label"))) for side in "ab")
+    across = x.join(y, "h").filter((F.col("point_a") < F.col("point_b")) & (F.col("label_a") != F.col("label_b")) & setjoin.bounds())
     across = across.select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
     rest = common.materialise(spark, setjoin.verify(across.join(known, ["a", "b"], "left_anti"), sets), "op7-across")
     label = components(spark, links.union(rest)) if not rest.isEmpty() else label

@@ -7,10 +7,12 @@ A set is known by the 64-bit hash of its sorted hashes: equal sets are one point
 1. prefix: every set is sorted by hash and gives its first n - ceil(0.75 n) + l(n) hashes, l(n) = floor(extra * n) + 1.
    Similar sets share at least min(l) of them. A task packs them into blobs by hash bucket, so the shuffle moves
    arrays, not rows; a set that a task has already seen is not sent again.
-2. cells: the entries of one hash meet; how many there are is the hash's frequency. Hashes of one set only go away.
-3. rarity: a set orders its remaining hashes by that frequency, rarest first, and keeps the first c - lmin + 1 of
-   its c: similar sets still share one. Sets with c < lmin go away; so do nearly all sets without a partner.
-4. candidates are made from the kept cells by the operators, and verified on the whole sets.
+2. survivors: a hash that stands in one set only can't be shared. A set with fewer than lmin others goes away; so do
+   nearly all sets without a partner.
+3. rarity: the whole sets of the survivors meet by hash, which gives each hash's exact frequency. A set orders its
+   hashes by that frequency, rarest first; a similar set shares ceil(0.75 n) of them, so the first
+   n - ceil(0.75 n) + 1 are enough, and of these only the cells with two sets or more are kept, with the position.
+4. candidates meet in kept cells, pass the length and positional bounds, and are verified on the whole sets.
 
 No row is dropped by a cap: cells of any size stay whole.
 """
@@ -157,79 +159,139 @@ class Packer:
             yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": blob}], schema=_ITEM)
 
 
-def _unpack(blobs: list[bytes]):
-    e = [np.frombuffer(x, np.uint64, len(x) // 16) for x in blobs]
-    ids = [np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in blobs]
-    return (np.concatenate(e), np.concatenate(ids)) if e else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _survivors(extra: float):
+    """Points with enough shared prefix hashes."""
+
+    def run(batches):
+        es, ids = [], []
+        for b in batches:
+            for x in b.column("blob").to_pylist():
+                n = len(x) // 16
+                es.append(np.frombuffer(x, np.uint64, n))
+                ids.append(np.frombuffer(x, np.int64, n, 8 * n))
+        if not es:
+            return
+        point, at, c = np.unique(np.concatenate(ids), return_index=True, return_counts=True)
+        code = (np.concatenate(es)[at] & np.uint64(255)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(point[c >= least_shared(code, extra)])], names=["point"])
+
+    return run
+
+
+def _deal(key: np.ndarray, buckets: int, columns: list[np.ndarray]):
+    """(bucket, blob) of columns of equal length, dealt out by a mix of key; a blob holds one array after the other."""
+    b = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(b.astype(np.uint32), kind="stable")
+    b = b[order]
+    columns = [c[order] for c in columns]
+    cut = np.flatnonzero(np.diff(b)) + 1
+    for a, z in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(b)]]).tolist()):
+        if z > a:
+            yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": b"".join(c[a:z].tobytes() for c in columns)}], schema=_BLOB)
+
+
+_BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+_BLOB_SQL = "bucket int, blob binary"
+
+
+def _gather(batches, kinds: list):
+    parts = [[] for _ in kinds]
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    for b in batches:
+        for x in b.column("blob").to_pylist():
+            n, at = len(x) // width, 0
+            for part, k in zip(parts, kinds):
+                part.append(np.frombuffer(x, k, n, at))
+                at += n * np.dtype(k).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
 
 
 def _cells(buckets: int):
-    """Entries of hashes that stand in two sets or more, dealt out by set."""
+    """Prefix entries of hashes that stand in two sets or more, dealt out by set."""
 
     def run(batches):
-        e, ids = _unpack([x for b in batches for x in b.column("blob").to_pylist()])
+        e, ids = _gather(batches, [np.uint64, np.int64])
         order = np.lexsort((ids, e))
         e, ids = e[order], ids[order]
         once = np.ones(len(e), bool)  # equal sets of several tasks count once
         once[1:] = (e[1:] != e[:-1]) | (ids[1:] != ids[:-1])
         e, ids = e[once], ids[once]
-        h = e >> np.uint64(8)
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        cell = np.cumsum(new) - 1
-        m = np.bincount(cell)[cell] if len(h) else np.zeros(0, np.int64)
-        ok = m > 1
-        e, ids, m = e[ok], ids[ok], np.minimum(m[ok], (1 << 31) - 1).astype(np.int32)
-        b = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(b, kind="stable")
-        e, ids, m, b = e[order], ids[order], m[order], b[order]
-        cut = np.flatnonzero(np.diff(b)) + 1
-        for a, z in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(b)]]).tolist()):
-            if z > a:
-                yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": e[a:z].tobytes() + ids[a:z].tobytes() + m[a:z].tobytes()}], schema=pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
+        _, cell, m = np.unique(e >> np.uint64(8), return_inverse=True, return_counts=True)
+        ok = m[cell] > 1
+        yield from _deal(ids[ok], buckets, [e[ok], ids[ok]])
 
     return run
 
 
-def _rarest(extra: float):
-    """Of each set, the rarest cells that a similar set can't all miss."""
+def _spread(buckets: int):
+    """All hashes of whole sets, dealt out by hash."""
 
     def run(batches):
-        es, ids, ms = [], [], []
+        held, size = [], 0
+
+        def flush():
+            s, ids, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            yield from _deal(s, buckets, [s, ids, n])
+
         for b in batches:
-            for x in b.column("blob").to_pylist():
-                n = len(x) // 20
-                es.append(np.frombuffer(x, np.uint64, n))
-                ids.append(np.frombuffer(x, np.int64, n, 8 * n))
-                ms.append(np.frombuffer(x, np.int32, n, 16 * n))
-        if not es:
-            return
-        e, i, m = np.concatenate(es), np.concatenate(ids), np.concatenate(ms)
-        order = np.lexsort((e, m, i))
-        e, i, m = e[order], i[order], m[order]
-        new = np.ones(len(i), bool)
-        new[1:] = i[1:] != i[:-1]
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        c = np.bincount(group)
-        ok = np.arange(len(i)) - start[group] < (c[group] - least_shared((e & np.uint64(255)).astype(np.int64), extra) + 1)
-        e, i, c = e[ok], i[ok], c[group][ok]
-        for k in range(0, len(e), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array((e[k : k + 200_000] >> np.uint64(8)).astype(np.int64)), pa.array(i[k : k + 200_000]), pa.array(c[k : k + 200_000].astype(np.int32)), pa.array(_LOW[(e[k : k + 200_000] & np.uint64(255)).astype(np.int64)])], names=["h", "point", "c", "low"])
+            for i, n, s in zip(*(b.column(c).to_pylist() for c in ("id", "n", "s"))):
+                held.append((np.frombuffer(s, np.uint64), np.full(n, i, np.int64), np.full(n, n, np.int32)))
+                size += n
+                if size > _FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     return run
 
 
-def cells(spark: SparkSession, packed: DataFrame, extra: float) -> DataFrame:
-    """h, point, c (shared prefix hashes of the set), low (lower bound of its size) from the blobs of a packed table."""
+def _frequencies(buckets: int):
+    def run(batches):
+        s, ids, n = _gather(batches, [np.uint64, np.int64, np.int32])
+        _, cell, m = np.unique(s, return_inverse=True, return_counts=True)
+        m = np.minimum(m, (1 << 31) - 1).astype(np.int32)[cell] if len(s) else np.zeros(0, np.int32)
+        ok = m > 1
+        yield from _deal(ids[ok], buckets, [s[ok], ids[ok], n[ok], m[ok]])
+
+    return run
+
+
+def _rarest(batches):
+    s, i, n, m = _gather(batches, [np.uint64, np.int64, np.int32, np.int32])
+    order = np.lexsort((s, m, i))
+    s, i, n = s[order], i[order], n[order].astype(np.int64)
+    _, start, group, c = np.unique(i, return_index=True, return_inverse=True, return_counts=True)
+    if not len(s):
+        return
+    c = c[group]
+    pos = n - c + np.arange(len(i)) - start[group]  # hashes of this set alone are rarer still
+    ok = pos < n - -(-PERCENT * n // 100) + 1
+    s, i, n, c, pos = (x[ok] for x in (s, i, n, c, pos))
+    for k in range(0, len(s), 200_000):
+        w = slice(k, k + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(s[w].view(np.int64)), pa.array(i[w]), pa.array(n[w].astype(np.int32)), pa.array(c[w].astype(np.int32)), pa.array(pos[w].astype(np.int32))], names=["h", "point", "n", "c", "pos"])
+
+
+def survivors(spark: SparkSession, packed: DataFrame, extra: float) -> DataFrame:
+    """point: the sets that can have a partner, from the blobs of a packed table."""
+    p = common.partitions(spark)
+    by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(4 * p), _BLOB_SQL)
+    return by_hash.repartition(p, "bucket").mapInArrow(_survivors(extra), "point long")
+
+
+def cells(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """h, point, n, c (hashes shared with any other), pos (position in order of rarity) from whole sets (id, n, s)."""
     p = common.partitions(spark)
-    by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(4 * p), "bucket int, blob binary")
-    return by_hash.repartition(p, "bucket").mapInArrow(_rarest(extra), "h long, point long, c int, low long")
+    dealt = sets.select("id", "n", "s").mapInArrow(_spread(4 * p), _BLOB_SQL).repartition(p, "bucket").mapInArrow(_frequencies(4 * p), _BLOB_SQL)
+    return dealt.repartition(p, "bucket").mapInArrow(_rarest, "h long, point long, n int, c int, pos int")
 
 
-def fits(a: str, b: str):
-    """Whether lower bounds of two sizes permit similar sets."""
-    return 100 * _GROW * (F.least(a, b) + 1) >= PERCENT * F.greatest(a, b)
+def bounds():
+    """Length and positional bounds of two cell rows, (n_a, pos_a) and (n_b, pos_b)."""
+    need = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
+    return (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
 
 
 def signature(s: np.ndarray) -> bytes:
