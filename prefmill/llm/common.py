@@ -38,10 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "zstd", **layout) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs a read."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path, **layout)
+    df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

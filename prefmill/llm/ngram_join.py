@@ -35,7 +35,7 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _in_groups(batch, most: int = 4 << 20):
+def _in_groups(batch, most: int = 2 << 20):
     """Slices of a batch with about `most` bytes of text."""
     texts = common.raw_bytes(batch.column("text"))
     start, held = 0, 0
@@ -89,9 +89,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTR
     """rid, doc_id, n_shingles, component_id of each document."""
     rows = common.with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     packed = rows.mapInArrow(_pack(setjoin.buckets(spark), extra), setjoin.ITEM)
-    packed = common.materialise(spark, packed.withColumn("kind", F.when(F.col("blob").isNull(), 0).otherwise(1)), "op7-packed", partitionBy="kind")
-    items = packed.filter("kind = 0").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
-    alive = common.materialise(spark, setjoin.survivors(spark, packed.filter("kind = 1"), extra), "op7-survivors")
+    packed = common.materialise(spark, packed, "op7-packed")
+    items = packed.filter("id is not null").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
+    alive = common.materialise(spark, setjoin.survivors(spark, packed, extra), "op7-survivors")
     firsts = items.join(alive, "point", "left_semi").groupBy("point").agg(F.min("rid").alias("rid"))
     texts = rows.select("rid", "text").join(firsts, "rid").select(F.col("point").alias("id"), "text")
     sets = common.materialise(spark, texts.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op7-sets")
