@@ -97,3 +97,27 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def partition_labels(n: int) -> np.ndarray:
+    """For each of n partitions an int that repartition(n, column) sends there (Murmur3 of an int, seed 42)."""
+    labels, missing, start = np.full(n, -1, np.int64), n, 0
+    with np.errstate(over="ignore"):
+        while missing:
+            i = np.arange(start, start + 4 * n + 64, dtype=np.uint32)
+            k = i * np.uint32(0xCC9E2D51)
+            k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+            h = np.uint32(42) ^ k
+            h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+            h ^= np.uint32(4)
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(13)
+            h *= np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(16)
+            to = h.view(np.int32).astype(np.int64) % n
+            part, at = np.unique(to, return_index=True)
+            new = labels[part] < 0
+            labels[part[new]] = i[at[new]]
+            missing, start = int((labels < 0).sum()), start + len(i)
+    return labels

@@ -46,9 +46,9 @@ def _in_groups(batch, most: int = 2 << 20):
             start, held = k + 1, 0
 
 
-def _pack(buckets: int, extra: float):
+def _pack(labels: np.ndarray, extra: float):
     def run(batches):
-        out = setjoin.Packer(buckets, extra)
+        out = setjoin.Packer(labels, extra)
         for b in batches:
             rids, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
             for a, z, texts in _in_groups(b):
@@ -88,7 +88,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, rounds: int = ROUNDS) -> DataFrame:
     """rid, doc_id, n_shingles, component_id of each document."""
     rows = common.with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    packed = rows.mapInArrow(_pack(setjoin.buckets(spark), extra), setjoin.ITEM)
+    packed = rows.mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra), setjoin.ITEM)
     packed = common.materialise(spark, packed, "op7-packed")
     items = packed.filter("id is not null").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
     alive = common.materialise(spark, setjoin.survivors(spark, packed, extra), "op7-survivors")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, ngram_join, pieces, token_output
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_join, pieces, token_output
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_token_output": token_output.op10_token_output,
     }
 

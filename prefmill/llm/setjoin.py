@@ -109,8 +109,8 @@ _ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32(
 class Packer:
     """Items and blobs of one task. An id is (task << 36) + the item's number in the task."""
 
-    def __init__(self, buckets: int, extra: float):
-        self.task, self.next, self.seen, self.buckets, self.extra = TaskContext.get().partitionId(), 0, set(), buckets, extra
+    def __init__(self, labels: np.ndarray, extra: float):
+        self.task, self.next, self.seen, self.labels, self.extra = TaskContext.get().partitionId(), 0, set(), labels, extra
         self.held: list = []
         self.size = 0
 
@@ -150,13 +150,8 @@ class Packer:
             return
         e, i = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        b = ((e >> np.uint64(8)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 1 << 16 else np.uint32)
-        order = np.argsort(b, kind="stable")
-        e, i, b = e[order], i[order], b[order]
-        cut = np.flatnonzero(np.diff(b)) + 1
-        for a, z in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(b)]]).tolist()):
-            blob = e[a:z].tobytes() + i[a:z].tobytes()
-            yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": blob}], schema=_ITEM)
+        for b in _deal(e >> np.uint64(8), self.labels, [e, i]):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) if f.name not in ("bucket", "blob") else b.column(f.name) for f in _ITEM], schema=_ITEM)
 
 
 def _survivors(extra: float):
@@ -178,16 +173,17 @@ def _survivors(extra: float):
     return run
 
 
-def _deal(key: np.ndarray, buckets: int, columns: list[np.ndarray]):
-    """(bucket, blob) of columns of equal length, dealt out by a mix of key; a blob holds one array after the other."""
-    b = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
+def _deal(key: np.ndarray, labels: np.ndarray, columns: list[np.ndarray]):
+    """(bucket, blob) of columns of equal length, dealt out by a mix of key, one label a partition; a blob holds one array
+    after the other."""
+    b = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(len(labels))
     order = np.argsort(b.astype(np.uint32), kind="stable")
     b = b[order]
     columns = [c[order] for c in columns]
     cut = np.flatnonzero(np.diff(b)) + 1
     for a, z in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(b)]]).tolist()):
         if z > a:
-            yield pa.RecordBatch.from_pylist([{"bucket": int(b[a]), "blob": b"".join(c[a:z].tobytes() for c in columns)}], schema=_BLOB)
+            yield pa.RecordBatch.from_pylist([{"bucket": int(labels[b[a]]), "blob": b"".join(c[a:z].tobytes() for c in columns)}], schema=_BLOB)
 
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -206,7 +202,7 @@ def _gather(batches, kinds: list):
     return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
 
 
-def _cells(buckets: int):
+def _cells(labels: np.ndarray):
     """Prefix entries of hashes that stand in two sets or more, dealt out by set."""
 
     def run(batches):
@@ -218,12 +214,12 @@ def _cells(buckets: int):
         e, ids = e[once], ids[once]
         _, cell, m = np.unique(e >> np.uint64(8), return_inverse=True, return_counts=True)
         ok = m[cell] > 1
-        yield from _deal(ids[ok], buckets, [e[ok], ids[ok]])
+        yield from _deal(ids[ok], labels, [e[ok], ids[ok]])
 
     return run
 
 
-def _spread(buckets: int):
+def _spread(labels: np.ndarray):
     """All hashes of whole sets, dealt out by hash."""
 
     def run(batches):
@@ -232,7 +228,7 @@ def _spread(buckets: int):
         def flush():
             s, ids, n = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            yield from _deal(s, buckets, [s, ids, n])
+            yield from _deal(s, labels, [s, ids, n])
 
         for b in batches:
             for i, n, s in zip(*(b.column(c).to_pylist() for c in ("id", "n", "s"))):
@@ -247,13 +243,13 @@ def _spread(buckets: int):
     return run
 
 
-def _frequencies(buckets: int):
+def _frequencies(labels: np.ndarray):
     def run(batches):
         s, ids, n = _gather(batches, [np.uint64, np.int64, np.int32])
         _, cell, m = np.unique(s, return_inverse=True, return_counts=True)
         m = np.minimum(m, (1 << 31) - 1).astype(np.int32)[cell] if len(s) else np.zeros(0, np.int32)
         ok = m > 1
-        yield from _deal(ids[ok], buckets, [s[ok], ids[ok], n[ok], m[ok]])
+        yield from _deal(ids[ok], labels, [s[ok], ids[ok], n[ok], m[ok]])
 
     return run
 
@@ -277,14 +273,16 @@ def _rarest(batches):
 def survivors(spark: SparkSession, packed: DataFrame, extra: float) -> DataFrame:
     """point: the sets that can have a partner, from the blobs of a packed table."""
     p = common.partitions(spark)
-    by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(4 * p), _BLOB_SQL)
+    labels = common.partition_labels(p)
+    by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(labels), _BLOB_SQL)
     return by_hash.repartition(p, "bucket").mapInArrow(_survivors(extra), "point long")
 
 
 def cells(spark: SparkSession, sets: DataFrame) -> DataFrame:
     """h, point, n, c (hashes shared with any other), pos (position in order of rarity) from whole sets (id, n, s)."""
     p = common.partitions(spark)
-    dealt = sets.select("id", "n", "s").mapInArrow(_spread(4 * p), _BLOB_SQL).repartition(p, "bucket").mapInArrow(_frequencies(4 * p), _BLOB_SQL)
+    labels = common.partition_labels(p)
+    dealt = sets.select("id", "n", "s").mapInArrow(_spread(labels), _BLOB_SQL).repartition(p, "bucket").mapInArrow(_frequencies(labels), _BLOB_SQL)
     return dealt.repartition(p, "bucket").mapInArrow(_rarest, "h long, point long, n int, c int, pos int")
 
 
@@ -333,9 +331,3 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar(x: set, y: set) -> bool:
     """The definition, for tests."""
     return bool(x and y) and 100 * len(x & y) >= PERCENT * len(x | y)
-
-
-def buckets(spark: SparkSession) -> int:
-    return 4 * common.partitions(spark)
-
-
