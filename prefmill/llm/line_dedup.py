@@ -117,7 +117,6 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -
     return rows, out.groupBy(F.col("own.rid").alias("rid")).agg(F.collect_list("own.line").alias("lines"))
 
 
-@F.pandas_udf("string")
 def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
     out = []
     for t, gone in zip(texts, lines):
@@ -133,7 +132,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> D
     rows, gone = repeated_lines(spark, docs, extra)
     kept = [c for c in docs.columns if c != "n_removed"]
     with_lines = rows.join(gone.withColumnRenamed("lines", "_lines"), "rid", "left")
-    return with_lines.withColumn("text", _without("text", "_lines")).select(*kept, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return with_lines.withColumn("text", F.pandas_udf(_without, "string")("text", "_lines")).select(*kept, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
