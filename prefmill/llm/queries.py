@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, ngram_join, pieces, token_output
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, pieces, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_lm_score": lm_score.op1_lm_score,
         "op2_language_id": language_id.op2_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
         "op5_pieces": pieces.op5_pieces,
