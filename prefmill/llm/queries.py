@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, pieces, token_output
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, pieces, resample, token_output
 
 
 def queries() -> dict:
@@ -10,14 +12,19 @@ def queries() -> dict:
         "op1_lm_score": lm_score.op1_lm_score,
         "op2_language_id": language_id.op2_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
+        "op4_resample": resample.op4_resample,
         "op5_pieces": pieces.op5_pieces,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_token_output": token_output.op10_token_output,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    found = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
