@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, setjoin
 
-EXTRA = 0.05
+EXTRA = 0.02
 
 
 def _lines(rids, ids, texts):
@@ -59,7 +59,7 @@ def _pack(labels: np.ndarray, extra: float):
                 owners, numbers, docs, words = _lines(rids[some], ids[some], texts)
                 s, sizes = setjoin.segments(words, short=False)
                 yield from out.add(s, sizes, owners, numbers, docs)
-        yield from out.flush()
+        yield from out.close()
 
     return run
 
@@ -78,6 +78,7 @@ def _sets(batches):
             raw, ends = s.tobytes(), np.cumsum(sizes)
             cut = list(zip((ends - sizes).tolist(), ends.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array([setjoin.signature(s[a:z]) for a, z in cut], pa.binary()), pa.array([raw[8 * a : 8 * z] for a, z in cut], pa.binary())], names=["id", "n", "sig", "s"])
+    common.tidy(setjoin._HASHES)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> tuple[DataFrame, DataFrame]:

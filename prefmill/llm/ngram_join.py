@@ -54,7 +54,7 @@ def _pack(labels: np.ndarray, extra: float):
             for a, z, texts in _in_groups(b):
                 s, sizes = setjoin.segments([_words(t) for t in texts])
                 yield from out.add(s, sizes, rids[a:z], [0] * (z - a), ids[a:z])
-        yield from out.flush()
+        yield from out.close()
 
     return run
 
@@ -68,6 +68,7 @@ def _sets(batches):
             whole = [raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
             sig = [setjoin.signature(s[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(sig, pa.binary()), pa.array(whole, pa.binary())], names=["id", "n", "sig", "s"])
+    common.tidy(setjoin._HASHES)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 400_000
+CACHE = 250_000
 _WORD = re.compile(MARK + "+[^" + MARK + "]*")
 
 
@@ -73,7 +73,7 @@ class PieceModel:
         """Whether piece t may stand after piece p; p 0 is the beginning, or a character without a piece."""
         piece = self.pieces[t]
         ok = self.merge((self.pieces[p] if p else "") + piece) == ([self.pieces[p], piece] if p else [piece])
-        if len(self.pairs) > 3_000_000:
+        if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         self.pairs[p << 24 | t] = ok
         return ok
@@ -158,6 +158,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 blobs = m.encode(some.column("_text").to_pylist())
                 ids = common.flat_lists(np.frombuffer(b"".join(blobs), "<i4"), [len(x) // 4 for x in blobs])
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in kept] + [ids], names=[*kept, "piece_ids"])
+        common.tidy(m.cache)
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(run, docs.select(*kept).schema.add("piece_ids", T.ArrayType(T.IntegerType())))
@@ -196,4 +197,5 @@ def _digest(path):
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and say whether the text came back."""
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return encode(docs).mapInArrow(_digest(None), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+    with common.arrow_rows(spark, 1000):
+        return encode(docs).mapInArrow(_digest(None), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 BUCKETS, SEED = 16_384, 11
+#: Target documents that the target model is fitted on, at most; if there are more, those with the smallest hashes.
+LABELLED = 200_000
 
 
 class _Hashes(dict):
@@ -116,13 +118,14 @@ def top_k(df: DataFrame, k: int) -> "F.Column":
     return keep | tied
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None, n: int = BUCKETS, seed: int = SEED) -> DataFrame:
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, share: float | None = None, n: int = BUCKETS, seed: int = SEED, most: int = LABELLED) -> DataFrame:
     """doc_id, log_ratio, key, kept for each document."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"), F.max((F.col("quality") == 1).cast("int")).alias("good"))
     if share is None:
         good, all_ = known.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
         share = good / all_ if all_ else 1.0
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known.select("doc_id", "target"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    targets = known.filter("target").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "target")
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(targets), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     scored = common.materialise(spark, score(docs, fit(labelled, n), seed), "op4-scored")
     return scored.select("doc_id", "log_ratio", "key", top_k(scored, round(share * scored.count())).alias("kept"))
 

@@ -80,7 +80,9 @@ def segments(words: list[list], short: bool = True):
         starts = np.cumsum(counts) - counts
         extra = np.array([_mix([h[starts[k] + j : starts[k] + j + 1] for j in range(counts[k])] + [np.array([counts[k]], np.uint64)])[0] for k in few], np.uint64)
         s, sg = np.concatenate([s, extra]), np.concatenate([sg, few])
-    order = np.lexsort((s, sg))
+    order = np.argsort(s)
+    small = sg[order].astype(np.uint16 if len(words) < 1 << 16 else np.int64)  # 16-bit keys are sorted by radix
+    order = order[np.argsort(small, kind="stable")]
     s, sg = s[order], sg[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (sg[1:] != sg[:-1])
@@ -127,7 +129,7 @@ class Packer:
                 fresh[k] = False
             else:
                 self.seen.add(key)
-        if len(self.seen) > 2_000_000:
+        if len(self.seen) > 500_000:
             self.seen.clear()
         local = np.arange(self.next, self.next + count)
         k = np.frombuffer(b"".join(keys), "<i8") if count else np.zeros(0, np.int64)
@@ -145,6 +147,10 @@ class Packer:
         if self.size > _FLUSH:
             yield from self.flush()
 
+    def close(self):
+        yield from self.flush()
+        common.tidy(_HASHES)
+
     def flush(self):
         if not self.size:
             return
