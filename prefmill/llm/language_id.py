@@ -117,7 +117,7 @@ def learn(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.nda
     """Prototype of each language from all documents with text and lang. A prototype is `dim` numbers; the counts behind
     it, at most 2^18 a language, meet in one task a language."""
 
-    def prototype(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def prototype(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = _vectors(dim, seed).bundle(rows["code"].to_numpy(), rows["n"].to_numpy().astype(np.float64))
         return pd.DataFrame({"lang": [key[0]], "v": [v / max(np.linalg.norm(v), 1e-12)]})
 
