@@ -20,8 +20,9 @@ LEAST_COSINE = 0.02
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like none of the languages, go. Learns from the lang column of its input."""
-    model = language_id.learn(docs)
-    guessed = language_id.predict(docs, model)
+    with common.arrow_rows(spark, 500):
+        model = language_id.learn(docs)
+        guessed = language_id.predict(docs, model)
     if not model:
         return docs
     return guessed.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
@@ -30,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier line go, and with them documents of which no word is left; n_chars is counted anew
     where text changed. Documents that had no word from the start stay."""
-    with common.arrow_rows(spark, 1000):
+    with common.arrow_rows(spark, 500):
         out = line_dedup.dedup_lines(spark, docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
         return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -38,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest doc_id stays (of equal ids the first row). Documents without a
     word, such as empty and null texts, are in no group and stay."""
-    with common.arrow_rows(spark, 1000):
+    with common.arrow_rows(spark, 500):
         found = common.materialise(spark, ngram_join.jaccard_components(spark, docs), "pipeline-groups")
     lost = F.col("doc_id").isNull().alias("lost")
     first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(lost, "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
@@ -63,7 +64,8 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "n_pieces", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return pieces.encode(rows).select("doc_id", "piece_ids").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long")
+    with common.arrow_rows(spark, 500):
+        return pieces.encode(rows).select("doc_id", "piece_ids").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long")
 
 
 STAGES = [

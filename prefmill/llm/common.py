@@ -89,14 +89,13 @@ def task_temp() -> str:
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows at most for what runs inside: rows with long texts or sets fill a batch soon."""
+    """Arrow batches of so many rows at most: rows with long texts or sets fill a batch soon. The setting stays, for
+    results are evaluated after the operator has returned; a smaller one that is set already is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+    yield
 
 
 def partition_labels(n: int) -> np.ndarray:
