@@ -7,9 +7,9 @@ have a partner, and the cells in which partners meet, come from setjoin.py. Then
   that of the pivot it meets in most cells, its nearest one as far as cells tell, and its distance to it is measured.
   Points within 0.25 are linked with the pivot, hence with each other: nothing in that ball is compared any more.
 - recursion: points further away form cells among themselves, with pivots of their own, for `rounds` rounds.
-- boundaries: a pair across regions can only be near when it shares a kept cell and when, for a pivot whose distance
-  to both is known, these differ by 0.25 at most (triangle inequality). Those pairs, and those whose components are
-  still apart, are replicated into the cell and measured exactly.
+- boundaries: a pair across regions can only be near when it shares a kept cell and passes the length and positional
+  bounds there. Such pairs, where their components are still apart, are measured exactly. The triangle inequality
+  itself prunes nothing here (README).
 
 Why cells and not distances to sampled pivots come first: of unrelated documents nearly all have distance exactly 1
 to every pivot (89 % of the documents here share under a quarter of their shingles with all others together), so
