@@ -26,20 +26,6 @@ from . import common, setjoin
 EXTRA = 0.02
 
 
-def _lines(rids, ids, texts):
-    """Lines of five words and more: owners, numbers, doc_ids, words."""
-    owners, numbers, docs, words = [], [], [], []
-    for rid, doc_id, text in zip(rids, ids, texts):
-        for k, line in enumerate(text.lower().split(b"\n")):
-            w = line.split()
-            if len(w) >= setjoin.WIDTH:
-                owners.append(rid)
-                numbers.append(k)
-                docs.append(doc_id)
-                words.append(w)
-    return owners, numbers, docs, words
-
-
 def _groups(batch, most: int = 2 << 20):
     texts = common.raw_bytes(batch.column("text"))
     start, held = 0, 0
@@ -54,11 +40,11 @@ def _pack(labels: np.ndarray, extra: float):
     def run(batches):
         out = setjoin.Packer(labels, extra)
         for b in batches:
-            rids, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
+            rids, ids = b.column("rid"), b.column("doc_id")
             for some, texts in _groups(b):
-                owners, numbers, docs, words = _lines(rids[some], ids[some], texts)
-                s, sizes = setjoin.segments(words, short=False)
-                yield from out.add(s, sizes, owners, numbers, docs)
+                s, sizes, owner, line = setjoin.line_sets(texts)
+                owner = pa.array(owner)
+                yield from out.add(s, sizes, rids[some].take(owner), line.astype(np.int32), ids[some].take(owner))
         yield from out.close()
 
     return run
@@ -69,16 +55,16 @@ def _sets(batches):
     for b in batches:
         wanted = b.column("wanted").to_pylist()
         for some, texts in _groups(b):
-            ids, words = [], []
+            ids, own = [], []
             for w, text in zip(wanted[some], texts):
-                lines = text.lower().split(b"\n")
+                lines = text.split(b"\n")
                 ids += [x["point"] for x in w]
-                words += [lines[x["line"]].split() for x in w]
-            s, sizes = setjoin.segments(words, short=False)
+                own += [lines[x["line"]] for x in w]
+            s, sizes = setjoin.text_sets(own, short=False)
             raw, ends = s.tobytes(), np.cumsum(sizes)
             cut = list(zip((ends - sizes).tolist(), ends.tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array([setjoin.signature(s[a:z]) for a, z in cut], pa.binary()), pa.array([raw[8 * a : 8 * z] for a, z in cut], pa.binary())], names=["id", "n", "sig", "s"])
-    common.tidy(setjoin._HASHES)
+    common.tidy()
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +119,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> D
     rows, gone = repeated_lines(spark, docs, extra)
     kept = [c for c in docs.columns if c != "n_removed"]
     with_lines = rows.join(gone.withColumnRenamed("lines", "_lines"), "rid", "left")
-    return with_lines.withColumn("text", F.pandas_udf(_without, "string")("text", "_lines")).select(*kept, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    cut = F.pandas_udf(_without, "string")(F.when(F.col("_lines").isNotNull(), F.col("text")), "_lines")
+    return with_lines.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(cut)).select(*kept, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

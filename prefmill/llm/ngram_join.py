@@ -31,10 +31,6 @@ from . import common, setjoin
 EXTRA, ROUNDS = 0.1, 3
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _in_groups(batch, most: int = 2 << 20):
     """Slices of a batch with about `most` bytes of text."""
     texts = common.raw_bytes(batch.column("text"))
@@ -52,7 +48,7 @@ def _pack(labels: np.ndarray, extra: float):
         for b in batches:
             rids, ids = b.column("rid").to_pylist(), b.column("doc_id").to_pylist()
             for a, z, texts in _in_groups(b):
-                s, sizes = setjoin.segments([_words(t) for t in texts])
+                s, sizes = setjoin.text_sets(texts)
                 yield from out.add(s, sizes, rids[a:z], [0] * (z - a), ids[a:z])
         yield from out.close()
 
@@ -63,12 +59,12 @@ def _sets(batches):
     for b in batches:
         ids = b.column("id").to_pylist()
         for a, z, texts in _in_groups(b):
-            s, sizes = setjoin.segments([_words(t) for t in texts])
+            s, sizes = setjoin.text_sets(texts)
             raw, ends = s.tobytes(), np.cumsum(sizes)
             whole = [raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())]
             sig = [setjoin.signature(s[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(sig, pa.binary()), pa.array(whole, pa.binary())], names=["id", "n", "sig", "s"])
-    common.tidy(setjoin._HASHES)
+    common.tidy()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:

@@ -19,8 +19,6 @@ No row is dropped by a cap: cells of any size stay whole.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,19 +34,49 @@ _LOW = np.array([c if c < 32 else int(32 * _GROW ** (c - 32)) for c in range(256
 _FLUSH = 800_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def word_hashes(words: list) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(texts: list[bytes]):
+    """The words of texts, with A-Z lower-cased: text number, line number in the text, 64-bit hash."""
+    blob = b"\n" + b"\n".join(texts).lower() + b"\n" + b" " * 8
+    buf = np.frombuffer(blob, np.uint8)
+    space = (buf == 32) | ((buf - np.uint8(9)) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    first = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    first = np.concatenate([[1], first[:-1] + 1])  # where each text begins
+    owner = np.searchsorted(first, starts, side="right") - 1
+    breaks = np.flatnonzero(buf == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, first)[owner]
+    return owner, line, _word_hashes(blob, starts, ends)
+
+
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_hashes(blob: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Eight bytes of every word at a time; blob goes on for eight bytes after the last word."""
+    eight = np.ndarray((len(blob) - 7,), "<u8", blob, strides=(1,))
+    left = ends - starts
+    h = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    long = np.flatnonzero(left > _LONG)
+    h = _stir(h ^ (eight[starts] & _MASK[np.minimum(left, 8)]))
+    rest = np.flatnonzero((left > 8) & (left <= _LONG))
+    at, left = starts[rest], left[rest]
+    while len(rest):
+        at, left = at + 8, left - 8
+        h[rest] = _stir(h[rest] ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        rest, at, left = rest[more], at[more], left[more]
+    for k in long.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(blob[starts[k] : ends[k]])
+    return h
 
 
 def _mix(parts: list) -> np.ndarray:
@@ -63,12 +91,27 @@ def _mix(parts: list) -> np.ndarray:
     return s ^ (s >> np.uint64(29))
 
 
-def segments(words: list[list], short: bool = True):
-    """Sorted distinct shingle hashes of each list of words: flat array and sizes. A list of 1 to 4 words is one
-    shingle if short, else it has none."""
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    h = word_hashes(list(itertools.chain.from_iterable(words)))
-    seg = np.repeat(np.arange(len(words)), counts)
+def line_sets(texts: list[bytes]):
+    """Shingle sets of the lines of five words and more: flat array, sizes, text numbers, line numbers."""
+    owner, line, h = _words(texts)
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, len(h)))
+    enough = counts >= WIDTH
+    s, sizes = _sets_of(h[np.repeat(enough, counts)], counts[enough], False)
+    return s, sizes, owner[at[enough]], line[at[enough]]
+
+
+def text_sets(texts: list[bytes], short: bool = True):
+    """Sorted distinct shingle hashes of each text: flat array and sizes. A text of 1 to 4 words is one shingle if
+    short, else it has none."""
+    owner, _, h = _words(texts)
+    return _sets_of(h, np.bincount(owner, minlength=len(texts)), short)
+
+
+def _sets_of(h: np.ndarray, counts: np.ndarray, short: bool):
+    seg = np.repeat(np.arange(len(counts)), counts)
     if len(h) >= WIDTH:
         s = _mix([h[k : len(h) - WIDTH + 1 + k] for k in range(WIDTH)])
         ok = seg[: len(s)] == seg[WIDTH - 1 :]
@@ -81,13 +124,13 @@ def segments(words: list[list], short: bool = True):
         extra = np.array([_mix([h[starts[k] + j : starts[k] + j + 1] for j in range(counts[k])] + [np.array([counts[k]], np.uint64)])[0] for k in few], np.uint64)
         s, sg = np.concatenate([s, extra]), np.concatenate([sg, few])
     order = np.argsort(s)
-    small = sg[order].astype(np.uint16 if len(words) < 1 << 16 else np.int64)  # 16-bit keys are sorted by radix
+    small = sg[order].astype(np.uint16 if len(counts) < 1 << 16 else np.int64)  # 16-bit keys are sorted by radix
     order = order[np.argsort(small, kind="stable")]
     s, sg = s[order], sg[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (sg[1:] != sg[:-1])
     s, sg = s[first], sg[first]
-    return s, np.bincount(sg, minlength=len(words))
+    return s, np.bincount(sg, minlength=len(counts))
 
 
 def needed(n, extra: float):
@@ -149,7 +192,7 @@ class Packer:
 
     def close(self):
         yield from self.flush()
-        common.tidy(_HASHES)
+        common.tidy()
 
     def flush(self):
         if not self.size:
@@ -213,6 +256,13 @@ def _cells(labels: np.ndarray):
 
     def run(batches):
         e, ids = _gather(batches, [np.uint64, np.int64])
+        order = np.argsort(e)
+        e, ids = e[order], ids[order]
+        next_too = e[1:] >> np.uint64(8) == e[:-1] >> np.uint64(8)
+        ok = np.zeros(len(e), bool)
+        ok[1:] = next_too
+        ok[:-1] |= next_too
+        e, ids = e[ok], ids[ok]
         order = np.lexsort((ids, e))
         e, ids = e[order], ids[order]
         once = np.ones(len(e), bool)  # equal sets of several tasks count once
