@@ -39,9 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs a read."""
+    """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs a read.
+    The shuffle files of the write are of no more use then and go at once, not when the driver next collects garbage."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", compression).option("parquet.block.size", 16 << 20).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
