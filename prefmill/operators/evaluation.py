@@ -138,6 +138,32 @@ def pair_vectors(df: DataFrame) -> DataFrame:
     return df.withColumn("features", F.concat("va", "vb", diff, prod))
 
 
+def pair_encoding(df: DataFrame, first: str = "prompt_len", second: str = "respA_len", max_first: int = 96, max_second: int = 320, tokenizer_max: int = 512) -> DataFrame:
+    """Lengths of encoded pairs: each side is cut to its limit, then tokens go from the longer side (of equal ones from
+    the second) until the pair with its three marks fits; enc_pad fills it up."""
+    budget = min(max_first + max_second + 3, tokenizer_max)
+    a, b = F.least(first, F.lit(max_first)), F.least(second, F.lit(max_second))
+    over = F.greatest(F.lit(0), a + b - (budget - 3))
+    uneven = F.least(over, F.abs(a - b))  # these go from the longer side, the rest in turn
+    rest = over - uneven
+    left_a = a - F.when(a > b, uneven).otherwise(0) - F.floor(rest / 2)
+    left_b = b - F.when(b > a, uneven).otherwise(0) - F.ceil(rest / 2)
+    out = df.withColumns({"enc_first": left_a.cast("int"), "enc_second": left_b.cast("int")})
+    return out.withColumn("enc_pad", (budget - 3 - F.col("enc_first") - F.col("enc_second")).cast("int"))
+
+
+def attach(predictions: DataFrame, rows: DataFrame, lengths=("prompt_len", "respA_len", "respB_len")) -> DataFrame:
+    """Predictions with the token lengths of their rows, by id."""
+    return predictions.join(rows.select("id", *lengths), "id")
+
+
+def last_distribution(epochs: DataFrame, columns=("dist_A", "dist_B", "dist_TIE")) -> DataFrame:
+    """The predicted class shares of each run's last epoch; runs without these columns give none."""
+    if not set(columns) <= set(epochs.columns):
+        return epochs.limit(0).select("model", "run")
+    return epochs.groupBy("model", "run").agg(F.max_by(F.struct(*columns), "epoch").alias("x")).select("model", "run", "x.*")
+
+
 def steps(rows: int, batch: int, epochs: int, accumulate: int, ratio: float) -> tuple[int, int]:
     """Total and warm-up steps."""
     total = max(1, epochs * -(-rows // batch) // accumulate)

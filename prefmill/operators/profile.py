@@ -106,3 +106,15 @@ def min_max(df: DataFrame, column: str, by: str) -> DataFrame:
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest portable hash of key and seed: a sampling operator, so n is its meaning."""
     return df.withColumn("h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))).orderBy("h").limit(n).drop("h")
+
+
+def split_meta(df: DataFrame, lengths=("respA_len", "respB_len")) -> DataFrame:
+    """Rows, class percents and 99th percentiles of both lengths of each split."""
+    shares = [rnd(percent(F.col("label") == k)).alias(f"pct_{k}") for k in (0, 1, 2)]
+    return df.groupBy("split").agg(F.count("*").alias("n"), *shares, F.percentile(lengths[0], 0.99).alias("p99_a"), F.percentile(lengths[1], 0.99).alias("p99_b"))
+
+
+def leaked(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first n signatures, in order, that stand in more than one split."""
+    sides = df.groupBy("prompt_sig").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
+    return sides.filter("lo < hi").select("prompt_sig").orderBy("prompt_sig").limit(n)

@@ -272,7 +272,13 @@ q("f1_pivot", f"WITH {EPOCHS} SELECT model, max(macro_f1) FILTER (epoch = 1) AS
 q("confusion_melt", f"WITH {PROB}, c AS (SELECT CASE y_true WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'TIE' END AS t, y_pred FROM pr) SELECT l.x AS \"true\", p.x AS pred, (SELECT count(*) FROM c WHERE c.t = l.x AND c.y_pred = p.k) AS count, CAST(l.k AS INT) AS true_rank, CAST(p.k AS INT) AS pred_rank FROM (VALUES (0, 'A'), (1, 'B'), (2, 'TIE')) l(k, x), (VALUES (0, 'A'), (1, 'B'), (2, 'TIE')) p(k, x)")(lambda s, d: ev.melt_confusion(ev.confusion(prob(s, d)).select(F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("TIE")), F.col("y_true") + 1).alias("true"), F.col("pred_0").alias("pred_A"), F.col("pred_1").alias("pred_B"), F.col("pred_2").alias("pred_TIE"))))
 q("placeholder_predictions", f"WITH {BATTLES} SELECT id, 0.3333::DOUBLE AS \"prob_A\", 0.3333::DOUBLE AS \"prob_B\", 0.3333::DOUBLE AS \"prob_TIE\", 'TIE' AS pred_label FROM battles")(lambda s, d: ev.placeholder(fx.battles(s, d)))
 q("pair_vectors", "SELECT x.vec_id AS vec_id, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 4) AS l1, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS dot FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0")(lambda s, d: _pairs(s, d))
-q("pretty_percent", f"WITH {CLEAN} SELECT label, printf('%.2f%%', count(*) * 100.0 / sum(count(*)) OVER ()) AS pct FROM clean GROUP BY label")(lambda s, d: pr.class_balance(clean(s, d)).select("label", tx.pct_text(F.col("percent")).alias("pct")))
+q("pair_encoding", f"WITH {CLEAN}, a AS (SELECT row_idx, least(prompt_len, 96) AS a, least(\"respA_len\", 320) AS b FROM clean), o AS (SELECT *, greatest(0, a + b - 125) AS over FROM a), u AS (SELECT *, least(over, abs(a - b)) AS uneven, over - least(over, abs(a - b)) AS rest FROM o), e AS (SELECT row_idx, CAST(a - CASE WHEN a > b THEN uneven ELSE 0 END - rest // 2 AS INT) AS enc_first, CAST(b - CASE WHEN b > a THEN uneven ELSE 0 END - (rest + 1) // 2 AS INT) AS enc_second FROM u) SELECT *, CAST(125 - enc_first - enc_second AS INT) AS enc_pad FROM e")(lambda s, d: ev.pair_encoding(clean(s, d), tokenizer_max=128).select("row_idx", "enc_first", "enc_second", "enc_pad"))
+q("serving_clean", f"SELECT doc_id, coalesce({_clean('text')}, '') AS v FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.coalesce(tx.clean_text(F.col("text")), F.lit("")).alias("v")))
+q("predictions_attach", f"WITH {CLEAN}{PROB[len(BATTLES):]} SELECT pr.id, y_true, y_pred, prompt_len, \"respA_len\", \"respB_len\" FROM pr JOIN clean ON clean.id = pr.id")(lambda s, d: ev.attach(prob(s, d).select("id", "y_true", "y_pred"), clean(s, d)))
+q("last_epoch_distribution", f"WITH {EPOCHS}, x AS (SELECT *, (epoch * 3 % 7) / 10.0 AS \"dist_A\", (epoch * 5 % 7) / 20.0 AS \"dist_B\", row_number() OVER (PARTITION BY model, run ORDER BY epoch DESC) AS r FROM epochs) SELECT model, run, CAST(\"dist_A\" AS DOUBLE) AS \"dist_A\", CAST(\"dist_B\" AS DOUBLE) AS \"dist_B\", CAST(1 - \"dist_A\" - \"dist_B\" AS DOUBLE) AS \"dist_TIE\" FROM x WHERE r = 1")(lambda s, d: ev.last_distribution(epochs(s).withColumns({"dist_A": F.col("epoch") * 3 % 7 / F.lit(10.0), "dist_B": F.col("epoch") * 5 % 7 / F.lit(20.0)}).withColumn("dist_TIE", 1 - F.col("dist_A") - F.col("dist_B"))))
+q("split_meta", f"WITH {_SPLIT} SELECT split, count(*) AS n, " + ", ".join(f"round_even(avg(CAST(label = {k} AS INT)) * 100, 2) AS pct_{k}" for k in (0, 1, 2)) + ", quantile_cont(\"respA_len\", 0.99) AS p99_a, quantile_cont(\"respB_len\", 0.99) AS p99_b FROM sp GROUP BY split")(lambda s, d: pr.split_meta(pf.split(clean(s, d))))
+q("leaked_signatures", f"WITH {CLEAN} SELECT prompt_sig FROM (SELECT prompt_sig FROM clean WHERE row_idx // 40 % 2 = 0 INTERSECT SELECT prompt_sig FROM clean WHERE row_idx // 40 % 2 = 1) ORDER BY prompt_sig LIMIT 20")(lambda s, d: pr.leaked(clean(s, d).withColumn("split", F.when(F.floor(F.col("row_idx") / 40) % 2 == 0, "valid").otherwise("train"))))
+q("pretty_percent",f"WITH {CLEAN} SELECT label, printf('%.2f%%', count(*) * 100.0 / sum(count(*)) OVER ()) AS pct FROM clean GROUP BY label")(lambda s, d: pr.class_balance(clean(s, d)).select("label", tx.pct_text(F.col("percent")).alias("pct")))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:

@@ -60,3 +60,17 @@ def test_probabilities_sum_to_one(spark):
     for r in ev.bt_probabilities(rows).collect():
         assert abs(r["p_a"] + r["p_b"] + r["p_tie"] - 1) < 1e-12
     assert ev.steps(100, 8, 6, 2, 0.1) == (39, 3)
+
+
+def test_pair_encoding_takes_from_the_longer_side(spark):
+    rows = spark.createDataFrame([(a, b) for a in (0, 1, 4, 5, 9, 200) for b in (0, 3, 4, 5, 12, 400)], "prompt_len int, respA_len int")
+    for r in ev.pair_encoding(rows, tokenizer_max=11).collect():
+        a, b = min(r["prompt_len"], 96), min(r["respA_len"], 320)
+        while a + b > 8:
+            a, b = (a - 1, b) if a > b else (a, b - 1)
+        assert (r["enc_first"], r["enc_second"], r["enc_pad"]) == (a, b, 8 - a - b)
+
+
+def test_leaked_signatures(spark):
+    rows = spark.createDataFrame([("b", "train"), ("b", "valid"), ("a", "train"), ("a", "valid"), ("c", "train"), ("c", "train")], "prompt_sig string, split string")
+    assert [r[0] for r in pr.leaked(rows).collect()] == ["a", "b"] and pr.leaked(rows, 1).count() == 1
