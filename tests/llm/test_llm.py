@@ -291,3 +291,19 @@ def test_pipeline(spark, tmp_path):
     assert 0 < docs.count() <= before and docs.columns == ["doc_id", "n_pieces", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
     assert names is None
+
+
+def test_shingle_sets_of_texts_and_lines():
+    long = b"x" * 256 + b" " + b"x" * 257 + b" a\0 a B\xc3\xa9 " + b"y" * 9 + b"\x0b" + b"y" * 17
+    texts = [b"", b"a", b" \n a b\tc d e f\n\nA B c D e F g\n", b"a b c d e f", long, b"\n\n", b"a b a b a b a b"]
+    owner, line, hashes = setjoin._words(texts)
+    want = [(k, i, w) for k, t in enumerate(texts) for i, x in enumerate(t.lower().split(b"\n")) for w in x.split()]
+    assert list(zip(owner.tolist(), line.tolist())) == [w[:2] for w in want]
+    known = {}
+    assert all(known.setdefault(w[2], h) == h for w, h in zip(want, hashes.tolist())) and len(set(known.values())) == len(known)
+    count = lambda ws, short: len({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}) or int(short and bool(ws))
+    for short in (True, False):
+        assert setjoin.text_sets(texts, short)[1].tolist() == [count(t.lower().split(), short) for t in texts]
+    _, sizes, owner, line = setjoin.line_sets(texts)
+    lines = [(k, i, count(x.split(), False)) for k, t in enumerate(texts) for i, x in enumerate(t.lower().split(b"\n"))]
+    assert list(zip(owner.tolist(), line.tolist(), sizes.tolist())) == [x for x in lines if x[2]]
