@@ -32,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines that match an earlier line go, and with them documents of which no word is left; n_chars is counted anew
     where text changed. Documents that had no word from the start stay."""
     with common.arrow_rows(spark, 500):
-        out = line_dedup.dedup_lines(spark, docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        out = line_dedup.dedup_lines(spark, docs, short=True).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
         return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

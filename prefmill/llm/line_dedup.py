@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join (op 9).
 
 A line (between \\n characters) is the set of its five-word shingles, words being [^\\x20\\x09-\\x0D]+ after A-Z are
-lower-cased. Lines of fewer than five words have no set and always stay. Two lines match when
-100 * |x & y| >= 75 * |x | y|. A line goes when an earlier line matches it, earlier by doc_id (null last), then by the
+lower-cased. A line of 1 to 4 words is one shingle if `short`, as the queries have it; else it has no set and stays.
+Lines without a word always stay. Two lines match when 100 * |x & y| >= 75 * |x | y|. A line goes when an earlier line matches it, earlier by doc_id (null last), then by the
 document's place in the table, then by line number; whether that earlier line stays itself does not matter, so the
 result does not depend on any order of work.
 
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common, setjoin
 
 EXTRA = 0.02
+#: Different sets of which one has fewer hashes than this can't match: 2 shared of 3 are less than 75 of 100.
+LEAST = 3
 
 
 def _groups(batch, most: int = 2 << 20):
@@ -36,13 +38,13 @@ def _groups(batch, most: int = 2 << 20):
             start, held = k + 1, 0
 
 
-def _pack(labels: np.ndarray, extra: float):
+def _pack(labels: np.ndarray, extra: float, short: bool):
     def run(batches):
-        out = setjoin.Packer(labels, extra)
+        out = setjoin.Packer(labels, extra, LEAST)
         for b in batches:
             rids, ids = b.column("rid"), b.column("doc_id")
             for some, texts in _groups(b):
-                s, sizes, owner, line = setjoin.line_sets(texts)
+                s, sizes, owner, line = setjoin.line_sets(texts, short)
                 owner = pa.array(owner)
                 yield from out.add(s, sizes, rids[some].take(owner), line.astype(np.int32), ids[some].take(owner))
         yield from out.close()
@@ -67,10 +69,10 @@ def _sets(batches):
     common.tidy()
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents with row ids (rid, doc_id, text, ...), and rid, lines: numbers of the lines that go."""
     rows = common.with_rid(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")))
-    packed = rows.select("rid", "doc_id", "text").mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra), setjoin.ITEM)
+    packed = rows.select("rid", "doc_id", "text").mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra, short), setjoin.ITEM)
     packed = common.materialise(spark, packed, "op9-packed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("owner").alias("rid"), F.col("line"))
     items = packed.filter("id is not null").select("point", order.alias("o"))
@@ -114,9 +116,9 @@ def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, short: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text, and n_removed."""
-    rows, gone = repeated_lines(spark, docs, extra)
+    rows, gone = repeated_lines(spark, docs, extra, short)
     kept = [c for c in docs.columns if c != "n_removed"]
     with_lines = rows.join(gone.withColumnRenamed("lines", "_lines"), "rid", "left")
     cut = F.pandas_udf(_without, "string")(F.when(F.col("_lines").isNotNull(), F.col("text")), "_lines")
@@ -125,5 +127,5 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA) -> D
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with common.arrow_rows(spark, 1000):
-        out = dedup_lines(spark, common.documents(spark, sf_dir).select("doc_id", "text"))
+        out = dedup_lines(spark, common.documents(spark, sf_dir).select("doc_id", "text"), short=True)
         return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -91,15 +91,16 @@ def _mix(parts: list) -> np.ndarray:
     return s ^ (s >> np.uint64(29))
 
 
-def line_sets(texts: list[bytes]):
-    """Shingle sets of the lines of five words and more: flat array, sizes, text numbers, line numbers."""
+def line_sets(texts: list[bytes], short: bool = False):
+    """Shingle sets of the lines of five words and more, and if short also of those of 1 to 4 words, which are one
+    shingle: flat array, sizes, text numbers, line numbers."""
     owner, line, h = _words(texts)
     new = np.ones(len(h), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(h)))
-    enough = counts >= WIDTH
-    s, sizes = _sets_of(h[np.repeat(enough, counts)], counts[enough], False)
+    enough = counts >= (1 if short else WIDTH)
+    s, sizes = _sets_of(h[np.repeat(enough, counts)], counts[enough], short)
     return s, sizes, owner[at[enough]], line[at[enough]]
 
 
@@ -121,8 +122,11 @@ def _sets_of(h: np.ndarray, counts: np.ndarray, short: bool):
     few = np.flatnonzero((counts > 0) & (counts < WIDTH)) if short else ()
     if len(few):
         starts = np.cumsum(counts) - counts
-        extra = np.array([_mix([h[starts[k] + j : starts[k] + j + 1] for j in range(counts[k])] + [np.array([counts[k]], np.uint64)])[0] for k in few], np.uint64)
-        s, sg = np.concatenate([s, extra]), np.concatenate([sg, few])
+        for n in range(1, WIDTH):
+            own = few[counts[few] == n]
+            if len(own):
+                extra = _mix([h[starts[own] + j] for j in range(n)] + [np.full(len(own), n, np.uint64)])
+                s, sg = np.concatenate([s, extra]), np.concatenate([sg, own])
     order = np.argsort(s)
     small = sg[order].astype(np.uint16 if len(counts) < 1 << 16 else np.int64)  # 16-bit keys are sorted by radix
     order = order[np.argsort(small, kind="stable")]
@@ -152,9 +156,11 @@ _ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32(
 
 
 class Packer:
-    """Items and blobs of one task. An id is (task << 36) + the item's number in the task."""
+    """Items and blobs of one task. An id is (task << 36) + the item's number in the task. Sets of fewer than `least`
+    hashes give no prefix: equal sets are one point without it."""
 
-    def __init__(self, labels: np.ndarray, extra: float):
+    def __init__(self, labels: np.ndarray, extra: float, least: int = 1):
+        self.least = least
         self.task, self.next, self.seen, self.labels, self.extra = TaskContext.get().partitionId(), 0, set(), labels, extra
         self.held: list = []
         self.size = 0
@@ -178,7 +184,7 @@ class Packer:
         k = np.frombuffer(b"".join(keys), "<i8") if count else np.zeros(0, np.int64)
         if count:
             code = np.searchsorted(_LOW, sizes, side="right") - 1
-            take = np.where(fresh, prefix_length(sizes, self.extra), 0)
+            take = np.where(fresh & (sizes >= self.least), prefix_length(sizes, self.extra), 0)
             seg = np.repeat(np.arange(count), sizes)
             ok = np.arange(len(s)) - starts[seg] < take[seg]
             e = (s[ok] & ~np.uint64(255)) | code[seg[ok]].astype(np.uint64)
