@@ -5,7 +5,8 @@ words, so the scan works on UTF-8 bytes, words joined by one space. Base phrases
 consecutively. A notice of the table below may have up to `k` edits (characters inserted, deleted or changed): it is
 cut into k+1 pieces, one of which must stand unchanged (pigeonhole), an Aho-Corasick automaton finds the pieces, and
 the regex library's bounded-error matching verifies the notice around each and gives its span. Windows around
-adjoining seeds are merged before they are verified, so a repeated seed costs linear time.
+adjoining seeds are merged before they are verified. The best match of a window is taken first; then what stands
+before it and after it is searched in the same way, so poorer matches on either side are found too.
 
 Cases: null is the empty text: n_words 0, no labels, score 0. Rows of equal doc_id stay separate.
 score: 1 for an exact match, 1 - edits / length for the best fuzzy one, 0 for none.
@@ -83,9 +84,20 @@ class NoticeScanner:
         for i, spans in windows.items():
             text, label, _, pattern = self.notices[i]
             for low, high in spans:
-                for m in pattern.finditer(joined, low, min(high, len(joined))):
+                for m in self.matches(pattern, joined, low, min(high, len(joined))):
                     yield label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)
 
+    @staticmethod
+    def matches(pattern, joined: str, low: int, high: int):
+        """The best match of a window, and those before and after it in the same way, by place."""
+        todo, found = [(low, high)], []
+        while todo:
+            a, z = todo.pop()
+            if m := pattern.search(joined, a, z):
+                found.append(m)
+                todo += [(a, m.start()), (m.end(), z)]
+        return sorted(found, key=lambda m: m.start())
+
     def scan(self, text: bytes) -> dict:
         words = text.translate(common.WORD_BYTES).split()
         joined = b" " + b" ".join(words) + b" "
