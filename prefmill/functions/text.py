@@ -90,12 +90,15 @@ def head_tail(tok: Column, head: int, tail: int) -> Column:
     return F.when(F.size(tok) <= head + tail, tok).otherwise(F.concat(F.slice(tok, 1, head), F.array(F.lit("…")), F.slice(tok, -tail, tail)))
 
 
-def sample_middle(tok: Column, target: int) -> Column:
+def sample_middle(tok: Column, target: int, stride: int = 24) -> Column:
+    """The first 96 tokens of the left half, every stride-th token around the middle and the last 32 of the right half,
+    if there are more than target; what is still longer is clipped."""
     n, dots = F.size(tok), F.array(F.lit("…"))
     half = F.floor(n / 2).cast("int")
     reach = F.least(F.lit(64), F.floor(n / 4).cast("int"))
-    middle = F.slice(tok, F.greatest(half - reach, F.lit(0)) + 1, reach * 2)
-    out = F.concat(F.slice(tok, 1, F.least(F.lit(96), half)), dots, middle, dots, F.slice(tok, -32, 32))
+    middle = F.filter(F.slice(tok, half - reach + 1, reach * 2), lambda x, i: i % max(1, stride) == 0)
+    tail = F.least(F.lit(32), n - half)
+    out = F.concat(F.slice(tok, 1, F.least(F.lit(96), half)), dots, middle, dots, F.slice(tok, F.least(-tail, F.lit(-1)), tail))
     return F.when(n <= target, tok).when(F.size(out) > target, F.concat(F.slice(out, 1, target - 1), dots)).otherwise(out)
 
 
