@@ -148,6 +148,7 @@ _text("token_len", tx.token_len, _len("text"))
 _text("info_len", tx.info_len, f"CASE WHEN trim(text) = 'no response' THEN 0 ELSE {_len('text')} END")
 _text("shorten_preview", tx.shorten, "CASE WHEN length(text) <= 160 THEN text ELSE left(text, 160) || '...' END")
 _text("template_norm", lambda c: tx.template_norm(F.substring(c, 1, 200), F.substring(c, 201, 200)), _re("lower(left(text, 200) || ' || ' || substr(text, 201, 200))", "[^a-z0-9]+", " ").join(("trim(", ", ' ')")))
+q("template_norm_pairs", f"WITH {CLEAN} SELECT row_idx, " + _re("lower(response_a_clean || ' || ' || response_b_clean)", "[^a-z0-9]+", " ").join(("trim(", ", ' ')")) + " AS v FROM clean")(lambda s, d: clean(s, d).select("row_idx", tx.template_norm(F.col("response_a_clean"), F.col("response_b_clean")).alias("v")))
 _text("no_response_fill", lambda c: tx.fill_no_response(F.when(F.length(c) % 3 == 0, "N/A").when(F.length(c) % 3 == 1, "no  answer").otherwise(c)), _fill("(CASE WHEN length(text) % 3 = 0 THEN 'N/A' WHEN length(text) % 3 = 1 THEN 'no  answer' ELSE text END)"))
 _tok = f"list_filter(string_split_regex(coalesce(text, ''), '[{_S}]+'), lambda t: t <> '')"
 _text("head_tail", lambda c: F.array_join(tx.head_tail(tx.tokens(c), 96, 32), " "), f"array_to_string(CASE WHEN len({_tok}) <= 128 THEN {_tok} ELSE list_concat(list_concat(list_slice({_tok}, 1, 96), ['…']), list_slice({_tok}, -32, -1)) END, ' ')")

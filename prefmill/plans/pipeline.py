@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as tx
 from ..operators import preference as pf, profile as pr
 
 
@@ -13,7 +14,7 @@ def run(raw: DataFrame, stopwords=(), folds: int = 10) -> dict[str, DataFrame]:
     base = pf.tail_control(pf.clean_base(raw, stopwords)).persist()
     flags = pf.dedup_flags(pf.features(base)).persist()
     kept = flags.filter("keep")
-    templates = kept.select("row_idx", "prompt_sig", F.concat("response_a_clean", F.lit(" || "), "response_b_clean").alias("template"), "info")
+    templates = kept.select("row_idx", "prompt_sig", tx.template_norm(F.col("response_a_clean"), F.col("response_b_clean")).alias("template"), "info")
     clean = kept.join(pf.cluster_templates(templates).select("row_idx"), "row_idx", "left_semi").drop("hard", "near_same", "near_cross", "tie_trivial", "info", "keep")
     sides = pf.split(clean, folds)
     train, valid = sides.filter("split = 'train'").drop("split"), sides.filter("split = 'valid'").drop("split")
