@@ -38,10 +38,12 @@ def list_cell(c: Column) -> Column:
 
 
 def clean_text(c: Column, stopwords=(), keep_punct: bool = True) -> Column:
+    """Lower case without links, mentions and tags; every character outside the kept set becomes a space, so that
+    "don't" is two words; white space is collapsed; nothing left is null."""
     c = F.lower(c)
     for pattern in (rf"(https?://[^{SPACE}]+|www\.[^{SPACE}]+)", f"@[{WORD}]+", f"#[{WORD}]+"):
         c = F.regexp_replace(c, pattern, " ")
-    c = F.regexp_replace(c, f"[^{WORD}{SPACE}.,!?;:]" if keep_punct else f"[^{WORD}{SPACE}]", "")
+    c = F.regexp_replace(c, f"[^{WORD}{SPACE}.,!?;:]" if keep_punct else f"[^{WORD}{SPACE}]", " ")
     c = collapse(c)
     if stopwords:
         c = F.array_join(F.filter(F.split(c, " "), lambda x: ~x.isin(*stopwords)), " ")

@@ -29,7 +29,7 @@ def _clean(x: str, punct: bool = True) -> str:
     x = f"lower({x})"
     for p in (rf"(https?://[^{_S}]+|www\.[^{_S}]+)", f"@[{_W}]+", f"#[{_W}]+"):
         x = _re(x, p, " ")
-    return f"nullif({_collapse(_re(x, f'[^{_W}{_S}.,!?;:]' if punct else f'[^{_W}{_S}]', ''))}, '')"
+    return f"nullif({_collapse(_re(x, f'[^{_W}{_S}.,!?;:]' if punct else f'[^{_W}{_S}]', ' '))}, '')"
 
 
 def _len(x: str) -> str:

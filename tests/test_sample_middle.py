@@ -1,4 +1,4 @@
-"""sample_middle against the formula of the reference's truncation.py:47-58."""
+"""sample_middle against its formula over Python lists."""
 
 import pytest
 from pyspark.sql import functions as F

@@ -22,6 +22,13 @@ def test_clean_text(spark):
     assert values(spark, lambda c: tx.clean_text(c, ("the",)), ["the cat the"]) == ["cat"]
 
 
+def test_cleaning_puts_a_space_where_a_character_goes(spark):
+    cells = ["don't state-of-the-art a/b", "N/A", "x_y (z)", "a—b…c", "it's: 3.5% off!", "<b>hi</b>", "''"]
+    assert values(spark, tx.clean_text, cells) == ["don t state of the art a b", "n a", "x_y z", "a b c", "it s: 3.5 off!", "b hi b", None]
+    assert values(spark, lambda c: tx.clean_text(c, keep_punct=False), cells) == ["don t state of the art a b", "n a", "x_y z", "a b c", "it s 3 5 off", "b hi b", None]
+    assert values(spark, lambda c: tx.fill_no_response(tx.clean_text(c)), ["N/A", "NA", "no answer"]) == ["n a", "no response", "no response"]
+
+
 @pytest.mark.parametrize("p, want", [(0, 160), (59, 160), (60, 159), (96, 141), (500, 141)])
 def test_response_target(spark, p, want):
     assert spark.range(1).select(tx.response_target(F.lit(p)).alias("v")).first()["v"] == want
