@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Deletes nothing but ASCII white space; lower-cases nothing but A-Z.
@@ -83,6 +84,44 @@ def flat_lists(values: np.ndarray, lengths) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def slices(batch, column: str = "text", most: int = 4 << 20):
+    """Slices of a batch with about `most` bytes of text, one row at least."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block, start = np.cumsum(lengths) // most, 0
+    for end in [*(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]:
+        if end > start:
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def cut(texts: pa.Array, odd):
+    """Texts (null: empty) cut at their spaces: the distinct words; the numbers of the texts that hold a word for which
+    odd(words) marks, which are left whole; and the entries of all texts, one after the other, with how many each has. An entry
+    is the number of a word, or len(words) + k for the k-th whole text."""
+    lists = pc.split_pattern(texts.fill_null(""), " ")
+    coded = lists.flatten().dictionary_encode()
+    words, entries, counts = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    strange = odd(words).to_numpy(zero_copy_only=False)
+    whole = np.zeros(len(counts), bool)
+    if strange.any():
+        owner = np.repeat(np.arange(len(counts)), counts)
+        whole[owner[strange[entries]]] = True
+        entries = entries[~whole[owner]]
+        counts = np.where(whole, 0, counts)
+        at = (np.cumsum(counts) - counts)[whole]
+        entries = np.insert(entries, at, len(words) + np.arange(len(at)))
+        counts[whole] = 1
+    return words.to_pylist(), np.flatnonzero(whole), entries, counts
+
+
+def joined(blobs: list, entries: np.ndarray, counts: np.ndarray, kind: str):
+    """The blobs of entries one after the other as an array, and the number of values of each text."""
+    taken = pa.array(blobs, pa.large_binary()).take(pa.array(entries))
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(entries) + 1) if len(entries) else np.zeros(1, np.int64)
+    stops = ends[np.concatenate([[0], np.cumsum(counts)])] // np.dtype(kind).itemsize
+    return np.frombuffer(taken.buffers()[2], kind, stops[-1]) if stops[-1] else np.zeros(0, kind), np.diff(stops)
+
+
 def batches(rows, schema: pa.Schema) -> pa.RecordBatch:
     """One batch from a list of tuples."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)

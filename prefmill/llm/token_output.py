@@ -11,19 +11,18 @@ Documents are range-partitioned by doc_id and sorted inside the partition (null
 has the end id only. Rows of equal doc_id stay separate. An empty table gives no segments.
 
 Byte-level BPE works on pieces that begin at a space before a non-space, so a text without adjoining white space is
-cut at its spaces and each distinct piece is encoded once a task; other texts are encoded whole.
+cut at its spaces and each distinct word of a batch is encoded once; other texts are encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from itertools import compress
-from operator import add
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,17 +32,14 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SEGMENT = 1 << 18
 CACHE = 500_000
-_ADJOINING = re.compile(r"\s | \s")
-#: Byte-level BPE always cuts between a letter and these.
-_MARKS = ".,;:!?)\n"
+#: Bytes of text that are encoded together, if no single text is longer.
+SLICE = 12 << 20
 _SEGMENT_SQL = "part int, seq int, before long, doc_ids array<long>, lengths array<int>, n int, words binary, offsets binary, escape_at binary, escapes binary"
 
 
 class PieceEncoder:
-    """Ids of a text as little-endian 32-bit integers.
-
-    Pieces (without their leading space) and their letter cores are cached, CACHE of each at most; a cache that is
-    full is emptied. Cores that are not cached are encoded many at a time, joined by their spaces."""
+    """Ids of texts as little-endian 32-bit integers. Each distinct word of a batch, with its space, is encoded once, many
+    at a time; CACHE words stay known, those seen first: mostly the common ones."""
 
     def __init__(self, path: str):
         import os
@@ -55,18 +51,16 @@ class PieceEncoder:
         pieces = self.tok.get_vocab()
         self.begins = np.zeros(max(pieces.values()) + 1, bool)
         self.begins[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
         out = []
-        for k in range(0, len(pieces), 500):
-            some = pieces[k : k + 500]
+        for k in range(0, len(words), 500):
+            some = words[k : k + 500]
             blob = self._ids([" " + " ".join(some)])[0]
             at = (np.flatnonzero(self.begins[np.frombuffer(blob, "<u4")]) * 4).tolist()
             if len(at) == len(some):
@@ -75,32 +69,21 @@ class PieceEncoder:
                 out += self._ids([" " + p for p in some])
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        cores = [p.rstrip(_MARKS) for p in pieces]
-        plain = [c.isalpha() for c in cores]
-        whole = [p for p, ok in zip(pieces, plain) if not ok]
-        if whole:
-            self.pieces.update(zip(whole, self._spaced(whole)))
-            pieces, cores = list(compress(pieces, plain)), list(compress(cores, plain))
-        ends = [p[len(c) :] for p, c in zip(pieces, cores)]
-        new = list(set(cores).difference(self.cores))
-        self.cores.update(zip(new, self._spaced(new)))
-        some = list(set(ends).difference(self.ends))
-        self.ends.update(zip(some, self._ids(some)))
-        self.pieces.update(zip(pieces, map(add, map(self.cores.__getitem__, cores), map(self.ends.__getitem__, ends))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.pieces, self.cores, self.ends):
-            if len(cache) > CACHE:
-                cache.clear()
-        odd = [bool(_ADJOINING.search(t)) or t[:1] == " " or t[-1:] == " " for t in texts]
-        cut = [[] if o else t.split(" ") for t, o in zip(texts, odd)]
-        heads = iter(self._ids([t if o else c[0] for t, o, c in zip(texts, odd, cut)]))
-        need = set().union(*(c[1:] for c in cut)).difference(self.pieces)
-        if need:
-            self._learn(list(need))
-        get = self.pieces.__getitem__
-        return [next(heads) + b"".join(map(get, c[1:])) for c in cut]
+    def encode(self, texts: pa.Array):
+        """Ids of all texts one after the other, and the number of each text's."""
+        words, whole, entries, counts = common.cut(texts, lambda w: pc.or_(pc.equal(w, ""), pc.not_equal(pc.utf8_trim_whitespace(w), w)))
+        known = self.known
+        starts = np.cumsum(counts) - counts
+        split = np.ones(len(counts), bool)
+        split[whole] = False
+        heads = entries[starts[split]]  # first words have no space before them
+        entries[starts[split]] = len(words) + len(whole) + np.arange(len(heads))
+        need = [w for w in words if w not in known]
+        new = dict(zip(need, self._spaced(need)))
+        get = known.get
+        blobs = [get(w) or new[w] for w in words] + self._ids([texts[k].as_py() or "" for k in whole.tolist()] + [words[k] for k in heads.tolist()])
+        known.update(islice(new.items(), max(0, CACHE - len(known))))
+        return common.joined(blobs, entries, counts, "<u4")
 
 
 _CODERS: dict[str, PieceEncoder] = {}  # a Python worker serves many tasks
@@ -123,13 +106,13 @@ def _encode(path: str, end: int, segment: int):
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n", pa.int32()), *((c, pa.binary()) for c in ("words", "offsets", "escape_at", "escapes"))]))
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for doc_id, blob in zip(some.column("doc_id").to_pylist(), coder.encode(texts)):
+            for some in common.slices(b, "text", SLICE):
+                values, counts = coder.encode(some.column("text"))
+                whole, stops = values.tobytes(), (np.cumsum(counts) * 4).tolist()
+                for doc_id, i, j in zip(some.column("doc_id").to_pylist(), [0, *stops], stops):
                     ids.append(doc_id)
-                    blobs.append(blob + tail)
-                    lengths.append(len(blobs[-1]) // 4)
+                    blobs += whole[i:j], tail
+                    lengths.append((j - i) // 4 + 1)
                     held += lengths[-1]
                     if held >= segment:
                         yield flush()

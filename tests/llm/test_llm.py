@@ -307,3 +307,32 @@ def test_shingle_sets_of_texts_and_lines():
     _, sizes, owner, line = setjoin.line_sets(texts)
     lines = [(k, i, count(x.split(), False)) for k, t in enumerate(texts) for i, x in enumerate(t.lower().split(b"\n"))]
     assert list(zip(owner.tolist(), line.tolist(), sizes.tolist())) == [x for x in lines if x[2]]
+
+
+def test_forward_scores_and_paths_are_those_of_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    r, m = random.Random(2), pieces.PieceModel(public_tokenizers.path(pieces.MODEL))
+    words = sorted({"▁" + "".join(r.choice(["in", "ter", "nation", "al", "s", "e", ".", "x", "é", "漢", "ization"]) for _ in range(r.randint(1, 8))) for _ in range(500)})
+    for word, ids, score in m.viterbi(words):
+        assert ids == sp.encode(word[1:])
+        assert abs(score - sum(sp.get_score(i) for i in ids if not sp.is_byte(i))) < 1e-3
+    broken = pieces.PieceModel(public_tokenizers.path(pieces.MODEL))
+    broken.may_follow = lambda p, t: p == 0 and len(broken.pieces[t]) < 4  # no path: words are merged instead
+    assert [ids for _, ids, _ in broken.viterbi(words)] == [sp.encode(w[1:]) for w in words]
+
+
+def test_cut_leaves_odd_texts_whole():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = ["a b a", None, "", "b  c", "c", "x a"]
+    words, whole, entries, counts = common.cut(pa.array(texts), lambda w: pc.equal(w, ""))
+    assert whole.tolist() == [1, 2, 3] and counts.tolist() == [3, 1, 1, 1, 1, 2]
+    blobs = [w.encode() for w in words] + [b"[%d]" % k for k in whole]
+    values, n = common.joined(blobs, entries, counts, "u1")
+    assert values.tobytes() == b"aba[1][2][3]cxa" and n.tolist() == [3, 3, 3, 3, 1, 2]
+    none = common.joined([], np.zeros(0, np.int64), np.zeros(0, np.int64), "u1")
+    assert len(none[0]) == 0 and len(none[1]) == 0
