@@ -7,11 +7,14 @@ The word's place in the window bounds where the window may begin, its length whe
 document there is compared word for word inside the join, so the join's output is true occurrences only.
 
 The windows are broadcast, in blocks of a checked size: a benchmark of more than `block` distinct windows takes one
-pass over the documents a block. Each document adds one sentinel word, '', that meets a sentinel window: so documents
-without hits, empty texts and null texts come out of the same pass with their word counts.
+pass over the documents a block. A window does not carry the items that hold it but a hash (SHA-256) of their list, so
+a passage that many items share costs no more than another; the lists meet the documents only after equal sets of such
+hashes have become one, so 3,000 documents with one shared passage expand its items once. Each document adds one
+sentinel word, '', that meets a sentinel window: so documents without hits, empty texts and null texts come out of the
+same pass with their word counts.
 
 Cases: a null text has no words; an item without id or words is left out; rows of equal doc_id stay separate rows;
-an empty benchmark gives n_hit 0 throughout. docs must be a stored table (row ids follow the scan).
+an empty benchmark gives n_hit 0 throughout. Documents that are no scan of stored files are stored first.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: Windows in a broadcast: about 300 bytes each.
 BLOCK = 250_000
+#: Distinct sets of hit lists that are broadcast, at most; more are joined by a shuffle.
+SETS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -32,10 +37,11 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Distinct windows: ws array of words, items array of the ids that hold it."""
+    """Distinct windows: ws array of words, items sorted array of the ids that hold it, of hash `held`."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter("item is not null and size(w) > 0")
     begin = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))))
-    return items.select("item", "w", begin.alias("at")).select("item", F.slice("w", F.col("at"), F.lit(size)).alias("ws")).groupBy("ws").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    wins = items.select("item", "w", begin.alias("at")).select("item", F.slice("w", F.col("at"), F.lit(size)).alias("ws")).groupBy("ws").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return wins.withColumn("held", F.unhex(F.sha2(F.to_json("items").cast("binary"), 256)))
 
 
 def anchored(docs_words: DataFrame, wins: DataFrame, bound: int) -> DataFrame:
@@ -44,40 +50,59 @@ def anchored(docs_words: DataFrame, wins: DataFrame, bound: int) -> DataFrame:
     if vocabulary.count() <= bound:
         vocabulary = F.broadcast(vocabulary)
     counts = docs_words.select(F.explode_outer("words").alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
-    placed = wins.select("ws", "items", F.posexplode("ws").alias("off", "w")).join(counts, "w", "left")
+    placed = wins.select("ws", "held", F.posexplode("ws").alias("off", "w")).join(counts, "w", "left")
     # a word that no document has makes the rarest anchor of all: its windows can't occur
     first = F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w", "off")).alias("a")
-    return placed.groupBy("ws").agg(F.first("items").alias("items"), first).filter("a.c > 0").select(F.col("a.w").alias("anchor"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "items")
+    return placed.groupBy("ws", "held").agg(first).filter("a.c > 0").select(F.col("a.w").alias("anchor"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "held")
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """A row for each document: rid, doc_id, n_words, n_hit, items (sorted), spans (start, n) of occurring windows."""
+def occurrences(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """A row for each document: rid, doc_id, n_words, n_hit, spans (start, n) of occurring windows, held (sorted hashes of
+    their lists of items); and the lists: held, items."""
     base = common.with_rid(docs.select(F.col("doc_id"), F.col("text"))).select("rid", "doc_id", words(F.col("text")).alias("words"))
-    wins = common.materialise(spark, anchored(base, windows(benchmark, size), block), "op8-windows")
+    every = common.materialise(spark, windows(benchmark, size), "op8-windows")
+    wins = common.materialise(spark, anchored(base, every, block), "op8-anchored")
     parts = max(1, -(-wins.count() // block))
-    sentinel = spark.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("array<string>").alias("items"))
+    sentinel = spark.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("binary").alias("held"))
     exploded = base.select("rid", "doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "w"))
     fits = (F.col("n") == 0) | ((F.col("pos") >= F.col("off")) & (F.slice("words", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), F.col("n")) == F.col("ws")))
     found = None
     for k in range(parts):
         some = wins if parts == 1 else wins.filter(F.pmod(F.xxhash64("ws"), F.lit(parts)) == k)
         some = some.unionByName(sentinel) if k == 0 else some
-        hits = exploded.join(F.broadcast(some), (F.col("w") == F.col("anchor")) & fits).select("rid", "doc_id", F.when(F.col("n") == 0, F.col("pos")).alias("n_words"), F.when(F.col("n") > 0, F.struct((F.col("pos") - F.col("off")).alias("start"), "n")).alias("span"), "items")
+        hits = exploded.join(F.broadcast(some), (F.col("w") == F.col("anchor")) & fits).select("rid", "doc_id", F.when(F.col("n") == 0, F.col("pos")).alias("n_words"), F.when(F.col("n") > 0, F.struct((F.col("pos") - F.col("off")).alias("start"), "n")).alias("span"), "held")
         found = hits if found is None else found.unionByName(hits)
-    per_doc = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    per_doc = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("held")).alias("held"))
     # spans in order of their start: each adds what lies beyond the end reached so far
     start, end = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")), lambda s: s["start"] + s["n"]
     step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), end(s) - F.greatest(a["end"], s["start"]))).alias("hit"), F.greatest(a["end"], end(s)).alias("end"))
-    return per_doc.select(
-        "rid", "doc_id", "n_words",
-        F.aggregate(F.sort_array("spans"), start, step, lambda a: a["hit"]).cast("long").alias("n_hit"),
-        F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"), F.sort_array("spans").alias("spans"),
-    )
+    out = per_doc.select("rid", "doc_id", "n_words", F.aggregate("spans", start, step, lambda a: a["hit"]).cast("long").alias("n_hit"), "spans", "held")
+    return out, every.select("held", "items").dropDuplicates(["held"])
+
+
+def item_lists(found: DataFrame, lists: DataFrame) -> DataFrame:
+    """held (array of hashes), items (sorted): what each distinct set of lists adds up to."""
+    sets = found.filter(F.size("held") > 0).select("held").distinct()
+    return sets.select("held", F.explode("held").alias("one")).join(lists.withColumnRenamed("held", "one"), "one").select("held", F.explode("items").alias("item")).distinct().groupBy("held").agg(F.sort_array(F.collect_list("item")).alias("items"))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """A row for each document: rid, doc_id, n_words, n_hit, items (sorted), spans (start, n) of occurring windows."""
+    found, lists = occurrences(spark, docs, benchmark, size, block)
+    found = common.materialise(spark, found, "op8-found")
+    out = found.join(item_lists(found, lists), "held", "left")
+    return out.select("rid", "doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contaminated(spark, common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found, lists = occurrences(spark, common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = common.materialise(spark, found, "op8-found")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    sets = common.materialise(spark, item_lists(found, lists).select("held", F.size("items").cast("long").alias("n_items"), digest(F.array_join("items", ",")).alias("items_sha256")), "op8-sets")
+    if sets.count() <= SETS:
+        sets = F.broadcast(sets)
+    out = found.join(sets, "held", "left")
+    return out.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", digest(F.lit(""))).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 OP8_SQL = r"""
