@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Deletes nothing but ASCII white space; lower-cases nothing but A-Z.
@@ -57,10 +58,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Files whose numbers are broadcast, at most: a path of 150 bytes each makes 15 MB.
+FILES = 100_000
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is a scan of files, of which columns are picked or rows filtered: then its rows know their place."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+    except AnalysisException:
+        return False
+    return True
+
+
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df if it is a scan of files, else a stored copy, so that it has the same rows and ids whenever it is read."""
+    return df if _is_scan(df) else materialise(spark, df, "rows")
+
+
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
-    """A unique long for each row. It follows the order of the scan, so df must be a scan of stored files:
-    then a recomputed partition gets the same ids again."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """df with a unique long for each row: the number of its file, in order of path, and its place in the file. So the
+    ids are the same in every job, however the scan is split and whatever executors there are. What is not a scan of at
+    most FILES stored Parquet files is stored first, with ids."""
+    spark = df.sparkSession
+    if _is_scan(df):
+        at = df.metadataColumn("_metadata")
+        paths = df.select(at.getField("file_path").alias("p")).distinct().limit(FILES + 1).collect()
+        if len(paths) <= FILES:
+            path, file, row = (fresh(df, c) for c in ("path", "file", "row"))
+            numbers = spark.createDataFrame([(r["p"], k) for k, r in enumerate(sorted(paths))], f"`{path}` string, `{file}` long")
+            placed = df.withColumns({path: at.getField("file_path"), row: at.getField("row_index")})
+            return placed.join(F.broadcast(numbers), path).withColumn(name, F.shiftleft(file, 40) + F.col(row)).drop(path, file, row)
+    return materialise(spark, df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def crc_mod(ids, n: int) -> np.ndarray:
@@ -101,17 +143,18 @@ def cut(texts: pa.Array, odd):
     lists = pc.split_pattern(texts.fill_null(""), " ")
     coded = lists.flatten().dictionary_encode()
     words, entries, counts = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
-    strange = odd(words).to_numpy(zero_copy_only=False)
-    whole = np.zeros(len(counts), bool)
-    if strange.any():
-        owner = np.repeat(np.arange(len(counts)), counts)
-        whole[owner[strange[entries]]] = True
-        entries = entries[~whole[owner]]
-        counts = np.where(whole, 0, counts)
-        at = (np.cumsum(counts) - counts)[whole]
-        entries = np.insert(entries, at, len(words) + np.arange(len(at)))
+    stops = np.cumsum(counts)
+    places = np.flatnonzero(odd(words).to_numpy(zero_copy_only=False)[entries])
+    whole = np.unique(np.searchsorted(stops, places, side="right"))
+    if len(whole):
+        keep = np.ones(len(entries), bool)
+        for k in whole.tolist():
+            keep[stops[k] - counts[k] : stops[k]] = False
+        entries = entries[keep]
+        counts[whole] = 0
+        entries = np.insert(entries, np.cumsum(counts)[whole], len(words) + np.arange(len(whole)))
         counts[whole] = 1
-    return words.to_pylist(), np.flatnonzero(whole), entries, counts
+    return words.to_pylist(), whole, entries, counts
 
 
 def joined(blobs: list, entries: np.ndarray, counts: np.ndarray, kind: str):

@@ -11,7 +11,8 @@ Lines of equal sets are one point, whose first line stands for it. A first round
 line that it meets in most cells; what that does not settle is compared with every earlier point in its cells.
 
 Cases: a null text stays null; a text whose lines all go becomes empty; rows of equal doc_id are separate documents;
-an empty table stays empty. docs must be a stored table.
+an empty table stays empty; other columns of the documents stay as they are, whatever their names. Documents that are no
+scan of stored files are stored first.
 """
 
 from __future__ import annotations
@@ -70,21 +71,23 @@ def _sets(batches):
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The documents with row ids (rid, doc_id, text, ...), and rid, lines: numbers of the lines that go."""
-    rows = common.with_rid(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")))
-    packed = rows.select("rid", "doc_id", "text").mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra, short), setjoin.ITEM)
+    """The documents with row ids (in the column `rid`, or if they have one of that name in the last), and rid, lines:
+    numbers of the lines that go."""
+    rows = common.with_rid(docs, common.fresh(docs, "rid"))
+    texts = rows.select(F.col(rows.columns[-1]).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    packed = texts.mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra, short), setjoin.ITEM)
     packed = common.materialise(spark, packed, "op9-packed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("owner").alias("rid"), F.col("line"))
-    items = packed.filter("id is not null").select("point", order.alias("o"))
+    items = packed.filter("id is not null").select("id", "key", "check", order.alias("o"))
     alive = common.materialise(spark, setjoin.survivors(spark, packed, extra), "op9-survivors")
 
-    # a point's first line stands for it; points of one line that can't match are done
-    first = items.groupBy("point").agg(F.min("o").alias("o"), F.count("*").alias("times"))
-    first = first.join(alive.withColumn("alive", F.lit(True)), "point", "left").filter("times > 1 or alive")
+    # a point's first line stands for it, and its smallest item id is its name; points of one line that can't match are done
+    first = items.groupBy("key", "check").agg(F.min("o").alias("o"), F.min("id").alias("point"), F.count("*").alias("times"))
+    first = first.join(alive.withColumn("alive", F.lit(True)), "key", "left").filter("times > 1 or alive")
     first = common.materialise(spark, first, "op9-points")
     wanted = first.filter("alive").groupBy(F.col("o.rid").alias("rid")).agg(F.collect_list(F.struct("point", F.col("o.line").alias("line"))).alias("wanted"))
-    texts = rows.select("rid", "text").join(wanted, "rid").select("text", "wanted")
-    sets = common.materialise(spark, texts.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op9-sets")
+    chosen = texts.select("rid", "text").join(wanted, "rid").select("text", "wanted")
+    sets = common.materialise(spark, chosen.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op9-sets")
     met = setjoin.cells(spark, sets).join(first.select("point", "o"), "point")
     met = common.materialise(spark, met, "op9-cells")
 
@@ -101,8 +104,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, s
     gone = common.materialise(spark, gone.union(more).distinct(), "op9-gone")
 
     # every line of a point that goes, and all but the first of a point that stays
-    state = first.filter("times > 1").select("point", "o").join(gone.withColumn("gone", F.lit(True)), "point", "full")
-    out = items.withColumnRenamed("o", "own").join(state, "point").filter(F.col("gone") | (F.col("own") != F.col("o")))
+    state = first.join(gone.withColumn("gone", F.lit(True)), "point", "left").filter("times > 1 or gone").select("key", "check", "o", "gone")
+    out = items.withColumnRenamed("o", "own").join(state, ["key", "check"]).filter(F.col("gone") | (F.col("own") != F.col("o")))
     return rows, out.groupBy(F.col("own.rid").alias("rid")).agg(F.collect_list("own.line").alias("lines"))
 
 
@@ -117,12 +120,15 @@ def _without(texts: pd.Series, lines: pd.Series) -> pd.Series:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, short: bool = False) -> DataFrame:
-    """docs with the repeated lines taken out of text, and n_removed."""
+    """docs with the repeated lines taken out of text, and n_removed, in place of a column of that name."""
     rows, gone = repeated_lines(spark, docs, extra, short)
-    kept = [c for c in docs.columns if c != "n_removed"]
-    with_lines = rows.join(gone.withColumnRenamed("lines", "_lines"), "rid", "left")
-    cut = F.pandas_udf(_without, "string")(F.when(F.col("_lines").isNotNull(), F.col("text")), "_lines")
-    return with_lines.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(cut)).select(*kept, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    rid, lines = rows.columns[-1], common.fresh(rows, "lines")
+    kept = [c for c in docs.columns if c not in ("text", "n_removed")]
+    names = [c for c in docs.columns if c != "n_removed"]
+    both = rows.withColumn("text", F.col("text").cast("string")).join(gone.select(F.col("rid").alias(rid), F.col("lines").alias(lines)), rid, "left")
+    cut = F.pandas_udf(_without, "string")(F.when(F.col(lines).isNotNull(), F.col("text")), lines)
+    text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(cut).alias("text")
+    return both.select(*kept, text, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed")).select(*names, "n_removed")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,31 @@
 """N-gram Jaccard join in the metric space of shingle sets (op 7).
 
-Distance is 1 - Jaccard; two documents link at 0.25 or less. Documents of equal sets are one point. The points that can
-have a partner, and the cells in which partners meet, come from setjoin.py. Then
-
-- pivots: in every cell the point that shares most of its prefix with others stands for the cell; a point's region is
-  that of the pivot it meets in most cells, its nearest one as far as cells tell, and its distance to it is measured.
-  Points within 0.25 are linked with the pivot, hence with each other: nothing in that ball is compared any more.
-- recursion: points further away form cells among themselves, with pivots of their own, for `rounds` rounds.
-- boundaries: a pair across regions can only be near when it shares a kept cell and passes the length and positional
-  bounds there. Such pairs, where their components are still apart, are measured exactly. The triangle inequality
-  itself prunes nothing here (README).
-
-Why cells and not distances to sampled pivots come first: of unrelated documents nearly all have distance exactly 1
-to every pivot (89 % of the documents here share under a quarter of their shingles with all others together), so
-triangle-inequality windows alone would replicate every document into every region.
+Distance is 1 - Jaccard, a metric; two documents link at 0.25 or less. Documents of equal sets are one point. The points
+that can have a partner, and the cells (rare shingles of their prefixes) in one of which any two near points meet, come
+from setjoin.py. Then, round by round:
+
+- pivots: in every cell the point that shares most of its prefix with others is the cell's pivot. The region of a pivot
+  is all points of its cells; a point at the border of several regions stands in each of them. The distance of every
+  point to every pivot whose region it is in is measured exactly.
+- balls: points within 0.25 of a pivot are linked with it, hence with each other, and not compared any more.
+- windows: for a point y outside the ball, d(y, pivot) <= d(x, pivot) + 0.25 for any x that is near it (triangle
+  inequality), so y meets only the points x of the ball at d(y, pivot) - 0.25 or more: none at all if y is further than
+  0.5 from the pivot.
+- recursion: the points outside the ball are a smaller cell with a pivot of its own in the next round. Rounds end when
+  no cell has more than SMALL points, or when a round has not made the cells above that smaller by a tenth (points that
+  are all far from each other, which no distance separates). Two points of what is left of a cell are compared if their
+  distances to each of the cell's pivots so far differ by 0.25 at most.
+
+All comparisons also have to pass the length and positional bounds of the cell they meet in, and are left out where the
+two are linked already; what remains is measured exactly.
+
+Why cells come first: of unrelated documents nearly all have distance exactly 1 to every pivot, so windows over
+sampled pivots alone would replicate every document into every region (README).
 
 Result: component_id, the smallest doc_id reachable by links. Cases: no words or null text: empty set, linked with
 nothing; 1 to 4 words: one shingle; a null doc_id counts as larger than any other, so a component has component_id
-null only if no member has an id; rows of equal doc_id are points of their own. docs must be a stored table.
+null only if no member has an id; rows of equal doc_id are points of their own; an empty table gives no rows. Documents
+that are no scan of stored files are stored first.
 """
 
 from __future__ import annotations
@@ -28,7 +36,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, setjoin
 
-EXTRA, ROUNDS = 0.1, 3
+EXTRA, SMALL = 0.1, 16
+#: The largest distance of a link, as a bound that rounding can't undercut.
+NEAR = 0.25 + 1e-9
 
 
 def _in_groups(batch, most: int = 2 << 20):
@@ -82,46 +92,74 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, rounds: int = ROUNDS) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id of each document."""
+def _pairs(x: DataFrame, y: DataFrame, window) -> DataFrame:
+    """a, b of the rows of x and y that meet in a cell and pass its bounds and the window."""
+    sides = [t.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("point", "n", "pos", "d"))) for t, side in ((x, "a"), (y, "b"))]
+    met = sides[0].join(sides[1], "h").filter(setjoin.bounds() & window)
+    return met.select(F.least("point_a", "point_b").alias("a"), F.greatest("point_a", "point_b").alias("b"))
+
+
+def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of points with pivots, and pairs (a, b) that are still to be measured, from cells (h, point, n, pos,
+    share) and whole sets."""
+    left = met.withColumn("d", F.array().cast("array<double>"))
+    links, pairs, before = None, None, None
+    while True:
+        pivot = left.groupBy("h").agg(F.max_by("point", F.struct("share", -F.col("point"))).alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
+        rows = common.materialise(spark, left.join(pivot, "h"), "op7-region")
+        asked = rows.filter("point <> pivot").select(F.col("pivot").alias("a"), F.col("point").alias("b")).distinct()
+        far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+        known = setjoin.overlaps(asked, sets).select("a", "b", far.alias("far"), F.expr(setjoin.SIMILAR).alias("near"))
+        known = common.materialise(spark, known, "op7-distances")
+        ball = known.filter("near").select("a", "b")
+        links = ball if links is None else links.union(ball)
+        measured = known.select(F.col("a").alias("pivot"), F.col("b").alias("point"), "far", "near")
+        placed = rows.join(measured, ["pivot", "point"], "left").select("h", "point", "n", "pos", "share", F.concat("d", F.array(F.coalesce("far", F.lit(0.0)))).alias("d"), F.coalesce("near", F.lit(True)).alias("near"))
+        placed = common.materialise(spark, placed, "op7-placed")
+        last = lambda side: F.element_at(f"d_{side}", -1)
+        outside = placed.filter("not near")
+        border = outside.filter(F.element_at("d", -1) <= 2 * NEAR)
+        inside = placed.filter(F.col("near") & (F.element_at("d", -1) > 0)).join(border.select("h").distinct(), "h", "left_semi")
+        some = _pairs(inside, border, last("b") <= last("a") + NEAR)
+        pairs = some if pairs is None else pairs.union(some)
+        sizes = outside.groupBy("h").agg(F.count("*").alias("m")).agg(F.max("m").alias("most"), F.sum(F.when(F.col("m") > small, F.col("m"))).alias("large")).first()
+        left = outside.drop("near")
+        large = sizes["large"] or 0
+        if not large or (before is not None and large > 0.9 * before):
+            break
+        before = large
+    window = F.forall(F.zip_with("d_a", "d_b", lambda x, y: F.abs(x - y)), lambda x: x <= NEAR) & (F.col("point_a") < F.col("point_b"))
+    return links, pairs.union(_pairs(left, left, window)).distinct()
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, small: int = SMALL, groups: bool = False) -> DataFrame:
+    """rid, doc_id, n_shingles, component_id of each document; with groups also group_id, which is the same in a
+    component and null where a document has no shingle."""
     rows = common.with_rid(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     packed = rows.mapInArrow(_pack(common.partition_labels(common.partitions(spark)), extra), setjoin.ITEM)
     packed = common.materialise(spark, packed, "op7-packed")
-    items = packed.filter("id is not null").select("id", F.col("owner").alias("rid"), "doc_id", "n", "point")
+    items = packed.filter("id is not null").select("id", F.col("owner").alias("rid"), "doc_id", "n", "key", "check")
     alive = common.materialise(spark, setjoin.survivors(spark, packed, extra), "op7-survivors")
-    firsts = items.join(alive, "point", "left_semi").groupBy("point").agg(F.min("rid").alias("rid"))
-    texts = rows.select("rid", "text").join(firsts, "rid").select(F.col("point").alias("id"), "text")
+    firsts = items.join(alive, "key", "left_semi").groupBy("key", "check").agg(F.min(F.struct("id", "rid")).alias("first")).select("first.*")
+    texts = rows.select("rid", "text").join(firsts, "rid").select("id", "text")
     sets = common.materialise(spark, texts.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op7-sets")
-    met = common.materialise(spark, setjoin.cells(spark, sets).withColumn("share", F.col("c") / F.col("n")), "op7-cells")
-
-    links, left, known = None, met, None
-    for k in range(rounds):
-        pivot = left.groupBy("h").agg(F.max_by("point", F.struct("share", -F.col("point"))).alias("pivot"), F.count("*").alias("m")).filter("m > 1")
-        meets = left.join(pivot, "h").filter("point <> pivot").groupBy("point", "pivot").agg(F.count("*").alias("times"))
-        home = meets.groupBy("point").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
-        home = common.materialise(spark, home.select(F.col("pivot").alias("a"), F.col("point").alias("b")), f"op7-home{k}")
-        near = common.materialise(spark, setjoin.verify(home, sets), f"op7-near{k}")
-        links = near if links is None else links.union(near)
-        known = home if known is None else known.union(home)
-        far = home.join(near, ["a", "b"], "left_anti").select(F.col("b").alias("point"))
-        left = common.materialise(spark, left.join(far, "point", "left_semi"), f"op7-left{k}")
-        if left.isEmpty():
-            break
+    met = common.materialise(spark, setjoin.cells(spark, sets).withColumn("share", F.col("c") / F.col("n")).drop("c"), "op7-cells")
+
+    links, pairs = regions(spark, met, sets, small)
     label = components(spark, links)
-    tagged = met.join(label.withColumnRenamed("id", "point"), "point", "left").select("h", "point", "n", "pos", F.coalesce("label", "point").alias("label"))
-    mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
-    tagged = common.materialise(spark, tagged.join(mixed, "h"), "op7-mixed")
-    x, y = (tagged.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("point", "n", "pos", "label"))) for side in "ab")
-    across = x.join(y, "h").filter((F.col("point_a") < F.col("point_b")) & (F.col("label_a") != F.col("label_b")) & setjoin.bounds())
-    across = across.select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
-    rest = common.materialise(spark, setjoin.verify(across.join(known, ["a", "b"], "left_anti"), sets), "op7-across")
-    label = components(spark, links.union(rest)) if not rest.isEmpty() else label
-
-    ends = items.filter("n > 0").groupBy("point").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "point"), "point", "left")
-    ends = ends.withColumn("label", F.coalesce("label", "point"))
-    ends = ends.join(ends.groupBy("label").agg(F.min("least").alias("component")), "label").select("point", "component")
-    out = items.withColumn("point", F.when(F.col("n") > 0, F.col("point"))).join(ends, "point", "left")
-    return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    side = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    rest = common.materialise(spark, setjoin.verify(apart, sets), "op7-across")
+    if not rest.isEmpty():
+        label = components(spark, links.union(rest))
+
+    ends = items.filter("n > 0").groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.min("id").alias("id")).join(label, "id", "left")
+    ends = ends.withColumn("label", F.coalesce("label", "id"))
+    ends = ends.join(ends.groupBy("label").agg(F.min("least").alias("component")), "label").select("key", "check", "component", "label")
+    empty = items.filter("n = 0").select("rid", "doc_id", "n", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("label"))
+    out = items.filter("n > 0").join(ends, ["key", "check"]).select("rid", "doc_id", "n", "component", "label").union(empty)
+    more = [F.col("label").alias("group_id")] * groups
+    return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *more)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,21 @@
 
 Sets hold 64-bit hashes of shingles of five words. Two sets are similar when 100 * |x & y| >= 75 * |x | y|. The steps:
 
-A set is known by the 64-bit hash of its sorted hashes: equal sets are one point from the start.
+A set is known by the 128-bit hash of its sorted hashes (two longs, key and check): equal sets are one point from the
+start. Up to step 2 half of it, the key, is enough: a chance meeting only keeps a set that could have gone.
 
 1. prefix: every set is sorted by hash and gives its first n - ceil(0.75 n) + l(n) hashes, l(n) = floor(extra * n) + 1.
    Similar sets share at least min(l) of them. A task packs them into blobs by hash bucket, so the shuffle moves
    arrays, not rows; a set that a task has already seen is not sent again.
 2. survivors: a hash that stands in one set only can't be shared. A set with fewer than lmin others goes away; so do
    nearly all sets without a partner.
-3. rarity: the whole sets of the survivors meet by hash, which gives each hash's exact frequency. A set orders its
-   hashes by that frequency, rarest first; a similar set shares ceil(0.75 n) of them, so the first
+3. rarity: the whole sets of the survivors meet by hash, which gives each hash's frequency (from MANY on all count as
+   equally frequent). A set orders its hashes by that frequency, rarest first; a similar set shares ceil(0.75 n) of them, so the first
    n - ceil(0.75 n) + 1 are enough, and of these only the cells with two sets or more are kept, with the position.
 4. candidates meet in kept cells, pass the length and positional bounds, and are verified on the whole sets.
 
-No row is dropped by a cap: cells of any size stay whole.
+No row is dropped by a cap: cells of any size stay whole. A task of steps 2 and 3 works through its entries in chunks of
+CHUNK and lets the entries of a hash go as soon as its fate is known, so a hash that stands everywhere fills no memory.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ _GROW = 1.06
 #: Lower bounds of n by code: exact below 32, then rising by 6 %.
 _LOW = np.array([c if c < 32 else int(32 * _GROW ** (c - 32)) for c in range(256)], np.int64)
 _FLUSH = 800_000
+#: Frequencies are exact below this.
+MANY = 1 << 16
+CHUNK = 4_000_000
 
 
 #: Words of more bytes are hashed one by one.
@@ -151,8 +156,8 @@ def least_shared(code: np.ndarray, extra: float) -> np.ndarray:
     return np.floor(extra * PERCENT / 100 / _GROW * _LOW[code]).astype(np.int64) + 1
 
 
-ITEM = "id long, owner long, line int, doc_id long, n int, point long, bucket int, blob binary"
-_ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("point", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
+ITEM = "id long, owner long, line int, doc_id long, n int, key long, check long, bucket int, blob binary"
+_ITEM = pa.schema([("id", pa.int64()), ("owner", pa.int64()), ("line", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("check", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 class Packer:
@@ -171,7 +176,7 @@ class Packer:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         raw = s.tobytes()
-        keys = [xxhash.xxh3_64_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
         fresh = np.ones(count, bool)
         for k, key in enumerate(keys):
             if key in self.seen:
@@ -181,7 +186,7 @@ class Packer:
         if len(self.seen) > 500_000:
             self.seen.clear()
         local = np.arange(self.next, self.next + count)
-        k = np.frombuffer(b"".join(keys), "<i8") if count else np.zeros(0, np.int64)
+        k, check = (np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T.copy() if count else np.zeros((2, 0), np.int64))
         if count:
             code = np.searchsorted(_LOW, sizes, side="right") - 1
             take = np.where(fresh & (sizes >= self.least), prefix_length(sizes, self.extra), 0)
@@ -191,7 +196,7 @@ class Packer:
             self.held.append((e, k[seg[ok]]))
             self.size += len(e)
         none = pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(local + (self.task << 36)), pa.array(owners, pa.int64()), pa.array(lines, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(k), *none], schema=_ITEM)
+        yield pa.RecordBatch.from_arrays([pa.array(local + (self.task << 36)), pa.array(owners, pa.int64()), pa.array(lines, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(k), pa.array(check), *none], schema=_ITEM)
         self.next += count
         if self.size > _FLUSH:
             yield from self.flush()
@@ -210,7 +215,7 @@ class Packer:
 
 
 def _survivors(extra: float):
-    """Points with enough shared prefix hashes."""
+    """Keys of points with enough shared prefix hashes."""
 
     def run(batches):
         es, ids = [], []
@@ -223,7 +228,7 @@ def _survivors(extra: float):
             return
         point, at, c = np.unique(np.concatenate(ids), return_index=True, return_counts=True)
         code = (np.concatenate(es)[at] & np.uint64(255)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(point[c >= least_shared(code, extra)])], names=["point"])
+        yield pa.RecordBatch.from_arrays([pa.array(point[c >= least_shared(code, extra)])], names=["key"])
 
     return run
 
@@ -245,38 +250,52 @@ _BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _BLOB_SQL = "bucket int, blob binary"
 
 
-def _gather(batches, kinds: list):
-    parts = [[] for _ in kinds]
+def _gather(batches, kinds: list, most: float = float("inf")):
+    """The columns of all blobs, in chunks of `most` values and a blob more; one chunk at least."""
+    parts, size, none = [[] for _ in kinds], 0, True
     width = sum(np.dtype(k).itemsize for k in kinds)
+    whole = lambda: [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
     for b in batches:
         for x in b.column("blob").to_pylist():
             n, at = len(x) // width, 0
             for part, k in zip(parts, kinds):
                 part.append(np.frombuffer(x, k, n, at))
                 at += n * np.dtype(k).itemsize
-    return [np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds)]
+            size += n
+            if size > most:
+                yield whole()
+                parts, size, none = [[] for _ in kinds], 0, False
+    if size or none:
+        yield whole()
+
+
+def _in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of x is in the sorted array known."""
+    at = np.searchsorted(known, x)
+    return known[np.minimum(at, len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _cells(labels: np.ndarray):
-    """Prefix entries of hashes that stand in two sets or more, dealt out by set."""
+    """Prefix entries of hashes that stand in two sets or more, dealt out by set. Of a hash that is known to do so no
+    entry is held."""
 
     def run(batches):
-        e, ids = _gather(batches, [np.uint64, np.int64])
-        order = np.argsort(e)
-        e, ids = e[order], ids[order]
-        next_too = e[1:] >> np.uint64(8) == e[:-1] >> np.uint64(8)
-        ok = np.zeros(len(e), bool)
-        ok[1:] = next_too
-        ok[:-1] |= next_too
-        e, ids = e[ok], ids[ok]
-        order = np.lexsort((ids, e))
-        e, ids = e[order], ids[order]
-        once = np.ones(len(e), bool)  # equal sets of several tasks count once
-        once[1:] = (e[1:] != e[:-1]) | (ids[1:] != ids[:-1])
-        e, ids = e[once], ids[once]
-        _, cell, m = np.unique(e >> np.uint64(8), return_inverse=True, return_counts=True)
-        ok = m[cell] > 1
-        yield from _deal(ids[ok], labels, [e[ok], ids[ok]])
+        e, ids, known = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for more_e, more_ids in _gather(batches, [np.uint64, np.int64], CHUNK):
+            e, ids = np.concatenate([e, more_e]), np.concatenate([ids, more_ids])
+            order = np.lexsort((ids, e))
+            e, ids = e[order], ids[order]
+            once = np.ones(len(e), bool)  # equal sets of several tasks count once
+            once[1:] = (e[1:] != e[:-1]) | (ids[1:] != ids[:-1])
+            e, ids = e[once], ids[once]
+            h = e >> np.uint64(8)
+            ok = _in(h, known)
+            again = h[1:] == h[:-1]
+            ok[1:] |= again
+            ok[:-1] |= again
+            yield from _deal(ids[ok], labels, [e[ok], ids[ok]])
+            known = np.union1d(known, h[ok])
+            e, ids = e[~ok], ids[~ok]
 
     return run
 
@@ -306,10 +325,20 @@ def _spread(labels: np.ndarray):
 
 
 def _frequencies(labels: np.ndarray):
+    """Entries with the frequency of their hash, dealt out by set. Of a hash with MANY entries none is held."""
+
     def run(batches):
-        s, ids, n = _gather(batches, [np.uint64, np.int64, np.int32])
-        _, cell, m = np.unique(s, return_inverse=True, return_counts=True)
-        m = np.minimum(m, (1 << 31) - 1).astype(np.int32)[cell] if len(s) else np.zeros(0, np.int32)
+        s, ids, n, full = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        cell = m = np.zeros(0, np.int64)
+        for more in _gather(batches, [np.uint64, np.int64, np.int32], CHUNK):
+            s, ids, n = (np.concatenate(x) for x in zip((s, ids, n), more))
+            _, cell, m = np.unique(s, return_inverse=True, return_counts=True)
+            ok = (m[cell] >= MANY) | _in(s, full)
+            if ok.any():
+                yield from _deal(ids[ok], labels, [s[ok], ids[ok], n[ok], np.full(ok.sum(), MANY, np.int32)])
+                full = np.union1d(full, s[ok])
+                s, ids, n, cell = s[~ok], ids[~ok], n[~ok], cell[~ok]
+        m = m[cell].astype(np.int32)
         ok = m > 1
         yield from _deal(ids[ok], labels, [s[ok], ids[ok], n[ok], m[ok]])
 
@@ -317,7 +346,7 @@ def _frequencies(labels: np.ndarray):
 
 
 def _rarest(batches):
-    s, i, n, m = _gather(batches, [np.uint64, np.int64, np.int32, np.int32])
+    ((s, i, n, m),) = _gather(batches, [np.uint64, np.int64, np.int32, np.int32])
     order = np.lexsort((s, m, i))
     s, i, n = s[order], i[order], n[order].astype(np.int64)
     _, start, group, c = np.unique(i, return_index=True, return_inverse=True, return_counts=True)
@@ -333,11 +362,11 @@ def _rarest(batches):
 
 
 def survivors(spark: SparkSession, packed: DataFrame, extra: float) -> DataFrame:
-    """point: the sets that can have a partner, from the blobs of a packed table."""
+    """key: the sets that can have a partner, from the blobs of a packed table."""
     p = common.partitions(spark)
     labels = common.partition_labels(p)
     by_hash = packed.filter("blob is not null").select("bucket", "blob").repartition(p, "bucket").mapInArrow(_cells(labels), _BLOB_SQL)
-    return by_hash.repartition(p, "bucket").mapInArrow(_survivors(extra), "point long")
+    return by_hash.repartition(p, "bucket").mapInArrow(_survivors(extra), "key long")
 
 
 def cells(spark: SparkSession, sets: DataFrame) -> DataFrame:
@@ -369,25 +398,36 @@ def _measure(kind, spare: bool):
             for k, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())):
                 x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
                 n[k] = np.intersect1d(x, y, assume_unique=True).size + (min(na[k] - len(x), nb[k] - len(y)) if spare else 0)
-            ok = pa.array(100 * n >= PERCENT * (na.astype(np.int64) + nb - n))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "na", "nb")] + [pa.array(n.astype(np.int32))], names=["a", "b", "na", "nb", "both"])
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs whose sets (id, n, sig, s) are similar: sizes, then signatures, then whole sets."""
+_PAIR = "a long, b long, na int, nb int, both int"
+#: Of a pair with `both` shingles in common.
+SIMILAR = f"100L * both >= {PERCENT}L * (na + nb - both)"
 
-    def with_both(df: DataFrame, column: str) -> DataFrame:
-        one = sets.select("id", column)
-        return df.join(one.select(F.col("id").alias("a"), F.col(column).alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col(column).alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
 
+def _with_sizes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     size = sets.select("id", "n")
-    near = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    out = "a long, b long, na int, nb int"
-    near = with_both(near, "sig").mapInArrow(_measure(np.uint16, True), out)
-    return with_both(near, "s").mapInArrow(_measure(np.uint64, False), out).select("a", "b")
+    return pairs.select("a", "b").join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+
+
+def _with_both(df: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    one = sets.select("id", column)
+    return df.join(one.select(F.col("id").alias("a"), F.col(column).alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col(column).alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, both of all pairs, whether similar or not."""
+    return _with_both(_with_sizes(pairs, sets), sets, "s").mapInArrow(_measure(np.uint64, False), _PAIR)
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b of the pairs whose sets (id, n, sig, s) are similar: sizes, then signatures, then whole sets."""
+    near = _with_sizes(pairs, sets).filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    near = _with_both(near, sets, "sig").mapInArrow(_measure(np.uint16, True), _PAIR).filter(SIMILAR)
+    return _with_both(near, sets, "s").mapInArrow(_measure(np.uint64, False), _PAIR).filter(SIMILAR).select("a", "b")
 
 
 def similar(x: set, y: set) -> bool:

@@ -31,6 +31,8 @@ from . import common, simple8b
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SEGMENT = 1 << 18
+#: Byte-level BPE always cuts between a letter and these.
+_MARKS = ".,;:!?)"
 CACHE = 500_000
 #: Bytes of text that are encoded together, if no single text is longer.
 SLICE = 12 << 20
@@ -52,6 +54,7 @@ class PieceEncoder:
         self.begins = np.zeros(max(pieces.values()) + 1, bool)
         self.begins[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,18 +75,33 @@ class PieceEncoder:
     def encode(self, texts: pa.Array):
         """Ids of all texts one after the other, and the number of each text's."""
         words, whole, entries, counts = common.cut(texts, lambda w: pc.or_(pc.equal(w, ""), pc.not_equal(pc.utf8_trim_whitespace(w), w)))
-        known = self.known
         starts = np.cumsum(counts) - counts
         split = np.ones(len(counts), bool)
         split[whole] = False
         heads = entries[starts[split]]  # first words have no space before them
         entries[starts[split]] = len(words) + len(whole) + np.arange(len(heads))
-        need = [w for w in words if w not in known]
+        blobs = list(map(self.known.get, words))
+        need = [k for k, x in enumerate(blobs) if x is None]
+        for k, x in zip(need, self._learn([words[k] for k in need])):
+            blobs[k] = x
+        blobs += self._ids([texts[k].as_py() or "" for k in whole.tolist()] + [words[k] for k in heads.tolist()])
+        return common.joined(blobs, entries, counts, "<u4")
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words that are not known, each with its space; the marks after letters are encoded apart."""
+        if len(self.tails) > CACHE:
+            self.tails = {"": b""}
+        known, cores = self.known, [w.rstrip(_MARKS) for w in words]
+        tails = [w[len(c) :] if len(c) < len(w) and c.isalpha() else "" for w, c in zip(words, cores)]
+        bare = [c if t else w for w, c, t in zip(words, cores, tails)]
+        need = list(set(bare).difference(known))
         new = dict(zip(need, self._spaced(need)))
-        get = known.get
-        blobs = [get(w) or new[w] for w in words] + self._ids([texts[k].as_py() or "" for k in whole.tolist()] + [words[k] for k in heads.tolist()])
+        more = [t for t in set(tails) if t not in self.tails]
+        self.tails.update(zip(more, self._ids(more)))
+        found = [(new.get(c) or known[c]) + self.tails[t] for c, t in zip(bare, tails)]
         known.update(islice(new.items(), max(0, CACHE - len(known))))
-        return common.joined(blobs, entries, counts, "<u4")
+        known.update(islice(zip(words, found), max(0, CACHE - len(known))))
+        return found
 
 
 _CODERS: dict[str, PieceEncoder] = {}  # a Python worker serves many tasks
