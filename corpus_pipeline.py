@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, SentencePiece ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last keep the columns of documents. Every stage must be given a stored table.
+stage's docs. All but the last keep the columns of documents, and any others, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,20 +37,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays (of equal ids the first row). Documents without a
-    word, such as empty and null texts, are in no group and stay."""
+    """Of each group the document with the smallest doc_id stays (null last, of equal ids the first row). Documents
+    without a word, such as empty and null texts, are in no group and stay."""
+    docs = common.stored(spark, docs)
     with common.arrow_rows(spark, 500):
-        found = common.materialise(spark, ngram_join.jaccard_components(spark, docs), "pipeline-groups")
-    lost = F.col("doc_id").isNull().alias("lost")
-    first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(lost, "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
-    others = found.filter("n_shingles = 0 or component_id is null").select("rid")
-    return common.with_rid(docs).join(first.union(others), "rid", "left_semi").select(*docs.columns)
+        found = common.materialise(spark, ngram_join.jaccard_components(spark, docs, groups=True), "pipeline-groups")
+    none = F.col("doc_id").isNull().alias("none")
+    first = found.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct(none, "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
+    stay = first.union(found.filter("group_id is null").select("rid"))
+    rid = common.fresh(docs, "rid")
+    return common.with_rid(docs, rid).join(stay.withColumnRenamed("rid", rid), rid, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    hits = decontaminate.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return common.with_rid(docs).join(hits.filter("n_hit > 0").select("rid"), "rid", "left_anti").select(*docs.columns)
+    docs = common.stored(spark, docs)
+    hits, _ = decontaminate.occurrences(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rid = common.fresh(docs, "rid")
+    return common.with_rid(docs, rid).join(hits.filter("n_hit > 0").select(F.col("rid").alias(rid)), rid, "left_anti").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
