@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import similarity as sim, text as tx
+from ..sources.store import store
 
 
 def label() -> Column:
@@ -17,19 +18,23 @@ def generate_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", label()).filter("label is not null")
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once: filters and projections above are not merged with their expressions, as
+    they would be in a plain projection, where every use repeats the whole chain."""
+    rows = F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return df.select(*(c for c in df.columns if c not in columns), rows)
+
+
 def clean_frame(df: DataFrame, stopwords=()) -> DataFrame:
     """*_clean columns and prompt_sig; rows with a null or blank cleaned text go."""
-    for c, words in (("prompt", stopwords), ("response_a", ()), ("response_b", ())):
-        df = df.withColumn(f"{c}_clean", tx.clean_text(tx.list_cell(F.col(c)), words))
-    for c in ("response_a_clean", "response_b_clean"):
-        df = df.withColumn(c, tx.fill_no_response(F.col(c)))
-    df = df.na.drop(subset=["prompt_clean", "response_a_clean", "response_b_clean"])
-    df = df.filter((F.trim("prompt_clean") != "") & (F.trim("response_a_clean") != "") & (F.trim("response_b_clean") != ""))
-    return df.withColumn("prompt_sig", tx.prompt_sig(F.col("prompt_clean")))
+    df = once(df, {f"{c}_clean": tx.clean_text(tx.list_cell(F.col(c)), words) for c, words in (("prompt", stopwords), ("response_a", ()), ("response_b", ()))})
+    df = df.filter(F.trim("prompt_clean") != "")
+    names = ("response_a_clean", "response_b_clean")
+    return once(df, {c: tx.fill_no_response(F.col(c)) for c in names} | {"prompt_sig": tx.prompt_sig(F.col("prompt_clean"))})
 
 
 def with_lengths(df: DataFrame) -> DataFrame:
-    return df.withColumns({"prompt_len": tx.token_len(F.col("prompt_clean")), "respA_len": tx.token_len(F.col("response_a_clean")), "respB_len": tx.token_len(F.col("response_b_clean"))})
+    return once(df, {"prompt_len": tx.token_len(F.col("prompt_clean")), "respA_len": tx.token_len(F.col("response_a_clean")), "respB_len": tx.token_len(F.col("response_b_clean"))})
 
 
 def clean_base(raw: DataFrame, stopwords=()) -> DataFrame:
@@ -49,6 +54,8 @@ def tail_control(df: DataFrame, p99: tuple[float, float] | None = None) -> DataF
 
 
 def features(df: DataFrame) -> DataFrame:
+    """The rows are read for their terms, their number and the result, so they are stored first."""
+    df = store(df, "clean")
     return sim.pair_features(df, "row_idx", "response_a_clean", "response_b_clean", "respA_len", "respB_len")
 
 
@@ -93,28 +100,44 @@ def template_edges(df: DataFrame, threshold: float = 0.985) -> DataFrame:
 
 
 def components(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """row_idx, component (smallest row_idx reachable): labels spread until none changes."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    labels = rows.select("row_idx", F.col("row_idx").alias("component"))
+    """row_idx, component (smallest row_idx reachable): labels spread along edges and jump to the label of their label;
+    each round is stored, and only rows with an edge take part."""
+    both = store(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    labels = store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
     while True:
-        low = both.join(labels, both["b"] == labels["row_idx"]).groupBy("a").agg(F.min("component").alias("m"))
-        new = labels.join(low, labels["row_idx"] == low["a"], "left").select("row_idx", "component", F.least("component", F.coalesce("m", "component")).alias("next")).persist()
-        if new.filter("next < component").isEmpty():
-            return new.select("row_idx", "component")
-        labels = new.select("row_idx", F.col("next").alias("component"))
-
-
-def cluster_templates(df: DataFrame, max_per_group: int = 8, cap_start: int = 10, threshold: float = 0.985) -> DataFrame:
-    """Representatives of template clusters: of each component the row with most information; groups of more than
-    cap_start rows keep max_per_group of them, by the order of components. df: row_idx, prompt_sig, template, info.
+        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "id")
+        low = labels.join(seen, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        above = labels.select(F.col("id").alias("label"), F.col("label").alias("above"))
+        new = store(low.join(above, "label", "left").select("id", "old", F.least("label", F.coalesce("above", "label")).alias("label")), "labels")
+        labels = new.select("id", "label")
+        if new.filter("label <> old").isEmpty():
+            found = labels.select(F.col("id").alias("row_idx"), F.col("label").alias("component"))
+            return rows.select("row_idx").join(found, "row_idx", "left").select("row_idx", F.coalesce("component", "row_idx").alias("component"))
+
+
+def template_clusters(df: DataFrame, threshold: float = 0.985) -> DataFrame:
+    """Representatives of template clusters, of each component the row with most information: row_idx, prompt_sig,
+    component, place (by the order of components) and g, the rows of the group. df: row_idx, prompt_sig, template, info.
     A group without a term of two characters keeps its rows in order of information."""
     size = F.count("*").over(W.partitionBy("prompt_sig"))
-    base = df.withColumns({"g": size, "usable": F.max((F.size(sim.terms(F.col("template"))) > 0).cast("int")).over(W.partitionBy("prompt_sig"))}).persist()
+    base = store(df.withColumns({"g": size, "usable": F.max((F.size(sim.terms(F.col("template"))) > 0).cast("int")).over(W.partitionBy("prompt_sig"))}), "templates")
     found = components(base, template_edges(base.select("row_idx", "prompt_sig", "template"), threshold))
     reps = base.join(found, "row_idx").withColumn("r", F.row_number().over(W.partitionBy("prompt_sig", "component").orderBy(F.desc("info"), "row_idx"))).filter("r = 1")
     rank = F.row_number().over(W.partitionBy("prompt_sig").orderBy(F.when(F.col("usable") == 1, F.lit(0)).otherwise(-F.col("info")), "component"))
-    reps = reps.withColumn("place", rank)
-    return reps.filter((F.col("g") <= cap_start) | (F.col("place") <= max_per_group)).select("row_idx", "prompt_sig", "component", "place")
+    return reps.withColumn("place", rank).select("row_idx", "prompt_sig", "component", "place", "g")
+
+
+def cluster_templates(df: DataFrame, max_per_group: int = 8, cap_start: int = 10, threshold: float = 0.985) -> DataFrame:
+    """The representatives that stay: groups of more than cap_start rows keep max_per_group of them."""
+    return template_clusters(df, threshold).filter((F.col("g") <= cap_start) | (F.col("place") <= max_per_group)).drop("g")
+
+
+def cluster_meta(reps: DataFrame, max_per_group: int = 8, cap_start: int = 10) -> DataFrame:
+    """clusters_kept (clusters of groups of two rows and more, before the cap), capped_prompts, max_per_prompt, from
+    template_clusters()."""
+    groups = reps.groupBy("prompt_sig").agg(F.max("g").alias("g"), F.count("*").alias("reps")).filter("g > 1")
+    capped = F.count_if((F.col("g") > cap_start) & (F.col("reps") > max_per_group))
+    return groups.agg(F.coalesce(F.sum("reps"), F.lit(0)).alias("clusters_kept"), capped.alias("capped_prompts"), F.lit(max_per_group).cast("long").alias("max_per_prompt"))
 
 
 def fold(sig: Column, n: int = 10) -> Column:

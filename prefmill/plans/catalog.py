@@ -198,6 +198,8 @@ cp AS (SELECT r AS row_idx, min(m) AS component FROM reach GROUP BY 1)"""
 q("template_edges", f"WITH RECURSIVE {_TPL} SELECT prompt_sig, a, b, round(cosine, 5) AS cosine FROM ed")(lambda s, d: pf.template_edges(fx.template_rows(s, d)).withColumn("cosine", R(F.col("cosine"), 5)))
 q("template_components", f"WITH RECURSIVE {_TPL} SELECT row_idx, component FROM cp")(lambda s, d: (lambda t: pf.components(t, pf.template_edges(t)))(fx.template_rows(s, d)))
 q("template_cap_topk", f"WITH RECURSIVE {_TPL}, rp AS (SELECT row_idx, t.prompt_sig, component, n FROM (SELECT t.*, component, row_number() OVER (PARTITION BY prompt_sig, component ORDER BY info DESC, row_idx) AS r FROM t JOIN cp USING (row_idx)) t JOIN gs USING (prompt_sig) WHERE r = 1), pl AS (SELECT *, row_number() OVER (PARTITION BY prompt_sig ORDER BY component) AS place FROM rp) SELECT row_idx, prompt_sig, component, place FROM pl WHERE n <= 10 OR place <= 8")(lambda s, d: pf.cluster_templates(_templates(s, d)))
+_REPS = ", rp AS (SELECT prompt_sig, max(n) AS g, count(*) AS reps FROM (SELECT DISTINCT t.prompt_sig, component, n FROM t JOIN cp USING (row_idx) JOIN gs USING (prompt_sig)) GROUP BY 1)"
+q("template_cluster_meta", f"WITH RECURSIVE {_TPL}{_REPS} SELECT CAST(coalesce(sum(reps), 0) AS BIGINT) AS clusters_kept, count(*) FILTER (g > 10 AND reps > 8) AS capped_prompts, CAST(8 AS BIGINT) AS max_per_prompt FROM rp WHERE g > 1")(lambda s, d: pf.cluster_meta(pf.template_clusters(_templates(s, d))))
 q("tail_control")(lambda s, d: pf.tail_control(clean(s, d)).select("row_idx", "prompt_clean", "response_a_clean", "response_b_clean", "respA_len", "respB_len"))
 _SPLIT = CLEAN + ", sp AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(prompt_sig), 1, 6) AS BIGINT) % 10 = 0 THEN 'valid' ELSE 'train' END AS split FROM clean)"
 q("group_split", f"WITH {_SPLIT} SELECT row_idx, split FROM sp")(lambda s, d: pf.split(clean(s, d)).select("row_idx", "split"))
@@ -236,13 +238,23 @@ q("inter_row_diff", f"WITH {CLEAN} SELECT label, avg(\"respA_len\") - avg(\"resp
 q("lost_content", f"WITH {CLEAN} SELECT count(*) FILTER (\"respA_len\" <= 3) AS short, count(*) FILTER ({_len('response_a')} >= 10 AND \"respA_len\" <= 3) AS lost FROM clean")(lambda s, d: clean(s, d).agg(F.count_if(F.col("respA_len") <= 3).alias("short"), F.count_if((tx.token_len(F.col("response_a")) >= 10) & (F.col("respA_len") <= 3)).alias("lost")))
 
 
-def _board(t: DataFrame, name: str) -> DataFrame:
-    row = t.agg(F.avg("cosine_tfidf").alias("mean_cos"), F.avg("jaccard_tokens").alias("mean_jac"), pr.percent(F.col("cosine_tfidf") >= 0.9).alias("pct_cos"), pr.percent(F.col("respA_len") > 512).alias("pct_trunc"), F.count_if(F.expr(pf.NEAR_REPORT)).cast("double").alias("near_dups"), F.count("*").cast("double").alias("rows"))
-    return row.unpivot([], row.columns, "metric", name).withColumn(name, R(F.col(name)))
+def _board(t: DataFrame) -> DataFrame:
+    """Each metric over all rows and over those that are kept, in one pass."""
+    metrics = {
+        "mean_cos": lambda k: F.avg(F.when(k, F.col("cosine_tfidf"))),
+        "mean_jac": lambda k: F.avg(F.when(k, F.col("jaccard_tokens"))),
+        "pct_cos": lambda k: F.coalesce(F.avg(F.when(k, (F.col("cosine_tfidf") >= 0.9).cast("double"))) * 100, F.lit(0.0)),
+        "pct_trunc": lambda k: F.coalesce(F.avg(F.when(k, (F.col("respA_len") > 512).cast("double"))) * 100, F.lit(0.0)),
+        "near_dups": lambda k: F.count_if(k & F.expr(pf.NEAR_REPORT)).cast("double"),
+        "rows": lambda k: F.count_if(k).cast("double"),
+    }
+    sides = {"before": F.lit(True), "after": F.col("keep")}
+    row = t.agg(*(F.struct(*(R(f(k)).alias(n) for n, k in sides.items())).alias(m) for m, f in metrics.items()))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}.before"), F.col(f"{m}.after")) for m in metrics))))
 
 
 _bd = lambda t, n: " UNION ALL ".join(f"SELECT '{m}' AS metric, round({e}, 6) AS {n} FROM {t}" for m, e in (("mean_cos", "avg(cosine_tfidf)"), ("mean_jac", "avg(jaccard_tokens)"), ("pct_cos", "100 * avg(CAST(cosine_tfidf >= 0.9 AS INT))"), ("pct_trunc", "100 * avg(CAST(\"respA_len\" > 512 AS INT))"), ("near_dups", f"CAST(count(*) FILTER ({pf.NEAR_REPORT}) AS DOUBLE)"), ("rows", "CAST(count(*) AS DOUBLE)")))
-q("before_after_board", f"WITH {FLAGS}, kept AS (SELECT * FROM flags WHERE keep), a AS ({_bd('flags', 'before')}), b AS ({_bd('kept', 'after')}) SELECT metric, before, after FROM a JOIN b USING (metric)")(lambda s, d: (lambda f: _board(f, "before").join(_board(f.filter("keep"), "after"), "metric"))(flags(s, d)))
+q("before_after_board", f"WITH {FLAGS}, kept AS (SELECT * FROM flags WHERE keep), a AS ({_bd('flags', 'before')}), b AS ({_bd('kept', 'after')}) SELECT metric, before, after FROM a JOIN b USING (metric)")(lambda s, d: _board(flags(s, d)))
 q("threshold_flags", f"WITH {CLEAN} SELECT label, count(*) * 100.0 / sum(count(*)) OVER () > 50 AS tie_heavy, count(*) * 100.0 / sum(count(*)) OVER () < 25 AS rare FROM clean GROUP BY label")(lambda s, d: pr.class_balance(clean(s, d)).select("label", (F.col("percent") > 50).alias("tie_heavy"), (F.col("percent") < 25).alias("rare")))
 q("empty_text_list", "SELECT doc_id FROM documents WHERE text IS NULL OR trim(text) = '' ORDER BY doc_id LIMIT 50")(lambda s, d: docs(s, d).filter("text is null or trim(text) = ''").select("doc_id").orderBy("doc_id").limit(50))
 q("head_tail_rows", "(SELECT event_id FROM events ORDER BY event_id LIMIT 10) UNION ALL (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 10)")(lambda s, d: (lambda e: e.orderBy("event_id").limit(10).union(e.orderBy(F.desc("event_id")).limit(10)))(fx.read(s, d, "events").select("event_id")))

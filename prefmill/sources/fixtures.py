@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .store import store
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,7 +15,7 @@ def with_row_index(df: DataFrame, *order: str, name: str = "rn") -> DataFrame:
     """Row numbers from 0 in the given order, without gathering rows in one task: a range sort, the size of each
     partition (one row each to the driver), and an offset added to the place in the partition."""
     place = F.monotonically_increasing_id()
-    kept = df.orderBy(*order).withColumn("_at", place).persist()
+    kept = store(df.orderBy(*order).withColumn("_at", place), "ordered")
     part, low = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     offsets, at = [], 0
     for r in kept.groupBy(part.alias("p")).count().orderBy("p").collect():
