@@ -3,7 +3,7 @@
 Words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased) and pairs of neighbouring words are hashed into BUCKETS buckets. Two
 generative models are the smoothed bucket shares of target text (documents labelled quality 1 and not toxic) and of raw
 text (all documents); a document's log importance ratio is the sum over its n-grams of the difference of their logs.
-Gumbel noise, a function of the seed and the document, is added, and the documents with the k largest keys are the
+Gumbel noise, a function of the seed, the document and its place in the table, is added, and the documents with the k largest keys are the
 sample (Gumbel top-k: drawing without replacement in proportion to the ratios). k is a share of the documents; if not
 given, the share of quality 1 among the labelled ones.
 
@@ -12,7 +12,8 @@ by their next 16 bits, so the driver sees 65,536 counts at most at a time.
 
 Cases: a null or empty text has no n-grams and ratio 0; without labelled target text both models are flat and noise
 alone decides; ties go to the smaller doc_id, then the earlier row; a document labelled twice is target if any label
-says so. Rows of equal doc_id are sampled one by one. docs must be a stored table.
+says so. Rows of equal doc_id, and repeated rows, have noise of their own
+and are sampled one by one. Documents that are no scan of stored files are stored first.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
     @F.pandas_udf("log_ratio double, key double, code long")
     def measure(texts: pd.Series, ids: pd.Series, rids: pd.Series) -> pd.DataFrame:
         values = np.array([ratio[buckets((t or "").encode(), len(ratio))].sum() for t in texts], float)
-        draws = np.array([xxhash.xxh3_64_intdigest(f"{i}/{t or ''}", seed=seed) for i, t in zip(ids, texts)], np.uint64)
+        draws = np.array([xxhash.xxh3_64_intdigest(f"{i}/{r}/{t or ''}", seed=seed) for i, r, t in zip(ids, rids, texts)], np.uint64)
         key = values - np.log(-np.log((draws >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54))
         return pd.DataFrame({"log_ratio": values, "key": key, "code": _code(key)})
 
