@@ -67,41 +67,83 @@ def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(collapse(c), r"(?<=[.?!]) +"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def strip_boilerplate(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?is)^\s*(hi|hello|dear|greetings)[\s.,!\-:]*.{80,300}?(?=\n|$)", "")
-    c = F.regexp_replace(c, r"(?iU)\b(as an ai|i am an ai|language model)\b.*", "")
-    c = F.regexp_replace(c, r"(?i)(best regards|kind regards|sincerely|thanks|thank you)[.,!\-:]*.*$", "")
+#: Long greeting at the beginning, disclaimer to the end of its line, sign-off at the end, list item.
+GREETING = r"(?is)^\s*(hi|hello|dear|greetings)[\s.,!\-:]*.{80,300}?(?=\n|$)"
+DISCLAIMER = r"(?iU)\b(as an ai|i am an ai|language model)\b[^\n]*"
+SIGN_OFF = r"(?i)(best regards|kind regards|sincerely|thanks|thank you)[.,!\-:]*[^\n]*$"
+BULLET = rf"^[{SPACE}]*(?:[-*•]|\p{{Nd}}+\.)[{SPACE}]+"
+NO_RESPONSE = r"(?i)^(n/?a|na|none|no\s*answer|no\s*response)?$"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def strip_boilerplate(c: Column) -> Column:
+    for pattern in (GREETING, DISCLAIMER, SIGN_OFF):
+        c = F.regexp_replace(c, pattern, "")
+    return strip(c)
+
+
+def at_most_twice(items: Column, key) -> Column:
+    """(at, item) of the items whose key stands in the list twice at most up to there, or is empty, by place. Sorted by
+    key, an item is one too many if the second one before it has the same key."""
+
+    def kept(keyed: Column) -> Column:
+        few = F.filter(keyed, lambda x, j: (x["key"] == "") | (j < 2) | (F.get(keyed, j - 2)["key"] != x["key"]))
+        return F.array_sort(F.transform(few, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item"))))
+
+    return let(F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("item")))), kept)
+
+
 def collapse_repeats(c: Column, bullets: int = 24) -> Column:
-    """The first `bullets` bullet lines (then one line with an ellipsis), and each blank-line block twice at most."""
-    lines = F.split(c, "\n")
-    bullet = lambda x: x.rlike(r"^\s*(?:[-*•]|\d+\.)\s+")
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
-    kept = F.aggregate(lines, empty, lambda a, x: F.struct(
-        F.when(~bullet(x) | (a["n"] < bullets), F.concat(a["out"], F.array(x))).when(a["n"] == bullets, F.concat(a["out"], F.array(F.lit("…")))).otherwise(a["out"]).alias("out"),
-        (a["n"] + bullet(x).cast("int")).alias("n")), lambda a: F.array_join(a["out"], "\n"))
-    blocks = F.split(kept, r"\n\s*\n")
-    twice = F.aggregate(blocks, F.array().cast("array<string>"), lambda a, x: F.when(F.size(F.filter(a, lambda y: F.lower(F.trim(y)) == F.lower(F.trim(x)))) < 2, F.concat(a, F.array(x))).otherwise(a))
-    out = F.trim(F.array_join(twice, "\n\n"))
-    return F.when(out == "", c).otherwise(out)
+    """The first `bullets` list items, with an ellipsis as last line if there are more; of equal blocks between blank
+    lines, two at most. What separates blocks stays, also that of blocks that go."""
+    gap = rf"\n[{SPACE}]*\n+"
+
+    def items(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["item"].alias("item")))
+        numbers = F.transform(F.filter(marked, lambda x: x["item"]), lambda x: x["at"])
+
+        def kept(numbers: Column) -> Column:
+            some = F.filter(lines, lambda x, i: ~x["item"] | F.coalesce(i <= F.get(numbers, F.lit(bullets - 1)), F.lit(True)))
+            return F.concat(F.array_join(F.transform(some, lambda x: x["line"]), "\n"), F.when(F.size(numbers) > bullets, "\n…").otherwise(""))
+
+        return let(numbers, kept)
+
+    def blocks(text: Column) -> Column:
+        kept = F.transform(at_most_twice(F.split(text, gap), lambda x: F.lower(strip(x))), lambda x: F.struct((2 * x["at"]).alias("at"), x["item"].alias("item")))
+        gaps = F.transform(F.regexp_extract_all(text, F.lit(f"({gap})"), 1), lambda x, i: F.struct((2 * i + 1).alias("at"), x.alias("item")))
+        joined = strip(F.array_join(F.transform(F.array_sort(F.concat(kept, gaps)), lambda x: x["item"]), ""))
+        return let(joined, lambda out: F.when(out == "", text).otherwise(out))
+
+    return let(let(F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), x.rlike(BULLET).alias("item"))), items), blocks)
 
 
 def head_tail(tok: Column, head: int, tail: int) -> Column:
     return F.when(F.size(tok) <= head + tail, tok).otherwise(F.concat(F.slice(tok, 1, head), F.array(F.lit("…")), F.slice(tok, -tail, tail)))
 
 
-def sample_middle(tok: Column, target: int, stride: int = 24) -> Column:
+def sample_middle(tok: Column, target: Column | int, stride: int = 24) -> Column:
     """The first 96 tokens of the left half, every stride-th token around the middle and the last 32 of the right half,
     if there are more than target; what is still longer is clipped."""
-    n, dots = F.size(tok), F.array(F.lit("…"))
-    half = F.floor(n / 2).cast("int")
-    reach = F.least(F.lit(64), F.floor(n / 4).cast("int"))
-    middle = F.filter(F.slice(tok, half - reach + 1, reach * 2), lambda x, i: i % max(1, stride) == 0)
-    tail = F.least(F.lit(32), n - half)
-    out = F.concat(F.slice(tok, 1, F.least(F.lit(96), half)), dots, middle, dots, F.slice(tok, F.least(-tail, F.lit(-1)), tail))
-    return F.when(n <= target, tok).when(F.size(out) > target, F.concat(F.slice(out, 1, target - 1), dots)).otherwise(out)
+    target = target if isinstance(target, Column) else F.lit(target)
+
+    def picked(tok: Column) -> Column:
+        n, dots = F.size(tok), F.array(F.lit("…"))
+        half = F.floor(n / 2).cast("int")
+        reach = F.least(F.lit(64), F.floor(n / 4).cast("int"))
+        middle = F.filter(F.slice(tok, half - reach + 1, reach * 2), lambda x, i: i % max(1, stride) == 0)
+        tail = F.least(F.lit(32), n - half)
+        out = F.concat(F.slice(tok, 1, F.least(F.lit(96), half)), dots, middle, dots, F.slice(tok, F.least(-tail, F.lit(-1)), tail))
+        return F.when(n <= target, tok).otherwise(let(out, lambda x: F.when(F.size(x) > target, F.concat(F.slice(x, 1, target - 1), dots)).otherwise(x)))
+
+    return let(tok, picked)
 
 
 def response_target(prompt_len: Column) -> Column:
@@ -110,10 +152,19 @@ def response_target(prompt_len: Column) -> Column:
 
 
 def compress(c: Column, target: Column) -> Column:
-    """Boilerplate goes; what is longer than target keeps its first 96 and last 32 tokens."""
-    bare = strip_boilerplate(c)
-    tok = tokens(bare)
-    return F.when(bare == "", c).when(F.size(tok) <= target, bare).otherwise(F.array_join(head_tail(tok, 96, 32), " "))
+    """Boilerplate goes; what is longer than target keeps its first 96 and last 32 tokens; what still is, its sampled
+    middle, of which equal sentences stay twice at most."""
+
+    def sampled(ends: Column) -> Column:
+        middle = F.array_join(sample_middle(ends, target), " ")
+        few = F.array_join(F.transform(at_most_twice(split_sentences(middle), lambda x: F.lower(x)), lambda x: x["item"]), " ")
+        return let(tokens(few), lambda cut: F.array_join(F.when(F.size(cut) > target, F.concat(F.slice(cut, 1, target - 1), F.array(F.lit("…")))).otherwise(cut), " "))
+
+    def cut(bare: Column) -> Column:
+        long = lambda tok: let(head_tail(tok, 96, 32), lambda ends: F.when(F.size(ends) <= target, F.array_join(ends, " ")).otherwise(sampled(ends)))
+        return F.when(bare == "", c).otherwise(let(tokens(bare), lambda tok: F.when(F.size(tok) <= target, bare).otherwise(long(tok))))
+
+    return let(strip_boilerplate(strip(c)), cut)
 
 
 def mini_prompt(c: Column) -> Column:
@@ -140,7 +191,7 @@ def template_norm(a: Column, b: Column) -> Column:
 
 def fill_no_response(c: Column) -> Column:
     c = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(c.rlike(r"(?i)^(n/?a|na|none|no\s*answer|no\s*response)?$"), "no response").otherwise(c)
+    return F.when(c.rlike(NO_RESPONSE), "no response").otherwise(c)
 
 
 def pct_text(c: Column) -> Column:

@@ -48,11 +48,32 @@ def tail_control(df: DataFrame, p99: tuple[float, float] | None = None) -> DataF
     target = tx.response_target(F.col("prompt_len"))
     for c, n, p in (("response_a_clean", "respA_len", p99[0]), ("response_b_clean", "respB_len", p99[1])):
         need = (F.col(n) > tx.RESPONSE_LIMIT) | (F.col(n) >= F.lit(p))
-        df = df.withColumn(c, F.when(need, tx.compress(tx.collapse_repeats(F.col(c)), target)).otherwise(F.col(c)))
+        df = df.withColumn(c, F.when(need, tx.let(tx.strip_boilerplate(tx.collapse_repeats(F.col(c))), lambda t: tx.compress(t, target))).otherwise(F.col(c)))
     df = df.withColumn("prompt_clean", tx.mini_prompt(F.col("prompt_clean")))
     return df.withColumns({"respA_len": tx.token_len(F.col("response_a_clean")), "respB_len": tx.token_len(F.col("response_b_clean"))})
 
 
+#: Columns that serving takes and gives.
+SERVING_IN, SERVING_OUT = ("id", "prompt", "response_a", "response_b"), ("id", "prompt_clean", "response_a_clean", "response_b_clean")
+
+
+def serving_clean(df: DataFrame) -> DataFrame:
+    """A batch of unlabelled rows as the model gets them: cleaned without stopwords (nothing left is the empty text), and
+    with lengths under control by the batch's own 99th percentiles. No row goes."""
+    missing = [c for c in SERVING_IN if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    texts = {f"{c}_clean": F.coalesce(tx.clean_text(tx.list_cell(F.col(c))), F.lit("")) for c in SERVING_IN[1:]}
+    rows = store(with_lengths(once(df.select(*SERVING_IN), texts)), "serving")
+    return tail_control(rows).select(*SERVING_OUT)
+
+
+def english_stopwords(spark) -> list[str]:
+    """Spark's English stopwords, cut at apostrophes as cleaning cuts the text."""
+    words = spark._jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords("english")
+    return sorted({part for w in words for part in w.split("'") if part})
+
+
 def features(df: DataFrame) -> DataFrame:
     """The rows are read for their terms, their number and the result, so they are stored first."""
     df = store(df, "clean")
@@ -124,20 +145,21 @@ def template_clusters(df: DataFrame, threshold: float = 0.985) -> DataFrame:
     found = components(base, template_edges(base.select("row_idx", "prompt_sig", "template"), threshold))
     reps = base.join(found, "row_idx").withColumn("r", F.row_number().over(W.partitionBy("prompt_sig", "component").orderBy(F.desc("info"), "row_idx"))).filter("r = 1")
     rank = F.row_number().over(W.partitionBy("prompt_sig").orderBy(F.when(F.col("usable") == 1, F.lit(0)).otherwise(-F.col("info")), "component"))
-    return reps.withColumn("place", rank).select("row_idx", "prompt_sig", "component", "place", "g")
+    return reps.withColumn("place", rank).select("row_idx", "prompt_sig", "component", "place", "g", "usable")
 
 
 def cluster_templates(df: DataFrame, max_per_group: int = 8, cap_start: int = 10, threshold: float = 0.985) -> DataFrame:
     """The representatives that stay: groups of more than cap_start rows keep max_per_group of them."""
-    return template_clusters(df, threshold).filter((F.col("g") <= cap_start) | (F.col("place") <= max_per_group)).drop("g")
+    return template_clusters(df, threshold).filter((F.col("g") <= cap_start) | (F.col("place") <= max_per_group)).drop("g", "usable")
 
 
 def cluster_meta(reps: DataFrame, max_per_group: int = 8, cap_start: int = 10) -> DataFrame:
-    """clusters_kept (clusters of groups of two rows and more, before the cap), capped_prompts, max_per_prompt, from
-    template_clusters()."""
-    groups = reps.groupBy("prompt_sig").agg(F.max("g").alias("g"), F.count("*").alias("reps")).filter("g > 1")
-    capped = F.count_if((F.col("g") > cap_start) & (F.col("reps") > max_per_group))
-    return groups.agg(F.coalesce(F.sum("reps"), F.lit(0)).alias("clusters_kept"), capped.alias("capped_prompts"), F.lit(max_per_group).cast("long").alias("max_per_prompt"))
+    """clusters_kept, capped_prompts, max_per_prompt, from template_clusters(). Clusters of groups of two rows and more
+    count before the cap, those of groups without a usable term after it."""
+    groups = reps.groupBy("prompt_sig").agg(F.max("g").alias("g"), F.max("usable").alias("usable"), F.count("*").alias("reps")).filter("g > 1")
+    over = (F.col("g") > cap_start) & (F.col("reps") > max_per_group)
+    kept = F.when(over & (F.col("usable") == 0), max_per_group).otherwise(F.col("reps"))
+    return groups.agg(F.coalesce(F.sum(kept), F.lit(0)).cast("long").alias("clusters_kept"), F.count_if(over).alias("capped_prompts"), F.lit(max_per_group).cast("long").alias("max_per_prompt"))
 
 
 def fold(sig: Column, n: int = 10) -> Column:
