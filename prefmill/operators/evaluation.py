@@ -168,3 +168,29 @@ def steps(rows: int, batch: int, epochs: int, accumulate: int, ratio: float) ->
     """Total and warm-up steps."""
     total = max(1, epochs * -(-rows // batch) // accumulate)
     return total, int(ratio * total)
+
+
+def epoch_rollup(epochs: DataFrame, metrics=("mean_train_loss", "val_loss", "val_acc", "macro_f1")) -> DataFrame:
+    """Mean of each metric, to 6 places, over the runs of a model, for each epoch; nulls don't count."""
+    return epochs.groupBy("model", "epoch").agg(*(F.round(F.avg(c), 6).alias(c) for c in metrics if c in epochs.columns), F.count("*").alias("runs"))
+
+
+def epoch_series(epochs: DataFrame, metrics=("val_acc", "macro_f1", "entropy")) -> DataFrame:
+    """Points of the curves of each run; metrics that a table or a model lacks give none."""
+    return fold_metrics(epochs, metrics).filter("value is not null")
+
+
+def f1_by_class(df: DataFrame, by: str = "model", labels=(0, 1, 2)) -> DataFrame:
+    """A row for each model, a column f1_k for each class; 0 where undefined."""
+    hits = [x for k in labels for x in (F.count_if((F.col("y_true") == k) & (F.col("y_pred") == k)).alias(f"tp_{k}"), (F.count_if(F.col("y_pred") == k) + F.count_if(F.col("y_true") == k)).alias(f"n_{k}"))]
+    return df.groupBy(by).agg(*hits).select(by, *(F.coalesce(F.try_divide(2.0 * F.col(f"tp_{k}"), F.col(f"n_{k}")), F.lit(0.0)).alias(f"f1_{k}") for k in labels))
+
+
+#: Losses by name: probabilities in, one mean out.
+LOSSES = {"cross_entropy": cross_entropy, "bradley_terry": bt_loss}
+
+
+def loss(name: str):
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {name!r}; there are {', '.join(LOSSES)}")
+    return LOSSES[name]

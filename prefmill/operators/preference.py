@@ -106,6 +106,12 @@ def dedup_meta(flags: DataFrame) -> DataFrame:
     return flags.agg(count(F.col("hard")).alias("removed_hard"), count(~k & ~F.col("hard")).alias("removed_near"), count((F.col("near_same") | F.col("near_cross")) & k).alias("kept_near"), count(~k).alias("removed_total"))
 
 
+def templates(df: DataFrame) -> DataFrame:
+    """row_idx, prompt_sig, template (both responses, normalised) and info of cleaned rows, for template_clusters()."""
+    info = tx.info_len(F.col("response_a_clean")) + tx.info_len(F.col("response_b_clean"))
+    return df.select("row_idx", "prompt_sig", tx.template_norm(F.col("response_a_clean"), F.col("response_b_clean")).alias("template"), info.alias("info"))
+
+
 def template_edges(df: DataFrame, threshold: float = 0.985) -> DataFrame:
     """Pairs of rows of one group whose group-local TF-IDF cosine reaches the threshold: an inverted-index join on
     (group, term), over terms that stand in two rows of the group or more."""
@@ -162,12 +168,23 @@ def cluster_meta(reps: DataFrame, max_per_group: int = 8, cap_start: int = 10) -
     return groups.agg(F.coalesce(F.sum(kept), F.lit(0)).cast("long").alias("clusters_kept"), F.count_if(over).alias("capped_prompts"), F.lit(max_per_group).cast("long").alias("max_per_prompt"))
 
 
+#: Names of the splitters, as metadata has them.
+SPLITTERS = ("stratified_group", "group_hash")
+
+
+def split_with_tag(df: DataFrame, n: int = 10, least: int = 2) -> tuple[DataFrame, str]:
+    """The stratified split if every label has `least` groups, else the split by hash; and the name of the one chosen."""
+    groups = df.groupBy("label").agg(F.countDistinct("prompt_sig").alias("g")).agg(F.min("g").alias("g")).first()["g"]
+    return (stratified_split(df, n), SPLITTERS[0]) if groups is not None and groups >= least else (split(df, n), SPLITTERS[1])
+
+
 def fold(sig: Column, n: int = 10) -> Column:
     """Portable group fold: all rows of a signature go together."""
     return F.conv(F.substring(F.md5(sig.cast("binary")), 1, 6), 16, 10).cast("long") % n
 
 
 def split(df: DataFrame, n: int = 10) -> DataFrame:
+    """The group split by hash; its name in metadata is SPLITTERS[1]."""
     return df.withColumn("split", F.when(fold(F.col("prompt_sig"), n) == 0, "valid").otherwise("train"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.text import round_half_even as rnd
 
@@ -118,3 +118,51 @@ def leaked(df: DataFrame, n: int = 20) -> DataFrame:
     """The first n signatures, in order, that stand in more than one split."""
     sides = df.groupBy("prompt_sig").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
     return sides.filter("lo < hi").select("prompt_sig").orderBy("prompt_sig").limit(n)
+
+
+def dtypes(df: DataFrame) -> DataFrame:
+    """column, dtype and whether it is numeric, from the schema."""
+    rows = [(f.name, f.dataType.simpleString(), f.name in numeric_columns(df)) for f in df.schema]
+    return df.sparkSession.createDataFrame(rows, "column string, dtype string, is_numeric boolean")
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+
+def describe_values(df: DataFrame, columns) -> DataFrame:
+    """count, distinct values, commonest value (the first of equals) and its count of each column, as text."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x")).select("x.*")
+    n = long.groupBy("column", "v").agg(F.count("v").alias("n"))
+    first = F.min(F.when(F.col("v").isNotNull(), F.struct((-F.col("n")).alias("n"), "v")))
+    return n.groupBy("column").agg(F.sum("n").alias("count"), F.count("v").alias("nunique"), first.alias("x")).select("column", "count", "nunique", F.col("x.v").alias("top"), (-F.col("x.n")).alias("freq"))
+
+
+def dense_histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
+    """auto_histogram() with its empty bins."""
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return F.broadcast(grid).join(auto_histogram(df, column, bins), "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def binned_count(df: DataFrame, column: str, step: float) -> DataFrame:
+    return df.filter(F.col(column).isNotNull()).groupBy((F.floor(F.col(column) / step) * step).cast("long").alias("bin_left")).agg(F.count("*").alias("count"))
+
+
+def threshold_flags(df: DataFrame) -> DataFrame:
+    """One row, flags: the names of the fixed thresholds that the table crosses, in order, comma-joined."""
+    share = lambda k: percent(F.col("label") == k)
+    row = df.agg(share(0).alias("a"), share(1).alias("b"), share(2).alias("t"), percent(F.col("respA_len") > 512).alias("trunc"))
+    flag = lambda cond, name: F.when(cond, name)
+    flags = (flag(F.col("t") > 50, "tie_heavy"), flag(F.col("a") < 25, "few_a"), flag(F.col("b") < 25, "few_b"), flag(F.abs(F.col("a") - F.col("b")) <= 5, "a_b_even"), flag(F.col("trunc") > 30, "trunc_high").when(F.col("trunc") > 20, "trunc_moderate"))
+    return row.select(F.array_join(F.array_compact(F.array(*flags)), ",").alias("flags"))
+
+
+def class_balance_by_split(df: DataFrame) -> DataFrame:
+    n = df.groupBy("split", "label").agg(F.count("*").alias("count"))
+    return n.withColumn("percent", rnd(F.col("count") / F.sum("count").over(W.partitionBy("split")) * 100))
+
+
+def records(df: DataFrame, order: str) -> DataFrame:
+    """A small report as one JSON text."""
+    rows = F.array_sort(F.collect_list(F.struct(order, F.struct(*df.columns).alias("row"))))
+    return df.agg(F.to_json(F.transform(rows, lambda x: x["row"])).alias("records"))

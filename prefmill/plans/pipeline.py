@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as tx
 from ..operators import preference as pf, profile as pr
+from ..sources.store import store
 
 
 def run(raw: DataFrame, stopwords=(), folds: int = 10) -> dict[str, DataFrame]:
     """raw: row_idx and the columns of the raw table. Cleaned base, deduplicated rows, train (with mirror images) and
-    validation rows, and the reports. Frames are lazy; the cleaned base is persisted since every branch reads it."""
-    base = pf.tail_control(pf.clean_base(raw, stopwords)).persist()
-    flags = pf.dedup_flags(pf.features(base)).persist()
+    validation rows in order of row_idx, and the reports. What several branches read is stored; sources.store.release()
+    deletes it when the frames are not needed any more."""
+    base = store(pf.tail_control(store(pf.clean_base(raw, stopwords), "base")), "base")
+    flags = store(pf.dedup_flags(pf.features(base)), "flags")
     kept = flags.filter("keep")
-    templates = kept.select("row_idx", "prompt_sig", tx.template_norm(F.col("response_a_clean"), F.col("response_b_clean")).alias("template"), "info")
-    clean = kept.join(pf.cluster_templates(templates).select("row_idx"), "row_idx", "left_semi").drop("hard", "near_same", "near_cross", "tie_trivial", "info", "keep")
-    sides = pf.split(clean, folds)
+    reps = store(pf.template_clusters(pf.templates(kept)), "clusters")
+    chosen = reps.filter((F.col("g") <= 10) | (F.col("place") <= 8)).select("row_idx")
+    clean = store(kept.join(chosen, "row_idx", "left_semi").drop("hard", "near_same", "near_cross", "tie_trivial", "info", "keep").orderBy("row_idx"), "kept")
+    sides, splitter = pf.split_with_tag(clean, folds)
     train, valid = sides.filter("split = 'train'").drop("split"), sides.filter("split = 'valid'").drop("split")
     return {
         "clean_base": base,
@@ -24,6 +26,8 @@ def run(raw: DataFrame, stopwords=(), folds: int = 10) -> dict[str, DataFrame]:
         "train_strat": pf.swap_union(train),
         "valid_strat": valid,
         "dedup_meta": pf.dedup_meta(flags),
+        "cluster_meta": pf.cluster_meta(reps),
+        "split_meta": pr.split_meta(sides).withColumn("splitter", F.lit(splitter)),
         "leakage": pr.leakage(sides),
         "class_balance": sides.groupBy("split", "label").agg(F.count("*").alias("count")),
         "length_stats": pr.length_stats(sides, "split", ("prompt_len", "respA_len", "respB_len")),
