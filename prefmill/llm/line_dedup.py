@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, setjoin
 
-EXTRA = 0.02
+EXTRA = 0.06
 #: Different sets of which one has fewer hashes than this can't match: 2 shared of 3 are less than 75 of 100.
 LEAST = 3
 
@@ -86,7 +86,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, s
     first = first.join(alive.withColumn("alive", F.lit(True)), "key", "left").filter("times > 1 or alive")
     first = common.materialise(spark, first, "op9-points")
     wanted = first.filter("alive").groupBy(F.col("o.rid").alias("rid")).agg(F.collect_list(F.struct("point", F.col("o.line").alias("line"))).alias("wanted"))
-    chosen = texts.select("rid", "text").join(wanted, "rid").select("text", "wanted")
+    chosen = texts.select("rid", "text").join(wanted.hint("shuffle_hash"), "rid").select("text", "wanted")
     sets = common.materialise(spark, chosen.mapInArrow(_sets, "id long, n int, sig binary, s binary"), "op9-sets")
     met = setjoin.cells(spark, sets).join(first.select("point", "o"), "point")
     met = common.materialise(spark, met, "op9-cells")
@@ -125,7 +125,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, shor
     rid, lines = rows.columns[-1], common.fresh(rows, "lines")
     kept = [c for c in docs.columns if c not in ("text", "n_removed")]
     names = [c for c in docs.columns if c != "n_removed"]
-    both = rows.withColumn("text", F.col("text").cast("string")).join(gone.select(F.col("rid").alias(rid), F.col("lines").alias(lines)), rid, "left")
+    both = rows.withColumn("text", F.col("text").cast("string")).join(gone.select(F.col("rid").alias(rid), F.col("lines").alias(lines)).hint("shuffle_hash"), rid, "left")
     cut = F.pandas_udf(_without, "string")(F.when(F.col(lines).isNotNull(), F.col("text")), lines)
     text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(cut).alias("text")
     return both.select(*kept, text, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed")).select(*names, "n_removed")
