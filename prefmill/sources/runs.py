@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Fixed names of the reports of a run.
@@ -33,26 +36,51 @@ def read_guarded(spark: SparkSession, path: str, schema: str | None = None) -> D
 
 
 def read_lenient(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """None if the file is missing or can't be read; Latin-1 where it isn't UTF-8."""
+    """None if the file is missing or can't be read; Latin-1 where a line isn't UTF-8."""
     if not exists(spark, path):
         return None
     try:
-        raw = spark.read.format("binaryFile").load(path)
-        valid = raw.filter(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
-        return read_csv(spark, path, schema, "UTF-8" if valid else "ISO-8859-1")
-    except AnalysisException:
+        valid = spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+        df = read_csv(spark, path, schema, "UTF-8" if valid else "ISO-8859-1")
+        df.isEmpty()  # what can't be read shows here, not in the caller's first action
+        return df
+    except PySparkException:
         return None
 
 
+_CACHED: dict[str, DataFrame] = {}
+
+
+def read_cached(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """read_lenient(), kept by path until clear_cached()."""
+    if path not in _CACHED and (df := read_lenient(spark, path, schema)) is not None:
+        _CACHED[path] = df.persist()
+    return _CACHED.get(path)
+
+
+def clear_cached() -> int:
+    n = len(_CACHED)
+    while _CACHED:
+        _CACHED.popitem()[1].unpersist()
+    return n
+
+
+#: Reports whose columns are fixed.
+TYPED = {"epochs": EPOCHS, "steps": STEPS, "alerts": ALERTS}
+
+
+def load_report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A report with its fixed columns, where it has some; a missing one is empty."""
+    df = read_lenient(spark, f"{folder}/{name}.csv", TYPED.get(name))
+    return df if df is not None else spark.createDataFrame([], TYPED.get(name, "time string"))
+
+
 def load_bundle(spark: SparkSession, folder: str, names=REPORTS) -> dict[str, DataFrame | None]:
     return {n: read_lenient(spark, f"{folder}/{n}.csv") for n in names}
 
 
 def from_records(spark: SparkSession, data: bytes, schema: str) -> DataFrame:
     """Rows of an uploaded CSV."""
-    import csv
-    import io
-
     rows = list(csv.reader(io.StringIO(data.decode("utf-8-sig"))))
     strings = spark.createDataFrame([tuple(r) for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0]))
     types = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
@@ -92,14 +120,176 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def write_metadata(spark: SparkSession, path: str, values: dict) -> dict:
-    """Read, update and write one JSON document."""
-    old = {}
-    if exists(spark, path):
-        old = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()) or "{}")
-    new = old | values
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file from any file system; None if there is none."""
+    if not exists(spark, path):
+        return None
+    return b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).select("content").collect())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(json.dumps(new, ensure_ascii=False, indent=2).encode()))
+    out.write(bytearray(data))
     out.close()
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads((read_bytes(spark, path) or b"").decode() or "{}")
+
+
+def write_json(spark: SparkSession, path: str, values: dict) -> None:
+    write_bytes(spark, path, json.dumps(values, ensure_ascii=False, indent=2).encode())
+
+
+def read_yaml(spark: SparkSession, *paths: str) -> dict:
+    """The first of the files that exists, as YAML if that library is there, else as JSON."""
+    for path in paths:
+        if (data := read_bytes(spark, path)) is not None:
+            try:
+                import yaml
+            except ImportError:
+                return json.loads(data or b"{}")
+            return yaml.safe_load(data) or {}
+    return {}
+
+
+def write_yaml(spark: SparkSession, path: str, values: dict) -> None:
+    """YAML if that library is there; else JSON, which YAML readers take too."""
+    try:
+        import yaml
+    except ImportError:
+        return write_json(spark, path, values)
+    write_bytes(spark, path, yaml.safe_dump(values, allow_unicode=True, sort_keys=False).encode())
+
+
+def write_metadata(spark: SparkSession, path: str, values: dict) -> dict:
+    """Read, update and write one JSON document."""
+    new = read_json(spark, path) | values
+    write_json(spark, path, new)
     return new
+
+
+def write_eda_metadata(spark: SparkSession, path: str, source: str, folders: dict[str, str], tables) -> dict:
+    """When, from what, where to and which tables were made."""
+    made = {"created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "source": source, "tables": sorted(tables)}
+    return write_metadata(spark, path, made | folders)
+
+
+def _lines(rows: list[dict], columns) -> str:
+    out = io.StringIO()
+    writer = csv.DictWriter(out, columns, lineterminator="\n", extrasaction="ignore")
+    writer.writerows(rows)
+    return out.getvalue()
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A report as one CSV file with a byte order mark, for spreadsheets; rows come to the driver partition by partition."""
+    write_bytes(df.sparkSession, path, ("\ufeff" + ",".join(df.columns) + "\n" + _lines([r.asDict() for r in df.toLocalIterator()], df.columns)).encode())
+
+
+def append_rows(spark: SparkSession, path: str, rows: list[dict]) -> None:
+    """Rows of the driver's own (epochs, steps) at the end of one CSV file, with one header."""
+    old = (read_bytes(spark, path) or b"").decode()
+    columns = old.split("\n", 1)[0].split(",") if old else list(rows[0])
+    write_bytes(spark, path, ((old or ",".join(columns) + "\n") + _lines(rows, columns)).encode())
+
+
+def append_log(spark: SparkSession, path: str, section: str, lines) -> None:
+    """Lines of a section at the end of a text log."""
+    old = (read_bytes(spark, path) or b"").decode()
+    write_bytes(spark, path, (old + "".join(f"{x}\n" for x in (f"[{section}]", *lines))).encode())
+
+
+def run_by_name(runs: DataFrame, name: str):
+    """The row of a run; None if there is none."""
+    return runs.filter(F.col("run") == name).first()
+
+
+def ready(spark: SparkSession, folder: str, needed=("model.json",)) -> bool:
+    """Whether a run's folder has all files that serving needs."""
+    return all(exists(spark, f"{folder}/{n}") for n in needed)
+
+
+def catalog_runs(spark: SparkSession, results: dict[str, str], reports: dict[str, str] | None = None, needed=("model.json",)) -> DataFrame:
+    """model, run, ts, results_dir, reports_dir, ready of the runs of every model, newest first."""
+    rows = [(model, r["run"], r["ts"], r["results_dir"], r["reports_dir"], ready(spark, r["results_dir"], needed)) for model, root in results.items() for r in list_runs(spark, root, (reports or {}).get(model)).collect()]
+    return spark.createDataFrame(rows, "model string, run string, ts timestamp, results_dir string, reports_dir string, ready boolean").orderBy("model", F.desc("ts"))
+
+
+def enabled_models(config: dict) -> list[str]:
+    """Names of the models of a configuration that are not switched off."""
+    return [name for name, m in config.get("models", {}).items() if (m or {}).get("enabled", True)]
+
+
+#: Fixed names of the stages that leave a marker.
+STAGES = ("CleaningDone", "SummaryDone", "SummaryTrainValid", "EdaDone", "EdaAnalysisDone")
+
+
+class Markers:
+    """Files that say which stages are done. They don't depend on what the input holds, so a changed input needs force."""
+
+    def __init__(self, spark: SparkSession, folder: str, names=STAGES):
+        self.spark, self.folder, self.names = spark, folder, names
+
+    def path(self, name: str) -> str:
+        if name not in self.names:
+            raise KeyError(name)
+        return f"{self.folder}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return exists(self.spark, self.path(name))
+
+    def create(self, name: str, content: str = "") -> None:
+        write_bytes(self.spark, self.path(name), content.encode())
+
+    def remove(self, name: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, False)
+
+    def once(self, name: str, stage, force: bool = False) -> bool:
+        """Runs stage() and leaves the marker, unless it is there; says whether it ran."""
+        if self.exists(name) and not force:
+            return False
+        stage()
+        self.create(name)
+        return True
+
+
+def validate(config: dict, schema: dict) -> dict:
+    """config with values made the types of schema: {key: (type, default or ... if needed, choices or None)}; a nested
+    dict is a section. Unknown and missing keys and values outside their choices are errors, named by their dotted key."""
+    out, errors = {}, []
+
+    def walk(values: dict, kinds: dict, into: dict, at: str) -> None:
+        errors.extend(f"unknown key {at}{k}" for k in values if k not in kinds)
+        for k, kind in kinds.items():
+            if isinstance(kind, dict):
+                walk(values.get(k) or {}, kind, into.setdefault(k, {}), f"{at}{k}.")
+                continue
+            of, default, choices = kind
+            if k not in values and default is ...:
+                errors.append(f"missing key {at}{k}")
+                continue
+            v = values.get(k, default)
+            try:
+                v = v if v is None or k not in values else v.lower() in ("1", "true", "yes", "on") if of is bool and isinstance(v, str) else of(v)
+            except (TypeError, ValueError):
+                errors.append(f"{at}{k} is no {of.__name__}")
+                continue
+            if choices and v not in choices:
+                errors.append(f"{at}{k} is none of {', '.join(map(str, choices))}")
+            into[k] = v
+
+    walk(config, schema, out, "")
+    if errors:
+        raise ValueError("; ".join(errors))
+    return out
+
+
+def get_value(config: dict, dotted: str, default=None):
+    for k in dotted.split("."):
+        if not isinstance(config, dict) or k not in config:
+            return default
+        config = config[k]
+    return config
