@@ -26,12 +26,17 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def note(path: str) -> str:
+    """A path that release() shall delete."""
+    _STORED.append(path)
+    return path
+
+
 def store(df: DataFrame, tag: str = "table") -> DataFrame:
     """df, written to the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = note(f"{folder(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
