@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources import store
+
 #: Deletes nothing but ASCII white space; lower-cases nothing but A-Z.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Every byte that is not part of an ASCII-letter, digit or non-ASCII word becomes a space; A-Z become a-z.
@@ -28,22 +30,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="prefmill-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share."""
+    return store.folder(spark)
 
 
 def materialise(spark: SparkSession, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs a read.
-    The shuffle files of the write are of no more use then and go at once, not when the driver next collects garbage."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    The shuffle files of the write are of no more use then and go at once, not when the driver next collects garbage.
+    store.release() deletes the table."""
+    path = store.note(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources import store
 from . import common, simple8b
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -189,6 +190,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/op10-{uuid.uuid4().hex}"
+    path = store.note(f"{common.shared_dir(spark)}/op10-{uuid.uuid4().hex}")
     write_tokens(spark, common.documents(spark, sf_dir), path)
     return token_index(spark, path)
