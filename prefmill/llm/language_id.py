@@ -128,7 +128,7 @@ def learn(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.nda
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """docs with the columns lang_pred and score; only text is read."""
+    """docs with the columns lang_pred and score, in place of columns of those names; only text is read."""
     langs = sorted(model)
     matrix = np.array([model[x] for x in langs], np.float32).reshape(len(langs), dim)
 
