@@ -16,6 +16,8 @@ from prefmill.llm import common, decontaminate, language_id, line_dedup, ngram_j
 
 #: Below this cosine with every prototype a text is in none of the languages; ordinary text lies far above.
 LEAST_COSINE = 0.02
+#: Ids of contaminated documents that are broadcast, at most (8 MB); more are joined by a shuffle of the documents.
+LEAKS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = common.stored(spark, docs)
     hits, _ = decontaminate.occurrences(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     rid = common.fresh(docs, "rid")
-    return common.with_rid(docs, rid).join(hits.filter("n_hit > 0").select(F.col("rid").alias(rid)), rid, "left_anti").select(*docs.columns)
+    gone = common.materialise(spark, hits.filter("n_hit > 0").select(F.col("rid").alias(rid)), "pipeline-leaks")
+    if gone.count() <= LEAKS:
+        gone = F.broadcast(gone)
+    return common.with_rid(docs, rid).join(gone, rid, "left_anti").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
