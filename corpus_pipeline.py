@@ -14,28 +14,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prefmill.llm import common, decontaminate, language_id, line_dedup, ngram_join, pieces
 
-#: Below this cosine with every prototype a text is in none of the languages; ordinary text lies far above.
-LEAST_COSINE = 0.02
+#: A text of LETTERS letters or more whose cosine with every prototype is within 2.5 standard deviations of what two
+#: unrelated vectors have is in none of the languages. Ordinary text of that length lies at three times that and more.
+LEAST_COSINE, LETTERS = 2.5 / language_id.DIM**0.5, 200
 #: Ids of contaminated documents that are broadcast, at most (8 MB); more are joined by a shuffle of the documents.
 LEAKS = 1_000_000
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with its columns of these names, in any case, under others; and the columns of docs as they were."""
+    moved = {}
+    for c in (c for c in docs.columns if c.lower() in names):
+        moved[c] = f"kept_{len(moved)}"
+        while moved[c] in docs.columns:
+            moved[c] += "_"
+    return docs.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like none of the languages, go. Learns from the lang column of its input."""
+    rows, back = aside(docs, "lang_pred", "score")
     with common.arrow_rows(spark, 500):
         model = language_id.learn(docs)
-        guessed = language_id.predict(docs, model)
+        guessed = language_id.predict(rows, model)
     if not model:
         return docs
-    return guessed.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    unlike = (F.col("score") < LEAST_COSINE) & (F.length(F.regexp_replace("text", r"\P{L}+", "")) >= LETTERS)
+    return guessed.filter((F.col("lang_pred") != "und") & ~unlike).select(*back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go, and with them documents of which no word is left; n_chars is counted anew
-    where text changed. Documents that had no word from the start stay."""
+    """Lines that match an earlier line go, and with them documents of which no word is left; n_chars, where it is a
+    column, is counted anew where text changed. Documents that had no word from the start stay."""
+    rows, back = aside(docs, "n_removed")
     with common.arrow_rows(spark, 500):
-        out = line_dedup.dedup_lines(spark, docs, short=True).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-        return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+        out = line_dedup.dedup_lines(spark, rows, short=True).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return out.select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
