@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources import store
+from ..sources import fixtures, store
 
 #: Deletes nothing but ASCII white space; lower-cases nothing but A-Z.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -61,7 +61,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Files whose numbers are broadcast, at most: a path of 150 bytes each makes 15 MB.
+#: Files whose numbers are broadcast, at most: a path of 150 bytes each makes 15 MB. More are joined by a shuffle.
 FILES = 100_000
 
 
@@ -86,18 +86,21 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 def with_rid(df: DataFrame, name: str = "rid") -> DataFrame:
     """df with a unique long for each row: the number of its file, in order of path, and its place in the file. So the
-    ids are the same in every job, however the scan is split and whatever executors there are. What is not a scan of at
-    most FILES stored Parquet files is stored first, with ids."""
-    spark = df.sparkSession
-    if _is_scan(df):
-        at = df.metadataColumn("_metadata")
-        paths = df.select(at.getField("file_path").alias("p")).distinct().limit(FILES + 1).collect()
-        if len(paths) <= FILES:
-            path, file, row = (fresh(df, c) for c in ("path", "file", "row"))
-            numbers = spark.createDataFrame([(r["p"], k) for k, r in enumerate(sorted(paths))], f"`{path}` string, `{file}` long")
-            placed = df.withColumns({path: at.getField("file_path"), row: at.getField("row_index")})
-            return placed.join(F.broadcast(numbers), path).withColumn(name, F.shiftleft(file, 40) + F.col(row)).drop(path, file, row)
-    return materialise(spark, df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    ids are the same in every job, however the scan is split, however many files and whatever executors there are. What
+    is not a scan of stored Parquet files is stored first, with ids."""
+    if not _is_scan(df):
+        return materialise(df.sparkSession, df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    at = df.metadataColumn("_metadata")
+    path, file, row = (fresh(df, c) for c in ("path", "file", "row"))
+    paths = df.select(at.getField("file_path").alias(path)).distinct()
+    some = paths.limit(FILES + 1).collect()
+    if len(some) <= FILES:
+        numbers = df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(sorted(r[path] for r in some))], f"`{path}` string, `{file}` long")
+        numbers = F.broadcast(numbers)
+    else:
+        numbers = fixtures.with_row_index(paths, path, name=file)
+    placed = df.withColumns({path: at.getField("file_path"), row: at.getField("row_index")})
+    return placed.join(numbers, path).withColumn(name, F.shiftleft(file, 40) + F.col(row)).drop(path, file, row)
 
 
 def crc_mod(ids, n: int) -> np.ndarray:
