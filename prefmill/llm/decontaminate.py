@@ -1,17 +1,18 @@
 """Benchmark decontamination by a prefix-filtered set join (op 8). DataFrame functions only.
 
 Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. A window is `size` consecutive words of an
-item; an item of fewer, but not none, is one window. A window occurs only where all its words do, so of its words in
-order of rarity (by their counts in the documents) a prefix of one is enough: the join is on the window's rarest word.
-The word's place in the window bounds where the window may begin, its length where it must end, and the slice of the
+item; an item of fewer, but not none, is one window. The tokens of a window are its shingles of SHINGLE words; a window
+of fewer words is one shingle. A window occurs only where all its shingles do, so of its shingles in order of rarity (by
+their counts in the documents) a prefix of one is enough: the join is on the window's rarest shingle, known by 64 bits.
+The shingle's place in the window bounds where the window may begin, its length where it must end, and the slice of the
 document there is compared word for word inside the join, so the join's output is true occurrences only.
 
 The windows are broadcast, in blocks of a checked size: a benchmark of more than `block` distinct windows takes one
 pass over the documents a block. A window does not carry the items that hold it but a hash (SHA-256) of their list, so
 a passage that many items share costs no more than another; the lists meet the documents only after equal sets of such
 hashes have become one, so 3,000 documents with one shared passage expand its items once. Each document adds one
-sentinel word, '', that meets a sentinel window: so documents without hits, empty texts and null texts come out of the
-same pass with their word counts.
+sentinel, with a place below 0, that meets a sentinel window: so documents without hits, empty texts and null texts come
+out of the same pass with their word counts.
 
 Cases: a null text has no words; an item without id or words is left out; rows of equal doc_id stay separate rows;
 an empty benchmark gives n_hit 0 throughout. Documents that are no scan of stored files are stored first.
@@ -25,7 +26,7 @@ from . import common
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WINDOW = 10
+WINDOW, SHINGLE = 10, 5
 #: Windows in a broadcast: about 300 bytes each.
 BLOCK = 250_000
 #: Distinct sets of hit lists that are broadcast, at most; more are joined by a shuffle.
@@ -44,16 +45,35 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return wins.withColumn("held", F.unhex(F.sha2(F.to_json("items").cast("binary"), 256)))
 
 
-def anchored(docs_words: DataFrame, wins: DataFrame, bound: int) -> DataFrame:
-    """Windows with their rarest word (anchor) and its place (off). Counts are over all documents."""
-    vocabulary = wins.select(F.explode("ws").alias("w")).distinct()
+def shingles(w: Column, lengths: list[int]) -> Column:
+    """place and h of each run of so many words, for each of the lengths."""
+
+    def of(n: int) -> Column:
+        one = lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"))
+        none = F.array().cast("array<struct<place:int,h:bigint>>")
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), one)).otherwise(none)
+
+    return F.concat(*[of(n) for n in lengths])
+
+
+def window_shingles(wins: DataFrame, lengths: list[int]) -> DataFrame:
+    """ws, held, off, h: the shingles of each window, at their places."""
+    each = F.lit(None).cast("array<struct<place:int,h:bigint>>")
+    for n in lengths:
+        each = F.when(F.least(F.size("ws"), F.lit(SHINGLE)) == n, shingles(F.col("ws"), [n])).otherwise(each)
+    return wins.select("ws", "held", F.explode(each).alias("s")).select("ws", "held", F.col("s.place").alias("off"), "s.h")
+
+
+def anchored(docs_words: DataFrame, wins: DataFrame, lengths: list[int], bound: int) -> DataFrame:
+    """Windows with their rarest shingle (anchor) and its place (off). Counts are over all documents."""
+    placed = window_shingles(wins, lengths)
+    vocabulary = placed.select("h").distinct()
     if vocabulary.count() <= bound:
         vocabulary = F.broadcast(vocabulary)
-    counts = docs_words.select(F.explode_outer("words").alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
-    placed = wins.select("ws", "held", F.posexplode("ws").alias("off", "w")).join(counts, "w", "left")
-    # a word that no document has makes the rarest anchor of all: its windows can't occur
-    first = F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "w", "off")).alias("a")
-    return placed.groupBy("ws", "held").agg(first).filter("a.c > 0").select(F.col("a.w").alias("anchor"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "held")
+    counts = docs_words.select(F.explode(shingles(F.col("words"), lengths)).alias("s")).select("s.h").join(vocabulary, "h", "left_semi").groupBy("h").agg(F.count("*").alias("c"))
+    # a window with a shingle that no document has can't occur
+    first = F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "off")).alias("a")
+    return placed.join(counts, "h", "left").groupBy("ws", "held").agg(first).filter("a.c > 0").select(F.col("a.h").alias("anchor"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "held")
 
 
 def occurrences(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -61,16 +81,20 @@ def occurrences(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size
     their lists of items); and the lists: held, items."""
     base = common.with_rid(docs.select(F.col("doc_id"), F.col("text"))).select("rid", "doc_id", words(F.col("text")).alias("words"))
     every = common.materialise(spark, windows(benchmark, size), "op8-windows")
-    wins = common.materialise(spark, anchored(base, every, block), "op8-anchored")
+    lengths = sorted(r["n"] for r in every.select(F.least(F.size("ws"), F.lit(SHINGLE)).alias("n")).distinct().collect())  # SHINGLE at most
+    lengths = lengths or [SHINGLE]
+    wins = common.materialise(spark, anchored(base, every, lengths, block), "op8-anchored")
     parts = max(1, -(-wins.count() // block))
-    sentinel = spark.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("binary").alias("held"))
-    exploded = base.select("rid", "doc_id", "words", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "w"))
-    fits = (F.col("n") == 0) | ((F.col("pos") >= F.col("off")) & (F.slice("words", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), F.col("n")) == F.col("ws")))
+    sentinel = spark.range(1).select(F.lit(0).cast("long").alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("binary").alias("held"))
+    last = F.struct((-1 - F.size("words")).alias("place"), F.lit(0).cast("long").alias("h"))
+    exploded = base.select("rid", "doc_id", "words", F.explode(F.concat(shingles(F.col("words"), lengths), F.array(last))).alias("s")).select("rid", "doc_id", "words", F.col("s.place").alias("pos"), "s.h")
+    begin = F.col("pos") - F.col("off")
+    fits = F.when(F.col("pos") < 0, F.col("n") == 0).otherwise((F.col("n") > 0) & (begin >= 0) & (F.slice("words", F.greatest(begin + 1, F.lit(1)), F.col("n")) == F.col("ws")))
     found = None
     for k in range(parts):
         some = wins if parts == 1 else wins.filter(F.pmod(F.xxhash64("ws"), F.lit(parts)) == k)
         some = some.unionByName(sentinel) if k == 0 else some
-        hits = exploded.join(F.broadcast(some), (F.col("w") == F.col("anchor")) & fits).select("rid", "doc_id", F.when(F.col("n") == 0, F.col("pos")).alias("n_words"), F.when(F.col("n") > 0, F.struct((F.col("pos") - F.col("off")).alias("start"), "n")).alias("span"), "held")
+        hits = exploded.join(F.broadcast(some), (F.col("h") == F.col("anchor")) & fits).select("rid", "doc_id", F.when(F.col("n") == 0, -1 - F.col("pos")).alias("n_words"), F.when(F.col("n") > 0, F.struct(begin.alias("start"), "n")).alias("span"), "held")
         found = hits if found is None else found.unionByName(hits)
     per_doc = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("held")).alias("held"))
     # spans in order of their start: each adds what lies beyond the end reached so far

@@ -4,9 +4,10 @@ Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased; all byte
 words, so the scan works on UTF-8 bytes, words joined by one space. Base phrases are counted where their words stand
 consecutively. A notice of the table below may have up to `k` edits (characters inserted, deleted or changed): it is
 cut into k+1 pieces, one of which must stand unchanged (pigeonhole), an Aho-Corasick automaton finds the pieces, and
-the regex library's bounded-error matching verifies the notice around each and gives its span. Windows around
-adjoining seeds are merged before they are verified. The best match of a window is taken first; then what stands
-before it and after it is searched in the same way, so poorer matches on either side are found too.
+the regex library's bounded-error matching looks for the best match in a window of one notice's length around each
+piece. Of matches that overlap the best stays (of equal ones the first); what is left of a window on either side of it
+is searched again, so poorer matches beside it are found too. Windows are no longer than a notice and its edits, so
+time is in proportion to the text.
 
 Cases: null is the empty text: n_words 0, no labels, score 0. Rows of equal doc_id stay separate.
 score: 1 for an exact match, 1 - edits / length for the best fuzzy one, 0 for none.
@@ -14,6 +15,10 @@ score: 1 for an exact match, 1 - edits / length for the best fuzzy one, 0 for no
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,34 +74,48 @@ class NoticeScanner:
 
     def fuzzy(self, joined: str):
         """(label, start, end, edits, length of the notice), spans in characters of the joined words."""
-        windows: dict[int, list] = {}
+        windows: dict[int, set] = {}
         for end, where in self.seeds.iter(joined):
             for i, offset, size in where:
                 text, _, k, _ = self.notices[i]
-                low = max(0, end + 1 - size - offset - k)
-                high = end + 1 - size - offset + len(text) + k
-                spans = windows.setdefault(i, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                    spans[-1][0] = min(spans[-1][0], low)
-                else:
-                    spans.append([low, high])
+                begin = end + 1 - size - offset
+                windows.setdefault(i, set()).add((max(0, begin - k), min(begin + len(text) + k, len(joined))))
         for i, spans in windows.items():
-            text, label, _, pattern = self.notices[i]
-            for low, high in spans:
-                for m in self.matches(pattern, joined, low, min(high, len(joined))):
-                    yield label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)
+            text, label, k, pattern = self.notices[i]
+            for m in self.apart(pattern, joined, sorted(spans), len(text) - k):
+                yield label, m.start(), m.end(), sum(m.fuzzy_counts), len(text)
+
+    @classmethod
+    def matches(cls, pattern, joined: str, low: int, high: int):
+        """The best match between two places, and those before and after it in the same way, by place."""
+        return cls.apart(pattern, joined, [(low, high)], 1)
 
     @staticmethod
-    def matches(pattern, joined: str, low: int, high: int):
-        """The best match of a window, and those before and after it in the same way, by place."""
-        todo, found = [(low, high)], []
-        while todo:
-            a, z = todo.pop()
-            if m := pattern.search(joined, a, z):
-                found.append(m)
-                todo += [(a, m.start()), (m.end(), z)]
-        return sorted(found, key=lambda m: m.start())
+    def apart(pattern, joined: str, windows: list, least: int):
+        """Matches of at least so many characters in windows, by place: of those that overlap, the best."""
+        best, starts, ends, found, ticket = [], [], [], [], itertools.count()
+
+        def search(low: int, high: int):
+            if high - low >= least and (m := pattern.search(joined, low, high)):
+                heapq.heappush(best, (sum(m.fuzzy_counts), m.start(), m.end(), low, high, next(ticket), m))
+
+        def taken(low: int, high: int) -> slice:
+            """Which of the matches that have been taken reach into this stretch; they are sorted and apart."""
+            return slice(bisect.bisect_right(ends, low), bisect.bisect_left(starts, high))
+
+        for low, high in windows:
+            search(low, high)
+        while best:
+            _, start, end, low, high, _, m = heapq.heappop(best)
+            if not starts[taken(start, end)]:
+                at = bisect.bisect_left(starts, start)
+                starts.insert(at, start)
+                ends.insert(at, end)
+                found.insert(at, m)
+            near = taken(low, high)
+            for left, right in zip([low, *ends[near]], [*starts[near], high]):
+                search(left, right)
+        return found
 
     def scan(self, text: bytes) -> dict:
         words = text.translate(common.WORD_BYTES).split()

@@ -1,6 +1,7 @@
 """op3_license_scan finds poorer matches on both sides of the best one, and the best one itself."""
 
 import random
+import time
 
 import pytest
 
@@ -34,3 +35,15 @@ def test_the_best_match_is_never_lost():
         found = license_scan.NoticeScanner.matches(pattern, joined, 0, len(joined))
         assert set(before) <= {m.span() for m in found}
         assert all(a.end() <= b.start() for a, b in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("near", ["general publc license ", "all rights resrved ", "gnu generl public license and more "])
+def test_time_is_in_proportion_to_dense_texts(near):
+    scanner, took = license_scan.NoticeScanner(), []
+    for size in (100_000, 200_000):
+        text = near.encode() * (size // len(near))
+        t = time.process_time()
+        spans = scanner.scan(text)["spans"]
+        took.append(time.process_time() - t)
+        assert len({x["start"] for x in spans}) >= size // len(near)
+    assert took[1] < 3 * took[0] + 0.5 and took[1] < 10
