@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import similarity as sim, text as tx
 from ..sources.store import store
+from . import cosine_join, splits, topk
 
 
 def label() -> Column:
@@ -92,11 +93,15 @@ def dedup_flags(df: DataFrame) -> DataFrame:
     """hard, near_same, near_cross, tie_trivial, info, keep for each row with features.
 
     In a prompt group of several rows the near_same rows leave one, that with most information (lowest row_idx on ties);
-    near_cross and hard rows go; of the trivial ties of a group one may stay."""
+    near_cross and hard rows go; of the trivial ties of a group one may stay. A group's size and best rows are aggregates
+    of the stored rows, and come back to them by a join that may split a large group."""
     df = df.withColumns({"hard": F.expr(HARD), "near_same": F.expr(NEAR_SAME), "near_cross": F.expr(NEAR_CROSS), "tie_trivial": F.expr(TIE_TRIVIAL), "info": tx.info_len(F.col("response_a_clean")) + tx.info_len(F.col("response_b_clean"))})
-    best = lambda flag: F.row_number().over(W.partitionBy("prompt_sig", flag).orderBy(F.desc("info"), "row_idx"))
-    df = df.withColumns({"r_near": best("near_same"), "r_tie": best("tie_trivial"), "g": F.count("*").over(W.partitionBy("prompt_sig"))})
-    gone = (F.col("near_same") & (F.col("g") > 1) & (F.col("r_near") > 1)) | F.col("near_cross") | F.col("hard") | (F.col("tie_trivial") & (F.col("r_tie") > 1))
+    df = store(df, "flags")
+    first = lambda flag: F.max(F.when(F.col(flag), F.struct("info", (-F.col("row_idx")).alias("row")))).getField("row")
+    groups = df.groupBy("prompt_sig").agg(F.count("*").alias("g"), (-first("near_same")).alias("r_near"), (-first("tie_trivial")).alias("r_tie"))
+    df = topk.with_groups(df, "prompt_sig", groups)
+    other = lambda c: F.col(c) != F.col("row_idx")
+    gone = (F.col("near_same") & (F.col("g") > 1) & other("r_near")) | F.col("near_cross") | F.col("hard") | (F.col("tie_trivial") & other("r_tie"))
     return df.withColumn("keep", ~gone).drop("r_near", "r_tie", "g")
 
 
@@ -113,17 +118,8 @@ def templates(df: DataFrame) -> DataFrame:
 
 
 def template_edges(df: DataFrame, threshold: float = 0.985) -> DataFrame:
-    """Pairs of rows of one group whose group-local TF-IDF cosine reaches the threshold: an inverted-index join on
-    (group, term), over terms that stand in two rows of the group or more."""
-    n = df.groupBy("prompt_sig").agg(F.count("*").alias("n")).filter("n > 1")
-    tf = df.select("row_idx", "prompt_sig", F.explode(sim.terms(F.col("template"))).alias("term")).groupBy("row_idx", "prompt_sig", "term").agg(F.count("*").alias("tf"))
-    docs = tf.groupBy("prompt_sig", "term").agg(F.count("*").alias("df"))
-    w = tf.join(docs, ["prompt_sig", "term"]).join(n, "prompt_sig").withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy("row_idx").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    unit = w.join(norm, "row_idx").select("row_idx", "prompt_sig", "term", "df", (F.col("w") / F.col("norm")).alias("u")).filter("df > 1")
-    x, y = unit.alias("x"), unit.alias("y")
-    dots = x.join(y, (F.col("x.prompt_sig") == F.col("y.prompt_sig")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.row_idx") < F.col("y.row_idx")))
-    return dots.groupBy(F.col("x.prompt_sig").alias("prompt_sig"), F.col("x.row_idx").alias("a"), F.col("y.row_idx").alias("b")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("cosine")).filter(F.col("cosine") >= threshold)
+    """prompt_sig, a, b, cosine: all pairs of rows of one group whose group-local TF-IDF cosine reaches the threshold."""
+    return cosine_join.pairs(df, threshold)
 
 
 def components(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,20 +138,29 @@ def components(rows: DataFrame, edges: DataFrame) -> DataFrame:
             return rows.select("row_idx").join(found, "row_idx", "left").select("row_idx", F.coalesce("component", "row_idx").alias("component"))
 
 
+#: Places among a group's clusters that are numbered.
+PLACES = 10
+
+
 def template_clusters(df: DataFrame, threshold: float = 0.985) -> DataFrame:
     """Representatives of template clusters, of each component the row with most information: row_idx, prompt_sig,
-    component, place (by the order of components) and g, the rows of the group. df: row_idx, prompt_sig, template, info.
-    A group without a term of two characters keeps its rows in order of information."""
-    size = F.count("*").over(W.partitionBy("prompt_sig"))
-    base = store(df.withColumns({"g": size, "usable": F.max((F.size(sim.terms(F.col("template"))) > 0).cast("int")).over(W.partitionBy("prompt_sig"))}), "templates")
-    found = components(base, template_edges(base.select("row_idx", "prompt_sig", "template"), threshold))
-    reps = base.join(found, "row_idx").withColumn("r", F.row_number().over(W.partitionBy("prompt_sig", "component").orderBy(F.desc("info"), "row_idx"))).filter("r = 1")
-    rank = F.row_number().over(W.partitionBy("prompt_sig").orderBy(F.when(F.col("usable") == 1, F.lit(0)).otherwise(-F.col("info")), "component"))
-    return reps.withColumn("place", rank).select("row_idx", "prompt_sig", "component", "place", "g", "usable")
+    component, place (by the order of components; null after the first PLACES) and g, the rows of the group. df: row_idx,
+    prompt_sig, template, info. A group without a term of two characters keeps its rows in order of information."""
+    base = store(df, "templates")
+    groups = base.groupBy("prompt_sig").agg(F.count("*").alias("g"), F.max((F.size(sim.terms(F.col("template"))) > 0).cast("int")).alias("usable"))
+    found = components(base, cosine_join.links(base.select("row_idx", "prompt_sig", "template"), threshold))
+    rows = base.select("row_idx", "prompt_sig", "info").join(found, "row_idx")
+    reps = topk.best(rows, ["prompt_sig", "component"], [F.col("info"), -F.col("row_idx")], ["row_idx", "info"])
+    reps = store(topk.with_groups(reps, "prompt_sig", groups), "representatives")
+    order = [F.when(F.col("usable") == 1, F.lit(0)).otherwise(-F.col("info")), F.col("component")]
+    placed = topk.first(reps, ["prompt_sig"], order, PLACES).select("row_idx", "place")
+    return reps.join(placed, "row_idx", "left").select("row_idx", "prompt_sig", "component", "place", "g", "usable")
 
 
 def cluster_templates(df: DataFrame, max_per_group: int = 8, cap_start: int = 10, threshold: float = 0.985) -> DataFrame:
     """The representatives that stay: groups of more than cap_start rows keep max_per_group of them."""
+    if max(max_per_group, cap_start) > PLACES:
+        raise ValueError(f"places are numbered up to {PLACES}")
     return template_clusters(df, threshold).filter((F.col("g") <= cap_start) | (F.col("place") <= max_per_group)).drop("g", "usable")
 
 
@@ -189,13 +194,11 @@ def split(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, n: int = 10) -> DataFrame:
-    """Label-aware group split by distributed scoring: groups in hash order fill the valid side while the running share
-    of their dominant label is within one nth of that label's rows. No group is on both sides."""
-    g = df.groupBy("prompt_sig").agg(F.mode("label").alias("label"), F.count("*").alias("rows"))
-    order = W.partitionBy("label").orderBy(F.md5(F.col("prompt_sig").cast("binary")))
-    g = g.withColumns({"upto": F.sum("rows").over(order.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("rows").over(W.partitionBy("label"))})
-    side = g.select("prompt_sig", F.when(F.col("upto") * n <= F.col("all"), "valid").otherwise("train").alias("split"))
-    return df.join(side, "prompt_sig")
+    """df with split: of each label one nth of the rows, as nearly as whole groups allow, is valid. No group is on both
+    sides; a label of two groups and more is on both."""
+    bins = splits.valid_bins(df, "prompt_sig", "label", n)
+    chosen = splits.bin_of(F.col("prompt_sig")).isin(bins) if bins else F.lit(False)
+    return df.withColumn("split", F.when(chosen, "valid").otherwise("train"))
 
 
 def swap_union(df: DataFrame, swap_lengths: bool = False) -> DataFrame:
