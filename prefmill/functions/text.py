@@ -37,6 +37,82 @@ def list_cell(c: Column) -> Column:
     return F.when(F.lower(F.trim(c)).isin(*NULL_WORDS), None).when(is_list, F.nullif(joined, F.lit(""))).otherwise(c)
 
 
+#: Parts of a serialized list: a string in either quotes, three of them or one (within a line), a number or a word, and what stands between values.
+_TRIPLE = r"'{3}[^'\\]*+(?:(?:\\(?s:.)|'(?!''))[^'\\]*+)*+'{3}|\"{3}[^\"\\]*+(?:(?:\\(?s:.)|\"(?!\"\"))[^\"\\]*+)*+\"{3}"
+_STRING = r"'[^'\\\n\r]*+(?:\\(?s:.)[^'\\\n\r]*+)*+'|\"[^\"\\\n\r]*+(?:\\(?s:.)[^\"\\\n\r]*+)*+\""
+_PLAIN = r"[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?|True|False|None"
+#: Three quotes that nothing closes are a part of their own, of which no list is made.
+_PART = rf"{_TRIPLE}|'{{3}}|\"{{3}}|{_STRING}|{_PLAIN}|[\[\],]"
+#: What a backslash and one character stand for.
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f", "v": "\x0b", "\n": "", "\\": "\\", "'": "'", '"': '"'}
+#: Lists within lists, down to this depth.
+DEEPEST = 5
+
+
+def _unescaped(piece: Column) -> Column:
+    """What a piece of a string's inside stands for: one escape, a run of \\uXXXX, or text without a backslash."""
+    code = lambda skip: F.substring(piece, skip + 1, 1 << 30)
+    wide = F.decode(F.unhex(F.regexp_replace(piece, r"\\u", "")), "UTF-16BE")
+    points = lambda hex8: F.decode(F.unhex(F.lpad(hex8, 8, "0")), "UTF-32")
+    simple = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv]), code(1)), piece)
+    found = F.when(piece.rlike(r"^\\u"), wide).when(piece.rlike(r"^\\[xU][0-9a-fA-F]"), points(code(2))).when(piece.rlike(r"^\\[0-7]"), points(F.conv(code(1), 8, 16)))
+    return F.when(~piece.startswith("\\"), piece).otherwise(found.otherwise(simple))
+
+
+def _string_value(part: Column) -> Column:
+    """The text of a string literal."""
+    quotes = F.when(part.rlike("^('{3}|\"{3})"), 3).otherwise(1)
+    inside = F.substring(part, quotes + 1, F.length(part) - 2 * quotes)
+    pieces = F.regexp_extract_all(inside, F.lit(r"[^\\]++|(?:\\u[0-9a-fA-F]{4})++|\\x[0-9a-fA-F]{2}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\(?s:.)"), F.lit(0))
+    return F.when(inside.contains("\\"), F.array_join(F.transform(pieces, _unescaped), "")).otherwise(inside)
+
+
+def literal_cell(c: Column) -> Column:
+    """A cell that holds a serialized list, with strings in single or double quotes, escapes, numbers, None, True, False
+    and lists within: its non-blank values, one a line, or null if there is none. A number is its text; a list within
+    is its text, in one line. A cell of one string literal is that string. \\/ becomes /; null is an empty string, and
+    within a string it is quoted twice, as the format has it, so it disappears from double-quoted strings. Null words
+    are null; everything else stays as it is. Parts are found and put together by expressions; nothing is evaluated."""
+    return let(F.replace(F.replace(strip(c), F.lit("\\/"), F.lit("/")), F.lit("null"), F.lit('""')), lambda t: _literal(c, t))
+
+
+def _literal(c: Column, t: Column) -> Column:
+    is_string = lambda p: (p.startswith("'") | p.startswith('"')) & ~p.isin("'''", '"""')
+    only = F.regexp_replace(t, rf"{_PART}|[{SPACE}]++", "") == ""
+    kind = lambda p: F.when(is_string(p), "s").when(p.isin("[", "]", ","), p).otherwise("v")
+
+    def shaped(parts: Column) -> Column:
+        """The shape of a list: strings side by side are one value, then lists of values, from the inside."""
+        shape = F.regexp_replace(F.array_join(F.transform(parts, kind), ""), "s++", "v")
+        for _ in range(DEEPEST - 1):
+            shape = F.regexp_replace(shape, r"(?<=[\[,])\[(?:v,)*+v?\]", "v")
+        return shape.rlike(r"^\[(?:v,)*+v?\]$")
+
+    def values(parts: Column) -> Column:
+        """Values of the outer list: an empty text is begun at every comma, and parts are added to the last."""
+        none = F.struct(F.lit(0).alias("deep"), F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+        def step(a: Column, p: Column) -> Column:
+            deep = a["deep"] + F.when(p == "[", 1).when(p == "]", -1).otherwise(0)
+            ends = ((p == ",") & (a["deep"] == 1)) | ((p == "]") & (deep == 0))
+            opens = (p == "[") & (a["deep"] == 0)
+            within = F.when(a["deep"] > 1, F.when(p == ",", ", ").otherwise(p)).when(is_string(p), _string_value(p)).otherwise(p)
+            done = F.when(ends, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+            return F.struct(deep.alias("deep"), done.alias("done"), F.when(ends | opens, F.lit("")).otherwise(F.concat(a["now"], within)).alias("now"))
+
+        return F.aggregate(parts, none, step, lambda a: a["done"])
+
+    def listed(parts: Column) -> Column:
+        joined = F.array_join(F.filter(F.transform(values(parts), strip), lambda x: x != ""), "\n")
+        one = (F.size(parts) > 0) & F.forall(parts, is_string)
+        text = F.array_join(F.transform(parts, _string_value), "")
+        return F.when(shaped(parts), F.nullif(joined, F.lit(""))).when(one, text).otherwise(t)
+
+    parts = F.regexp_extract_all(t, F.lit(_PART), F.lit(0))
+    word = F.lower(strip(c)).isin(*NULL_WORDS)
+    return F.when(word, None).when(t.rlike(r"^[\['\"]") & only, let(parts, listed)).otherwise(t)
+
+
 def clean_text(c: Column, stopwords=(), keep_punct: bool = True) -> Column:
     """Lower case without links, mentions and tags; every character outside the kept set becomes a space, so that
     "don't" is two words; white space is collapsed; nothing left is null."""

@@ -99,6 +99,11 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return stamped.groupBy("model").agg(F.max_by("run", F.struct("ts", "run")).alias("run"), F.max("ts").alias("ts"))
 
 
+def latest_run_by_name(runs: DataFrame) -> DataFrame:
+    """model, run: the last name of those that begin with run_, as text; names need not hold a date."""
+    return runs.filter(F.col("run").startswith("run_")).groupBy("model").agg(F.max("run").alias("run"))
+
+
 def leaderboard(epochs: DataFrame) -> DataFrame:
     latest = latest_run(epochs.select("model", "run").distinct()).select("model", "run")
     return last_epoch(epochs.join(latest, ["model", "run"])).select("model", "run", "macro_f1", "val_acc", "val_loss")
@@ -110,7 +115,7 @@ def early_stop(epochs: DataFrame, metric: str = "macro_f1", patience: int = 2, m
     before = W.partitionBy("model", "run").orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("model", "run").orderBy("epoch").rowsBetween(W.unboundedPreceding, 0)
     v = F.col(metric) * sign
-    e = epochs.withColumn("improved", v > F.coalesce(F.max(v).over(before), F.lit(float("-inf"))))
+    e = epochs.withColumn("improved", F.coalesce(v > F.coalesce(F.max(v).over(before), F.lit(float("-inf"))), F.lit(False)))
     e = e.withColumns({"best": F.max(v).over(upto) * sign, "since": F.col("epoch") - F.max(F.when(F.col("improved"), F.col("epoch"))).over(upto)})
     return e.select("model", "run", "epoch", "improved", "best", "since", (F.col("since") >= patience).alias("stop"))
 
@@ -170,9 +175,28 @@ def steps(rows: int, batch: int, epochs: int, accumulate: int, ratio: float) ->
     return total, int(ratio * total)
 
 
-def epoch_rollup(epochs: DataFrame, metrics=("mean_train_loss", "val_loss", "val_acc", "macro_f1")) -> DataFrame:
-    """Mean of each metric, to 6 places, over the runs of a model, for each epoch; nulls don't count."""
-    return epochs.groupBy("model", "epoch").agg(*(F.round(F.avg(c), 6).alias(c) for c in metrics if c in epochs.columns), F.count("*").alias("runs"))
+NAMES = ("A", "B", "TIE")
+_EPOCH = ("model", "run", "epoch")
+
+
+def epoch_rows(steps: DataFrame, predictions: DataFrame, by=_EPOCH) -> DataFrame:
+    """A row for each epoch of a run that has steps, to 6 places: the mean loss of its steps, and of its validation rows
+    the loss, accuracy and macro F1, precision, recall and F1 of each class (0 where undefined), the mean probabilities
+    and the entropy. An epoch without validation has nulls there."""
+    trained = steps.groupBy(*by).agg(F.avg("loss").alias("mean_train_loss"))
+    hit = lambda k: F.count_if((F.col("y_true") == k) & (F.col("y_pred") == k)).alias(f"tp{k}")
+    counts = [x for k in range(3) for x in (hit(k), F.count_if(F.col("y_pred") == k).alias(f"np{k}"), F.count_if(F.col("y_true") == k).alias(f"nt{k}"))]
+    nll = -F.log(F.when(F.col("y_true") == 0, F.col(P[0])).when(F.col("y_true") == 1, F.col(P[1])).otherwise(F.col(P[2])))
+    means = {"val_loss": nll, "val_acc": (F.col("y_true") == F.col("y_pred")).cast("double"), **{f"dist_{n}": F.col(c) for n, c in zip(NAMES, P)}, "entropy": -sum((F.col(c) * F.log(F.col(c) + 1e-8) for c in P), F.lit(0.0))}
+    judged = predictions.groupBy(*by).agg(*(F.avg(v).alias(n) for n, v in means.items()), *counts)
+    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    per = {}
+    for k, n in enumerate(NAMES):
+        tp, pred, true = (F.col(f"{c}{k}") for c in ("tp", "np", "nt"))
+        per |= {f"precision_{n}": zero(tp, pred), f"recall_{n}": zero(tp, true), f"f1_{n}": zero(2 * tp, pred + true)}
+    judged = judged.withColumns(per).withColumn("macro_f1", (F.col("f1_A") + F.col("f1_B") + F.col("f1_TIE")) / 3)
+    order = ["mean_train_loss", "val_loss", "val_acc", "macro_f1", *per, *(f"dist_{n}" for n in NAMES), "entropy"]
+    return trained.join(judged, list(by), "left").select(*by, *(F.round(c, 6).alias(c) for c in order))
 
 
 def epoch_series(epochs: DataFrame, metrics=("val_acc", "macro_f1", "entropy")) -> DataFrame:

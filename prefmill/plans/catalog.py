@@ -91,9 +91,7 @@ REPORT = PROB + """,
 cr AS (SELECT k AS class, sum(CASE WHEN y_true = k AND y_pred = k THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y_pred = k THEN 1 ELSE 0 END) AS np, sum(CASE WHEN y_true = k THEN 1 ELSE 0 END) AS nt FROM pr, (VALUES (0), (1), (2)) v(k) GROUP BY k),
 rep0 AS (SELECT class, coalesce(tp / nullif(np, 0), 0.0) AS precision, coalesce(tp / nullif(nt, 0), 0.0) AS recall FROM cr),
 rep AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM rep0)"""
-EPOCHS = """epochs AS (SELECT 'm' || CAST(m AS VARCHAR) AS model, 'run_2024010' || CAST(r AS VARCHAR) || '_12000' || CAST((m * r) % 10 AS VARCHAR) AS run, e AS epoch,
-  1.2 - 0.1 * e + 0.01 * m AS val_loss, CASE WHEN e = 5 AND m = 2 THEN NULL ELSE 0.30 + 0.02 * ((e * m * r) % 7) END AS val_acc, CASE WHEN e = 5 AND m = 2 THEN NULL ELSE 0.25 + 0.03 * ((e + m * r) % 5) END AS macro_f1
-  FROM (SELECT unnest([1, 2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS r), (SELECT unnest([1, 2, 3, 4, 5]) AS e))"""
+
 
 Q: dict = {}
 SQL: dict = {}
@@ -129,11 +127,6 @@ def prob(s, d):
     return ev.argmax(ev.softmax(fx.scores(s, d)))
 
 
-def epochs(s, d=None):
-    rows = [(f"m{m}", f"run_2024010{r}_12000{(m * r) % 10}", e, 1.2 - 0.1 * e + 0.01 * m, None if (e, m) == (5, 2) else 0.30 + 0.02 * ((e * m * r) % 7), None if (e, m) == (5, 2) else 0.25 + 0.03 * ((e + m * r) % 5)) for m in (1, 2, 3) for r in (1, 2, 3) for e in range(1, 6)]
-    return s.createDataFrame(rows, "model string, run string, epoch int, val_loss double, val_acc double, macro_f1 double")
-
-
 def _text(name, builder, sql, column="v"):
     q(name, f"SELECT doc_id, {sql} AS {column} FROM documents")(lambda s, d: docs(s, d).select("doc_id", builder(F.col("text")).alias(column)))
 
@@ -274,21 +267,12 @@ q("entropy_mean", f"WITH {PROB} SELECT round(avg(-(p_a * ln(p_a + 1e-8) + p_b *
 q("pred_dist_by_class", f"WITH {PROB} SELECT y_true, " + ", ".join(f"round(avg({c}), 6) AS mean_{c}, round(var_pop({c}), 6) AS var_{c}" for c in ev.P) + ", count(*) AS n FROM pr GROUP BY y_true")(lambda s, d: (lambda e: e.select("y_true", "n", *(R(F.col(c)).alias(c) for c in e.columns if c not in ("y_true", "n"))))(ev.distribution_by_class(prob(s, d))))
 q("token_budget_batches", f"WITH {CLEAN} SELECT row_idx // 32 AS batch_id, max(greatest(\"respA_len\", \"respB_len\")) AS len_max, avg(greatest(\"respA_len\", \"respB_len\")) AS len_mean, max(CAST(greatest(\"respA_len\", \"respB_len\") >= 387 AS INT)) AS truncated FROM clean GROUP BY 1")(lambda s, d: ev.token_budget(clean(s, d).select("id", F.col("respA_len").alias("len_a"), F.col("respB_len").alias("len_b"))))
 q("alerts", f"WITH {PROB}, m AS (SELECT avg(p_a) AS a, avg(p_b) AS b, avg(p_tie) AS t, avg(CAST(y_true = y_pred AS INT)) AS acc, avg(-(p_a * ln(p_a + 1e-8) + p_b * ln(p_b + 1e-8) + p_tie * ln(p_tie + 1e-8))) AS e FROM pr) SELECT 'collapse' AS type, abs(a - 1/3.0) <= 0.05 AND abs(b - 1/3.0) <= 0.05 AND abs(t - 1/3.0) <= 0.05 AND acc < 0.36 AND e > 0.95 AS raised FROM m UNION ALL SELECT 'all_TIE', t >= 0.95 FROM m UNION ALL SELECT 'flat', e >= 1.05 FROM m")(lambda s, d: ev.alerts(prob(s, d)))
-q("latest_run", f"WITH {EPOCHS} SELECT model, max(run) AS run, max(strptime(substr(run, 5), '%Y%m%d_%H%M%S')) AS ts FROM epochs GROUP BY model")(lambda s, d: ev.latest_run(epochs(s).select("model", "run").distinct()))
-_LAST = "la AS (SELECT *, row_number() OVER (PARTITION BY model, run ORDER BY epoch DESC) AS r FROM epochs WHERE val_loss IS NOT NULL OR val_acc IS NOT NULL OR macro_f1 IS NOT NULL)"
-q("last_epoch_pick", f"WITH {EPOCHS}, {_LAST} SELECT model, run, epoch, val_loss, val_acc, macro_f1 FROM la WHERE r = 1")(lambda s, d: ev.last_epoch(epochs(s)))
-q("leaderboard", f"WITH {EPOCHS}, {_LAST} SELECT model, run, macro_f1, val_acc, val_loss FROM la WHERE r = 1 AND run IN (SELECT max(run) FROM epochs e WHERE e.model = la.model)")(lambda s, d: ev.leaderboard(epochs(s)))
-q("early_stop_trace", f"WITH {EPOCHS}, i AS (SELECT *, macro_f1 > coalesce(max(macro_f1) OVER (PARTITION BY model, run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1e9) AS improved, max(macro_f1) OVER (PARTITION BY model, run ORDER BY epoch) AS best FROM epochs), n AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY model, run ORDER BY epoch) AS since FROM i) SELECT model, run, epoch, improved, best, since, since >= 2 AS stop FROM n")(lambda s, d: ev.early_stop(epochs(s)))
-q("fold_metrics", f"WITH {EPOCHS} " + " UNION ALL ".join(f"SELECT model, run, epoch, '{m}' AS metric, {m} AS value FROM epochs" for m in ("val_loss", "val_acc", "macro_f1")))(lambda s, d: ev.fold_metrics(epochs(s)))
-q("min_max_norm", f"WITH {EPOCHS} SELECT model, run, epoch, (val_loss - min(val_loss) OVER w) / greatest(1e-9, max(val_loss) OVER w - min(val_loss) OVER w) AS norm FROM epochs WINDOW w AS (PARTITION BY model)")(lambda s, d: pr.min_max(epochs(s), "val_loss", "model").select("model", "run", "epoch", "norm"))
-q("f1_pivot", f"WITH {EPOCHS} SELECT model, max(macro_f1) FILTER (epoch = 1) AS \"1\", max(macro_f1) FILTER (epoch = 2) AS \"2\" FROM epochs GROUP BY model")(lambda s, d: epochs(s).groupBy("model").pivot("epoch", [1, 2]).agg(F.max("macro_f1")))
 q("confusion_melt", f"WITH {PROB}, c AS (SELECT CASE y_true WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'TIE' END AS t, y_pred FROM pr) SELECT l.x AS \"true\", p.x AS pred, (SELECT count(*) FROM c WHERE c.t = l.x AND c.y_pred = p.k) AS count, CAST(l.k AS INT) AS true_rank, CAST(p.k AS INT) AS pred_rank FROM (VALUES (0, 'A'), (1, 'B'), (2, 'TIE')) l(k, x), (VALUES (0, 'A'), (1, 'B'), (2, 'TIE')) p(k, x)")(lambda s, d: ev.melt_confusion(ev.confusion(prob(s, d)).select(F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("TIE")), F.col("y_true") + 1).alias("true"), F.col("pred_0").alias("pred_A"), F.col("pred_1").alias("pred_B"), F.col("pred_2").alias("pred_TIE"))))
 q("placeholder_predictions", f"WITH {BATTLES} SELECT id, 0.3333::DOUBLE AS \"prob_A\", 0.3333::DOUBLE AS \"prob_B\", 0.3333::DOUBLE AS \"prob_TIE\", 'TIE' AS pred_label FROM battles")(lambda s, d: ev.placeholder(fx.battles(s, d)))
 q("pair_vectors", "SELECT x.vec_id AS vec_id, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 4) AS l1, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 4) AS dot FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0")(lambda s, d: _pairs(s, d))
 q("pair_encoding", f"WITH {CLEAN}, a AS (SELECT row_idx, least(prompt_len, 96) AS a, least(\"respA_len\", 320) AS b FROM clean), o AS (SELECT *, greatest(0, a + b - 125) AS over FROM a), u AS (SELECT *, least(over, abs(a - b)) AS uneven, over - least(over, abs(a - b)) AS rest FROM o), e AS (SELECT row_idx, CAST(a - CASE WHEN a > b THEN uneven ELSE 0 END - rest // 2 AS INT) AS enc_first, CAST(b - CASE WHEN b > a THEN uneven ELSE 0 END - (rest + 1) // 2 AS INT) AS enc_second FROM u) SELECT *, CAST(125 - enc_first - enc_second AS INT) AS enc_pad FROM e")(lambda s, d: ev.pair_encoding(clean(s, d), tokenizer_max=128).select("row_idx", "enc_first", "enc_second", "enc_pad"))
 q("serving_clean", f"SELECT doc_id, coalesce({_clean('text')}, '') AS v FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.coalesce(tx.clean_text(F.col("text")), F.lit("")).alias("v")))
 q("predictions_attach", f"WITH {CLEAN}{PROB[len(BATTLES):]} SELECT pr.id, y_true, y_pred, prompt_len, \"respA_len\", \"respB_len\" FROM pr JOIN clean ON clean.id = pr.id")(lambda s, d: ev.attach(prob(s, d).select("id", "y_true", "y_pred"), clean(s, d)))
-q("last_epoch_distribution", f"WITH {EPOCHS}, x AS (SELECT *, (epoch * 3 % 7) / 10.0 AS \"dist_A\", (epoch * 5 % 7) / 20.0 AS \"dist_B\", row_number() OVER (PARTITION BY model, run ORDER BY epoch DESC) AS r FROM epochs) SELECT model, run, CAST(\"dist_A\" AS DOUBLE) AS \"dist_A\", CAST(\"dist_B\" AS DOUBLE) AS \"dist_B\", CAST(1 - \"dist_A\" - \"dist_B\" AS DOUBLE) AS \"dist_TIE\" FROM x WHERE r = 1")(lambda s, d: ev.last_distribution(epochs(s).withColumns({"dist_A": F.col("epoch") * 3 % 7 / F.lit(10.0), "dist_B": F.col("epoch") * 5 % 7 / F.lit(20.0)}).withColumn("dist_TIE", 1 - F.col("dist_A") - F.col("dist_B"))))
 q("split_meta", f"WITH {_SPLIT} SELECT split, count(*) AS n, " + ", ".join(f"round_even(avg(CAST(label = {k} AS INT)) * 100, 2) AS pct_{k}" for k in (0, 1, 2)) + ", quantile_cont(\"respA_len\", 0.99) AS p99_a, quantile_cont(\"respB_len\", 0.99) AS p99_b FROM sp GROUP BY split")(lambda s, d: pr.split_meta(pf.split(clean(s, d))))
 q("leaked_signatures", f"WITH {CLEAN} SELECT prompt_sig FROM (SELECT prompt_sig FROM clean WHERE row_idx // 40 % 2 = 0 INTERSECT SELECT prompt_sig FROM clean WHERE row_idx // 40 % 2 = 1) ORDER BY prompt_sig LIMIT 20")(lambda s, d: pr.leaked(clean(s, d).withColumn("split", F.when(F.floor(F.col("row_idx") / 40) % 2 == 0, "valid").otherwise("train"))))
 q("pretty_percent",f"WITH {CLEAN} SELECT label, printf('%.2f%%', count(*) * 100.0 / sum(count(*)) OVER ()) AS pct FROM clean GROUP BY label")(lambda s, d: pr.class_balance(clean(s, d)).select("label", tx.pct_text(F.col("percent")).alias("pct")))

@@ -1,4 +1,4 @@
-"""Queries of reports, training curves and checks that the catalogue's older queries leave out."""
+"""Queries of reports and checks that the catalogue's older queries leave out."""
 
 from __future__ import annotations
 
@@ -114,25 +114,6 @@ def cosine_hist_dense(s: SparkSession, d: str) -> DataFrame:
     return pr.dense_histogram(cat.feat(s, d).withColumn("x", cat.R(F.col("cosine_tfidf"))), "x", 40)
 
 
-_CURVES = cat.EPOCHS + """, curves AS (SELECT *, 0.9 - 0.05 * epoch AS mean_train_loss, CASE WHEN model <> 'm3' THEN 1.0 - 0.01 * epoch END AS entropy FROM epochs)"""
-
-
-def curves(s: SparkSession) -> DataFrame:
-    """Epochs with a training loss, and an entropy that one model lacks."""
-    e = F.col("epoch")
-    return cat.epochs(s).withColumns({"mean_train_loss": 0.9 - 0.05 * e, "entropy": F.when(F.col("model") != "m3", 1.0 - 0.01 * e)})
-
-
-@q("epoch_rollup", f"WITH {_CURVES} SELECT model, epoch, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("mean_train_loss", "val_loss", "val_acc", "macro_f1")) + ", count(*) AS runs FROM curves GROUP BY ALL")
-def epoch_rollup(s: SparkSession, d: str) -> DataFrame:
-    return ev.epoch_rollup(curves(s))
-
-
-@q("epoch_series", f"WITH {_CURVES}, u AS (" + " UNION ALL ".join(f"SELECT model, run, epoch, '{c}' AS metric, {c} AS value FROM curves" for c in ("val_acc", "macro_f1", "entropy")) + ") SELECT model, run, epoch, metric, round(value, 9) AS value FROM u WHERE value IS NOT NULL")
-def epoch_series(s: SparkSession, d: str) -> DataFrame:
-    return ev.epoch_series(curves(s)).withColumn("value", cat.R(F.col("value"), 9))
-
-
 @q("f1_by_class_model", f"""
 WITH {cat.PROB}, m AS (SELECT *, 'model_' || CAST(id % 4 AS VARCHAR) AS model FROM pr),
 c AS (SELECT model, k AS class, count(*) FILTER (y_true = k AND y_pred = k) AS tp, count(*) FILTER (y_pred = k) AS np, count(*) FILTER (y_true = k) AS nt FROM m, (VALUES (0), (1), (2)) v(k) GROUP BY ALL),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import io
 import json
+import time
+import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,7 +28,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with quoted line breaks; a schema spares the pass that infers one."""
+    """A report with quoted line breaks, one task a file; a schema spares the pass that infers one. Large tables are for
+    quoted.read_quoted(), which splits files."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
@@ -183,22 +188,116 @@ def _lines(rows: list[dict], columns) -> str:
     return out.getvalue()
 
 
+#: Seconds that a writer waits for another one's append.
+PATIENCE = 60
+
+
+class _Files:
+    """A path's file system, through the JVM; bytes go from stream to stream there."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.path = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(self.conf)
+
+    def beside(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f".{self.path.getName()}.{name}")
+
+    def copy(self, source, out) -> None:
+        into = self.fs.open(source)
+        try:
+            self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, self.conf, False)
+        finally:
+            into.close()
+
+    def first_line(self) -> str:
+        into = self.fs.open(self.path)
+        try:
+            reader = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(into, "UTF-8"))
+            return reader.readLine() or ""
+        finally:
+            into.close()
+
+    @contextlib.contextmanager
+    def staged(self):
+        """A stream whose bytes become the file when the block ends without an error, all at once."""
+        self.fs.mkdirs(self.path.getParent())
+        staged = self.beside(uuid.uuid4().hex)
+        out = self.fs.create(staged, True)
+        try:
+            yield out
+            out.close()
+            over = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+            self.jvm.java.lang.reflect.Array.set(over, 0, getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE)
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(staged, self.path, over)
+        except BaseException:
+            out.close()
+            self.fs.delete(staged, False)
+            raise
+
+    @contextlib.contextmanager
+    def alone(self):
+        """One writer at a time: a lock file, which only one can create, beside the file."""
+        self.fs.mkdirs(self.path.getParent())
+        lock, end = self.beside("lock"), time.monotonic() + PATIENCE
+        while True:
+            try:
+                self.fs.create(lock, False).close()
+                break
+            except Py4JJavaError:
+                if time.monotonic() > end:
+                    raise TimeoutError(f"{lock} is held: remove it if its writer has died") from None
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.fs.delete(lock, False)
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
-    """A report as one CSV file with a byte order mark, for spreadsheets; rows come to the driver partition by partition."""
-    write_bytes(df.sparkSession, path, ("\ufeff" + ",".join(df.columns) + "\n" + _lines([r.asDict() for r in df.toLocalIterator()], df.columns)).encode())
+    """A report as one CSV file with a byte order mark, for spreadsheets. Tasks write its parts; the file system's streams
+    join them, in order, behind one header, and the file appears when it is whole."""
+    files = _Files(df.sparkSession, path)
+    parts = files.beside(f"parts-{uuid.uuid4().hex}")
+    try:
+        df.write.option("header", False).option("escape", '"').option("quoteAll", False).option("emptyValue", "").csv(parts.toString())
+        found = sorted((x.getPath() for x in files.fs.listStatus(parts)), key=lambda x: x.getName())
+        with files.staged() as out:
+            out.write(bytearray(("\ufeff" + _lines([dict(zip(df.columns, df.columns))], df.columns)).encode()))
+            for part in (x for x in found if x.getName().startswith("part-")):
+                files.copy(part, out)
+    finally:
+        files.fs.delete(parts, True)
+
+
+def _append(spark: SparkSession, path: str, text) -> None:
+    """text(first line, or None if there is no file) at the end of a file, or not at all."""
+    files = _Files(spark, path)
+    with files.alone():
+        there = files.fs.exists(files.path)
+        more = text(files.first_line() if there else None)
+        with files.staged() as out:
+            if there:
+                files.copy(files.path, out)
+            out.write(bytearray(more.encode()))
 
 
 def append_rows(spark: SparkSession, path: str, rows: list[dict]) -> None:
-    """Rows of the driver's own (epochs, steps) at the end of one CSV file, with one header."""
-    old = (read_bytes(spark, path) or b"").decode()
-    columns = old.split("\n", 1)[0].split(",") if old else list(rows[0])
-    write_bytes(spark, path, ((old or ",".join(columns) + "\n") + _lines(rows, columns)).encode())
+    """Rows of the driver's own (epochs, steps) at the end of one CSV file, with one header, of its first row's columns.
+    Several writers may append; an append that fails leaves the file as it was."""
+    if not rows:
+        return
+
+    def text(header: str | None) -> str:
+        columns = next(csv.reader([header])) if header else list(rows[0])
+        return ("" if header else _lines([dict(zip(columns, columns))], columns)) + _lines(rows, columns)
+
+    _append(spark, path, text)
 
 
 def append_log(spark: SparkSession, path: str, section: str, lines) -> None:
     """Lines of a section at the end of a text log."""
-    old = (read_bytes(spark, path) or b"").decode()
-    write_bytes(spark, path, (old + "".join(f"{x}\n" for x in (f"[{section}]", *lines))).encode())
+    _append(spark, path, lambda _: "".join(f"{x}\n" for x in (f"[{section}]", *lines)))
 
 
 def run_by_name(runs: DataFrame, name: str):

@@ -1,64 +1,17 @@
-"""List items, repeated blocks, compression, tail control and serving against their rules over Python strings."""
+"""List items, repeated blocks, compression, tail control and serving: results worked out by hand, and properties that
+hold for any text."""
 
 import random
-import re
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from prefmill.functions import text as tx
 from prefmill.operators import preference as pf
 
 
-def collapse(t, bullets=24):
-    lines, n = [], 0
-    for line in t.split("\n"):
-        item = re.match(r"\s*(?:[-*•]|\d+\.)\s+", line)
-        n += bool(item)
-        if not item or n <= bullets:
-            lines.append(line)
-    text = "\n".join(lines + ["…"] * (n > bullets))
-    seen, out = {}, []
-    for part in re.split(r"(\n\s*\n+)", text):
-        key = part.strip().lower()
-        seen[key] = seen.get(key, 0) + 1
-        if not key or seen[key] <= 2:
-            out.append(part)
-    return "".join(out).strip() or text
-
-
-def boilerplate(t):
-    t = re.sub(r"^\s*(hi|hello|dear|greetings)[\s.,!\-:]*.{80,300}?(?=\n|$)", "", t, flags=re.I | re.S)
-    t = re.sub(r"\b(as an ai|i am an ai|language model)\b.*", "", t, flags=re.I)
-    return re.sub(r"(best regards|kind regards|sincerely|thanks|thank you)[.,!\-:]*.*$", "", t, flags=re.I).strip()
-
-
-def ends(tok, head=96, tail=32):
-    return tok if len(tok) <= head + tail else tok[:head] + ["…"] + tok[-tail:]
-
-
-def middle(tok, target, stride=24):
-    if len(tok) <= target:
-        return tok
-    half, reach = len(tok) // 2, min(64, len(tok) // 4)
-    out = tok[:half][:96] + ["…"] + tok[half - reach : half + reach][::stride] + ["…"] + tok[half:][-32:]
-    return out if len(out) <= target else out[: target - 1] + ["…"]
-
-
-def compress(text, target):
-    t = boilerplate(text.strip())
-    tok = t.split()
-    if not t or len(tok) <= target:
-        return t or text
-    tok = ends(tok)
-    if len(tok) <= target:
-        return " ".join(tok)
-    seen, out = {}, []
-    for x in re.split(r"(?<=[.?!])\s+", " ".join(middle(tok, target))):
-        seen[x.lower()] = seen.get(x.lower(), 0) + 1
-        if seen[x.lower()] <= 2:
-            out.append(x)
-    return " ".join(out) or text
+def numbered(a, z, step=1):
+    return [f"t{k}" for k in range(a, z, step)]
 
 
 def column(spark, builder, cells):
@@ -66,40 +19,89 @@ def column(spark, builder, cells):
     return [r["v"] for r in rows.select("i", builder(F.col("t")).alias("v")).orderBy("i").collect()]
 
 
-def test_collapse_repeats(spark):
-    r = random.Random(3)
-    cells = ["", "a", "\n".join(f"- item {k}" for k in range(25)) + "\nend", "\n".join(f"{k}. x" for k in range(24)), "A\n\nb\n \na\n\n\nA\n\nb\n\nB", " \n\n ", "- a\n\n- a\n\n- a\n\nlast", "x \n \nX\n\nx"]
-    cells += ["\n".join(r.choice(["- a", "* b", "3. c", "text", "", " ", "Text"]) for _ in range(r.randint(1, 90))) for _ in range(60)]
-    assert column(spark, tx.collapse_repeats, cells) == [collapse(t) for t in cells]
-    assert column(spark, lambda c: tx.collapse_repeats(c, 3), cells) == [collapse(t, 3) for t in cells]
+ITEMS = [f"- item {k}" for k in range(30)]
+
+
+@pytest.mark.parametrize("most, cell, want", [
+    (24, "", ""),
+    (24, " \n\n ", " \n\n "),
+    (24, "a", "a"),
+    (24, "\n".join(ITEMS[:24]), "\n".join(ITEMS[:24])),
+    (24, "\n".join([*ITEMS[:25], "end"]), "\n".join([*ITEMS[:24], "end", "…"])),
+    (2, "1. x\ntext\n* y\n• z\n-no item", "1. x\ntext\n* y\n-no item\n…"),
+    (24, "A\n\nb\n \na\n\n\nA\n\nb", "A\n\nb\n \na\n\n\n\n\nb"),
+    (24, "x \n \nX\n\nx", "x \n \nX"),
+    (24, "- a\n\n- a\n\n- a\n\nlast", "- a\n\n- a\n\n\n\nlast"),
+])
+def test_items_and_blocks(spark, most, cell, want):
+    assert column(spark, lambda c: tx.collapse_repeats(c, most), [cell]) == [want]
 
 
-def test_compress(spark):
+def test_items_and_blocks_of_any_text(spark):
+    r = random.Random(3)
+    cells = ["\n".join(r.choice(["- a", "* b", "3. c", "text", "", " ", "Text"]) for _ in range(r.randint(1, 90))) for _ in range(60)]
+    out = column(spark, lambda c: tx.collapse_repeats(c, 10), cells)
+    item = lambda line: line.startswith(("- ", "* ", "3. "))
+    for cell, got in zip(cells, out):
+        assert sum(map(item, got.split("\n"))) <= 10
+        assert ("…" in got) == (sum(map(item, cell.split("\n"))) > 10)
+        assert set(got) <= set(cell) | {"…"} and got.strip()[:1] == cell.strip()[:1]
+    assert column(spark, lambda c: tx.collapse_repeats(c, 10), out[:5])[0] is not None
+
+
+@pytest.mark.parametrize("cell, want", [
+    ("as an ai\rmodel x\nnext", "next"),
+    ("so long. Thanks\u0085all", "so long."),
+    ("dear " + "x" * 90 + "\nbody", "body"),
+    ("dear reader\nbody", "dear reader\nbody"),
+    ("Body first.\nkind regards, me", "Body first."),
+    ("the language model says\nyes", "the \nyes"),
+])
+def test_boilerplate(spark, cell, want):
+    assert column(spark, tx.strip_boilerplate, [cell]) == [want]
+
+
+LONG = " ".join(numbered(0, 200))
+
+
+@pytest.mark.parametrize("target, cell, want", [
+    (120, "", ""),
+    (120, "  ", "  "),
+    (120, "thanks, bye", "thanks, bye"),
+    (120, "short text", "short text"),
+    (130, LONG, " ".join([*numbered(0, 96), "…", *numbered(168, 200)])),
+    (200, LONG, LONG),
+    # 129 tokens are left: 64 from the front, each 24th of the middle, 32 from the end
+    (120, LONG, " ".join([*numbered(0, 64), "…", "t32", "t56", "t80", "…", *numbered(168, 200)])),
+])
+def test_compress(spark, target, cell, want):
+    assert column(spark, lambda c: tx.compress(c, F.lit(target)), [cell]) == [want]
+
+
+def test_compress_any_text(spark):
     r = random.Random(4)
-    words = ["a", "b.", "c!", "Same here.", "thanks", "x"]
-    cells = ["", "  ", "thanks, bye", "short text"] + [" ".join(r.choice(words) for _ in range(r.randint(100, 400))) for _ in range(40)]
+    words = ["a", "b.", "c!", "Same here.", "x"]
+    cells = [" ".join([*(r.choice(words) for _ in range(r.randint(200, 400))), *numbered(0, 32)]) for _ in range(40)]
     for target in (120, 128, 140, 160):
-        assert column(spark, lambda c: tx.compress(c, F.lit(target)), cells) == [compress(t, target) for t in cells]
+        for cell, got in zip(cells, column(spark, lambda c: tx.compress(c, F.lit(target)), cells)):
+            assert len(got.split()) <= target and got.split()[-1] == "t31"
+            assert set(got.split()) <= set(cell.split()) | {"…"}
 
 
-def test_boilerplate_ends_with_its_line(spark):
-    cells = ["as an ai\rmodel x\nnext", "so long. Thanks\u0085all", "dear " + "x" * 90 + "\nbody"]
-    assert column(spark, tx.strip_boilerplate, cells) == [boilerplate(t) for t in cells]
+def test_serving(spark):
+    """Texts within the limits stay; of a prompt 48 and 16 tokens do; the batch's longest responses are compressed."""
+    prompt, answer = " ".join(numbered(0, 97)), " ".join(numbered(0, 500))
+    raw = [(i, "a question", f"answer {i}", "yes it is so") for i in range(60)]
+    raw += [(60, prompt, answer, "fine"), (61, None, "[]", '["N/A", "it\'s"]')]
+    got = {x["id"]: tuple(x)[1:] for x in pf.serving_clean(spark.createDataFrame(raw, "id int, prompt string, response_a string, response_b string")).collect()}
+    assert len(got) == 62 and all(got[i] == ("a question", f"answer {i}", "yes it is so") for i in range(60))
+    # (387 - 96 - 9) / 2 = 141 tokens at most; 129 from the two ends fit
+    assert got[60] == (" ".join([*numbered(0, 48), "…", *numbered(81, 97)]), " ".join([*numbered(0, 96), "…", *numbered(468, 500)]), "fine")
+    assert got[61] == ("", "", "n a it s")
+    with pytest.raises(ValueError):
+        pf.serving_clean(spark.createDataFrame([(1,)], "id int"))
 
 
-def test_tail_control_and_serving(spark):
-    r = random.Random(5)
-    text = lambda n: " ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(n))
-    raw = [(i, text(r.choice((3, 96, 97, 200))), text(r.choice((5, 288, 289, 500))), text(r.choice((5, 30, 600)))) for i in range(40)] + [(40, None, "[]", '["N/A", "it\'s"]')]
-    got = {x["id"]: tuple(x)[1:] for x in pf.serving_clean(spark.createDataFrame(raw, "id int, prompt string, response_a string, response_b string")).collect()}
-    rows = {i: [t or "" for t in texts] for i, *texts in raw}
-    rows[40] = ["", "", "n a it s"]
-    at = [np.percentile([len(x[k].split()) for x in rows.values()], 99) for k in (1, 2)]
-    for i, (p, *responses) in rows.items():
-        target = round(max(120, min(160, (387 - min(len(p.split()), 96) - 9) / 2)))
-        want = [p if len(p.split()) <= 96 else " ".join(ends(p.split(), 48, 16))]
-        for t, q in zip(responses, at):
-            n = len(t.split())
-            want.append(compress(boilerplate(collapse(t)), target) if n > 288 or n >= q else t)
-        assert got[i] == tuple(want)
-    assert "the" in pf.english_stopwords(spark) and "don" in pf.english_stopwords(spark) and not any("'" in w for w in pf.english_stopwords(spark))
+def test_english_stopwords(spark):
+    words = pf.english_stopwords(spark)
+    assert "the" in words and "don" in words and not any("'" in w for w in words)
