@@ -4,15 +4,17 @@ Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. A window
 item; an item of fewer, but not none, is one window. The tokens of a window are its shingles of SHINGLE words; a window
 of fewer words is one shingle. A window occurs only where all its shingles do, so of its shingles in order of rarity (by
 their counts in the documents) a prefix of one is enough: the join is on the window's rarest shingle, known by 64 bits.
-The shingle's place in the window bounds where the window may begin, its length where it must end, and the slice of the
-document there is compared word for word inside the join, so the join's output is true occurrences only.
-
-The windows are broadcast, in blocks of a checked size: a benchmark of more than `block` distinct windows takes one
-pass over the documents a block. A window does not carry the items that hold it but a hash (SHA-256) of their list, so
-a passage that many items share costs no more than another; the lists meet the documents only after equal sets of such
-hashes have become one, so 3,000 documents with one shared passage expand its items once. Each document adds one
-sentinel, with a place below 0, that meets a sentinel window: so documents without hits, empty texts and null texts come
-out of the same pass with their word counts.
+The shingle's place in the window bounds where the window may begin, its length where it must end.
+
+Documents are read twice. The first time all their shingles meet the windows' (64 bits each, broadcast in blocks of a
+checked size; a benchmark with more takes one pass a block), and places of those that meet are stored: they give the
+counts of the shingles and the documents that have one of the anchors. The second time only these documents are read:
+their shingles meet the anchored windows, in broadcast blocks again, and the slice of the document that a window would
+be is compared word for word inside the join, so the join's output is true occurrences only. A window does not carry the items that hold it but
+a hash (SHA-256) of their list, so a passage that many items share costs no more than another; the lists meet the
+documents only after equal sets of such hashes have become one, so 3,000 documents with one shared passage expand its
+items once. Each document adds one row with a place below 0, which holds its number of words: so documents without
+hits, empty texts and null texts come out of the same pass.
 
 Cases: a null text has no words; an item without id or words is left out; rows of equal doc_id stay separate rows;
 an empty benchmark gives n_hit 0 throughout. Documents that are no scan of stored files are stored first.
@@ -27,8 +29,10 @@ from . import common
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, SHINGLE = 10, 5
-#: Windows in a broadcast: about 300 bytes each.
+#: Shingles or windows in a broadcast: 16 and about 300 bytes each.
 BLOCK = 250_000
+#: What stands for a shingle in the row that each document adds.
+OWN = (1 << 62) + 1
 #: Distinct sets of hit lists that are broadcast, at most; more are joined by a shuffle.
 SETS = 50_000
 
@@ -45,58 +49,81 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return wins.withColumn("held", F.unhex(F.sha2(F.to_json("items").cast("binary"), 256)))
 
 
-def shingles(w: Column, lengths: list[int]) -> Column:
-    """place and h of each run of so many words, for each of the lengths."""
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def of(n: int) -> Column:
-        one = lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"))
-        none = F.array().cast("array<struct<place:int,h:bigint>>")
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), one)).otherwise(none)
 
-    return F.concat(*[of(n) for n in lengths])
+def shingle(hashes: Column, at: Column, n: int) -> Column:
+    """64 bits of the n words from a place on, out of the words' own."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(n)])
 
 
 def window_shingles(wins: DataFrame, lengths: list[int]) -> DataFrame:
     """ws, held, off, h: the shingles of each window, at their places."""
-    each = F.lit(None).cast("array<struct<place:int,h:bigint>>")
-    for n in lengths:
-        each = F.when(F.least(F.size("ws"), F.lit(SHINGLE)) == n, shingles(F.col("ws"), [n])).otherwise(each)
-    return wins.select("ws", "held", F.explode(each).alias("s")).select("ws", "held", F.col("s.place").alias("off"), "s.h")
-
-
-def anchored(docs_words: DataFrame, wins: DataFrame, lengths: list[int], bound: int) -> DataFrame:
-    """Windows with their rarest shingle (anchor) and its place (off). Counts are over all documents."""
-    placed = window_shingles(wins, lengths)
-    vocabulary = placed.select("h").distinct()
-    if vocabulary.count() <= bound:
-        vocabulary = F.broadcast(vocabulary)
-    counts = docs_words.select(F.explode(shingles(F.col("words"), lengths)).alias("s")).select("s.h").join(vocabulary, "h", "left_semi").groupBy("h").agg(F.count("*").alias("c"))
-    # a window with a shingle that no document has can't occur
+    n = F.least(F.size("ws"), F.lit(SHINGLE))
+    each = wins.withColumn("hs", hashed(F.col("ws"))).select("*", F.explode(F.sequence(F.lit(0), F.size("ws") - n)).alias("off"))
+    h = F.coalesce(*[F.when(n == k, shingle(F.col("hs"), F.col("off"), k)) for k in lengths])
+    return each.select("ws", "held", "off", h.alias("h"))
+
+
+def places(base: DataFrame, vocabulary: DataFrame, lengths: list[int], block: int) -> DataFrame:
+    """rid, doc_id, pos, h of all shingles of the documents that are in the vocabulary; and a row with pos = -1 - number
+    of words for each document."""
+    docs = base.withColumn("hs", hashed(F.col("words")))
+    size, parts = F.size("hs"), max(1, -(-vocabulary.count() // block))
+    found = None
+    for k in range(parts):
+        some = vocabulary if parts == 1 else vocabulary.filter(F.pmod("h", F.lit(parts)) == k)
+        for n in lengths:
+            own = k == 0 and n == lengths[0]  # this pass adds the documents' own rows
+            first = -1 if own else 0
+            at = F.explode(F.when(size >= n, F.sequence(F.lit(first), size - n)).otherwise(F.sequence(F.lit(-1), F.lit(-1)) if own else F.array().cast("array<int>"))).alias("at")
+            rows = docs.select("rid", "doc_id", "hs", at)
+            h = F.when(F.col("at") < 0, F.lit(OWN)).otherwise(shingle(F.col("hs"), F.col("at"), n))
+            rows = rows.select("rid", "doc_id", F.when(F.col("at") < 0, -1 - size).otherwise(F.col("at")).alias("pos"), h.alias("h"))
+            marked = some.union(vocabulary.sparkSession.range(1).select(F.lit(OWN).alias("h"))).distinct()
+            hits = rows.join(F.broadcast(marked), "h").select("rid", "doc_id", "pos", "h")
+            found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def anchored(hits: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Windows with their rarest shingle (anchor) and its place (off). Counts are over all documents; a window with a
+    shingle that no document has can't occur."""
+    counts = hits.filter("pos >= 0").groupBy("h").agg(F.count("*").alias("c"))
     first = F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "off")).alias("a")
-    return placed.join(counts, "h", "left").groupBy("ws", "held").agg(first).filter("a.c > 0").select(F.col("a.h").alias("anchor"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "held")
+    return shingled.join(counts, "h", "left").groupBy("ws", "held").agg(first).filter("a.c > 0").select(F.col("a.h").alias("h"), F.col("a.off").alias("off"), F.size("ws").alias("n"), "ws", "held")
 
 
 def occurrences(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """A row for each document: rid, doc_id, n_words, n_hit, spans (start, n) of occurring windows, held (sorted hashes of
     their lists of items); and the lists: held, items."""
-    base = common.with_rid(docs.select(F.col("doc_id"), F.col("text"))).select("rid", "doc_id", words(F.col("text")).alias("words"))
+    rows = common.with_rid(docs.select(F.col("doc_id"), F.col("text")))
+    base = rows.select("rid", "doc_id", words(F.col("text")).alias("words"))
     every = common.materialise(spark, windows(benchmark, size), "op8-windows")
-    lengths = sorted(r["n"] for r in every.select(F.least(F.size("ws"), F.lit(SHINGLE)).alias("n")).distinct().collect())  # SHINGLE at most
-    lengths = lengths or [SHINGLE]
-    wins = common.materialise(spark, anchored(base, every, lengths, block), "op8-anchored")
-    parts = max(1, -(-wins.count() // block))
-    sentinel = spark.range(1).select(F.lit(0).cast("long").alias("anchor"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("binary").alias("held"))
-    last = F.struct((-1 - F.size("words")).alias("place"), F.lit(0).cast("long").alias("h"))
-    exploded = base.select("rid", "doc_id", "words", F.explode(F.concat(shingles(F.col("words"), lengths), F.array(last))).alias("s")).select("rid", "doc_id", "words", F.col("s.place").alias("pos"), "s.h")
-    begin = F.col("pos") - F.col("off")
-    fits = F.when(F.col("pos") < 0, F.col("n") == 0).otherwise((F.col("n") > 0) & (begin >= 0) & (F.slice("words", F.greatest(begin + 1, F.lit(1)), F.col("n")) == F.col("ws")))
-    found = None
+    lengths = sorted(r["n"] for r in every.select(F.least(F.size("ws"), F.lit(SHINGLE)).alias("n")).distinct().collect()) or [SHINGLE]  # SHINGLE at most
+    shingled = common.materialise(spark, window_shingles(every, lengths), "op8-shingles")
+    hits = common.materialise(spark, places(base, shingled.select("h").distinct(), lengths, block), "op8-places")
+    wins = common.materialise(spark, anchored(hits, shingled), "op8-anchored")
+    asked = hits.filter("pos >= 0").join(wins.select("h").distinct(), "h", "left_semi").select("rid").distinct()
+    asked = common.materialise(spark, asked, "op8-asked")
+    asked = F.broadcast(asked) if asked.count() <= block else asked
+    again = rows.join(asked, "rid", "left_semi").select("rid", words(F.col("text")).alias("words")).withColumn("hs", hashed(F.col("words")))
+    parts, spans = max(1, -(-wins.count() // block)), None
+    begin = F.col("at") - F.col("off")
+    fits = (begin >= 0) & (F.slice("words", F.greatest(begin + 1, F.lit(1)), F.col("n")) == F.col("ws"))
     for k in range(parts):
         some = wins if parts == 1 else wins.filter(F.pmod(F.xxhash64("ws"), F.lit(parts)) == k)
-        some = some.unionByName(sentinel) if k == 0 else some
-        hits = exploded.join(F.broadcast(some), (F.col("h") == F.col("anchor")) & fits).select("rid", "doc_id", F.when(F.col("n") == 0, -1 - F.col("pos")).alias("n_words"), F.when(F.col("n") > 0, F.struct(begin.alias("start"), "n")).alias("span"), "held")
-        found = hits if found is None else found.unionByName(hits)
-    per_doc = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("held")).alias("held"))
+        for n in lengths:
+            at = F.explode(F.when(F.size("hs") >= n, F.sequence(F.lit(0), F.size("hs") - n)).otherwise(F.array().cast("array<int>"))).alias("at")
+            each = again.select("rid", "words", "hs", at).select("rid", "words", "at", shingle(F.col("hs"), F.col("at"), n).alias("h"))
+            own = F.broadcast(some.filter(F.least("n", F.lit(SHINGLE)) == n).withColumnRenamed("h", "anchor"))
+            hit = each.join(own, (F.col("h") == F.col("anchor")) & fits).select("rid", F.struct(begin.alias("start"), "n").alias("span"), "held")
+            spans = hit if spans is None else spans.unionByName(hit)
+    none = {"doc_id": F.lit(None).cast(hits.schema["doc_id"].dataType), "n_words": F.lit(None).cast("int")}
+    own = hits.filter("pos < 0").select("rid", "doc_id", (-1 - F.col("pos")).alias("n_words"), F.lit(None).cast("struct<start:int,n:int>").alias("span"), F.lit(None).cast("binary").alias("held"))
+    found = own.unionByName(spans.withColumns(none))
+    per_doc = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("held")).alias("held"))
     # spans in order of their start: each adds what lies beyond the end reached so far
     start, end = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")), lambda s: s["start"] + s["n"]
     step = lambda a, s: F.struct((a["hit"] + F.greatest(F.lit(0), end(s) - F.greatest(a["end"], s["start"]))).alias("hit"), F.greatest(a["end"], end(s)).alias("end"))
