@@ -26,9 +26,10 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), rows)
 
 
-def clean_frame(df: DataFrame, stopwords=()) -> DataFrame:
-    """*_clean columns and prompt_sig; rows with a null or blank cleaned text go."""
-    df = once(df, {f"{c}_clean": tx.clean_text(tx.list_cell(F.col(c)), words) for c, words in (("prompt", stopwords), ("response_a", ()), ("response_b", ()))})
+def clean_frame(df: DataFrame, stopwords=(), cells=tx.list_cell) -> DataFrame:
+    """*_clean columns and prompt_sig; rows with a null or blank cleaned text go. cells reads a cell that holds a list:
+    tx.list_cell (JSON) or tx.literal_cell."""
+    df = once(df, {f"{c}_clean": tx.clean_text(cells(F.col(c)), words) for c, words in (("prompt", stopwords), ("response_a", ()), ("response_b", ()))})
     df = df.filter(F.trim("prompt_clean") != "")
     names = ("response_a_clean", "response_b_clean")
     return once(df, {c: tx.fill_no_response(F.col(c)) for c in names} | {"prompt_sig": tx.prompt_sig(F.col("prompt_clean"))})
@@ -38,8 +39,14 @@ def with_lengths(df: DataFrame) -> DataFrame:
     return once(df, {"prompt_len": tx.token_len(F.col("prompt_clean")), "respA_len": tx.token_len(F.col("response_a_clean")), "respB_len": tx.token_len(F.col("response_b_clean"))})
 
 
-def clean_base(raw: DataFrame, stopwords=()) -> DataFrame:
-    return with_lengths(generate_label(clean_frame(raw, stopwords)))
+def with_missing_lengths(df: DataFrame) -> DataFrame:
+    """Lengths of stored cleaned rows, where they are no columns yet; there a null text counts as one token."""
+    sources = {"prompt_len": "prompt_clean", "respA_len": "response_a_clean", "respB_len": "response_b_clean"}
+    return df.withColumns({n: tx.token_len(F.coalesce(F.col(c), F.lit("nan"))) for n, c in sources.items() if n not in df.columns})
+
+
+def clean_base(raw: DataFrame, stopwords=(), cells=tx.list_cell) -> DataFrame:
+    return with_lengths(generate_label(clean_frame(raw, stopwords, cells)))
 
 
 def tail_control(df: DataFrame, p99: tuple[float, float] | None = None) -> DataFrame:
@@ -58,13 +65,13 @@ def tail_control(df: DataFrame, p99: tuple[float, float] | None = None) -> DataF
 SERVING_IN, SERVING_OUT = ("id", "prompt", "response_a", "response_b"), ("id", "prompt_clean", "response_a_clean", "response_b_clean")
 
 
-def serving_clean(df: DataFrame) -> DataFrame:
+def serving_clean(df: DataFrame, cells=tx.literal_cell) -> DataFrame:
     """A batch of unlabelled rows as the model gets them: cleaned without stopwords (nothing left is the empty text), and
     with lengths under control by the batch's own 99th percentiles. No row goes."""
     missing = [c for c in SERVING_IN if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    texts = {f"{c}_clean": F.coalesce(tx.clean_text(tx.list_cell(F.col(c))), F.lit("")) for c in SERVING_IN[1:]}
+    texts = {f"{c}_clean": F.coalesce(tx.clean_text(cells(F.col(c))), F.lit("")) for c in SERVING_IN[1:]}
     rows = store(with_lengths(once(df.select(*SERVING_IN), texts)), "serving")
     return tail_control(rows).select(*SERVING_OUT)
 

@@ -81,6 +81,21 @@ def truncation(df: DataFrame, limit: int = 512) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *(rnd(percent(F.col(c) > limit)).alias(f"pct_{n}_truncated") for c, n in names.items()))
 
 
+def trunc_cols(df: DataFrame, limit: int = 512) -> DataFrame:
+    """truncation() without rounding; 0 of no rows."""
+    names = {"prompt_len": "prompt", "respA_len": "respA", "respB_len": "respB"}
+    return df.agg(F.count("*").alias("n_rows"), *(percent(F.col(c) > limit).alias(f"pct_{n}_truncated") for c, n in names.items()))
+
+
+def clipped_histograms(df: DataFrame, columns, bins: int = 50, at: float = 0.99) -> DataFrame:
+    """feature, bin, count of each column, clipped at its own quantile, in equal bins from its minimum on."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("s")).select("s.*").filter("x is not null")
+    ends = long.groupBy("feature").agg(F.percentile("x", at).alias("cap"), F.min("x").alias("lo"))
+    width = F.col("cap") - F.col("lo")
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.least("x", "cap") - F.col("lo"), width), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    return long.join(F.broadcast(ends), "feature").groupBy("feature", place.alias("bin")).agg(F.count("*").alias("count"))
+
+
 def truncation_budget(df: DataFrame, prompt: int = 96, response: int = 288, total: int = 387) -> DataFrame:
     over = lambda c: (F.col(c) > response) | (F.least("prompt_len", F.lit(prompt)) + F.least(c, F.lit(response)) - total > 0)
     return df.agg(rnd(percent(F.col("prompt_len") > prompt)).alias("pct_prompt_truncated_real"), rnd(percent(over("respA_len"))).alias("pct_respA_truncated_real"), rnd(percent(over("respB_len"))).alias("pct_respB_truncated_real"))

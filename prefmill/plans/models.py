@@ -1,14 +1,14 @@
-"""Queries of strengths, heads, pair encoding, exact quantiles, serialized cells and splits."""
+"""Queries of strengths, heads, pair encoding, exact quantiles, serialized cells, splits and the audit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import encoding, preference as pf, quantiles as qt, scoring, strengths as st
+from ..operators import audit, encoding, preference as pf, profile as pr, quantiles as qt, scoring, strengths as st
 from ..sources import fixtures as fx
 from ..sources.store import store
-from . import catalog as cat
+from . import catalog as cat, serving
 
 Q: dict = {}
 SQL: dict = {}
@@ -132,3 +132,86 @@ SELECT row_idx, prompt_sig, component, place FROM pl WHERE n <= 10 OR place <= 8
 def template_clusters_kept(s: SparkSession, d: str) -> DataFrame:
     """Clusters of normalised templates of whole responses."""
     return pf.cluster_templates(pf.templates(cat.clean(s, d)))
+
+
+_SIDES = cat.FEAT + ", sp AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(prompt_sig), 1, 6) AS BIGINT) % 10 = 0 THEN 'valid' ELSE 'train' END AS split FROM feat)"
+_pct = lambda cond: f"coalesce(100 * avg(CAST({cond} AS INT)), 0.0)"
+_AUDIT = _SIDES + f""",
+ag AS (SELECT split, count(*) AS n, {", ".join(f"{_pct(f'label = {k}')} AS pct_{k}, count(*) FILTER (label = {k}) AS n_{k}" for k in range(3))}, {", ".join(f'{_pct(chr(34) + c + chr(34) + " > 200")} AS "trunc_{n}"' for n, c in audit.LENGTHS.items())},
+  {_pct("round(cosine_tfidf, 9) >= 0.9")} AS cosine_high, {_pct("jaccard_tokens >= 0.8")} AS jaccard_high, avg(cosine_tfidf) AS cm, avg(jaccard_tokens) AS jm, count(*) FILTER ({pf.NEAR_REPORT}) AS near FROM sp GROUP BY split),
+al AS (SELECT split, label, avg("respA_len") AS am, stddev_samp("respA_len") AS astd, avg("respB_len") AS bm, stddev_samp("respB_len") AS bstd FROM sp GROUP BY ALL),
+ak AS (SELECT sum(t) AS n_train, sum(v) AS n_valid, sum(t * v) AS n_both FROM (SELECT prompt_sig, max(CAST(split = 'train' AS INT)) AS t, max(CAST(split = 'valid' AS INT)) AS v FROM sp GROUP BY 1))"""
+
+
+def _sides(s: SparkSession, d: str) -> DataFrame:
+    return store(pf.split(cat.feat(s, d)), "sides")
+
+
+@q("audit_flags", f"""
+WITH {_AUDIT}
+SELECT split, flag FROM (SELECT split, unnest([CASE WHEN pct_2 > 50 THEN 'tie_heavy' END, CASE WHEN pct_0 < 25 THEN 'few_a' END, CASE WHEN pct_1 < 25 THEN 'few_b' END, {", ".join(f"""CASE WHEN "trunc_{n}" > 30 THEN '{n}_truncated_high' WHEN "trunc_{n}" > 20 THEN '{n}_truncated_moderate' END""" for n in audit.LENGTHS)}, CASE WHEN cosine_high >= 15 OR jaccard_high >= 15 THEN 'similar' END]) AS flag FROM ag) WHERE flag IS NOT NULL
+UNION ALL SELECT 'all', 'near_duplicates' FROM ag HAVING sum(near) > 0 AND sum(near) * 100 >= 15 * sum(n)
+UNION ALL SELECT split, 'even_lengths_' || CAST(label AS VARCHAR) FROM al WHERE abs(am - bm) <= 5""")
+def audit_flags(s: SparkSession, d: str) -> DataFrame:
+    return audit.flags(_sides(s, d), 200)
+
+
+@q("audit_log", f"""
+WITH {_AUDIT}
+SELECT 1 AS section, split, 0 AS place, printf('A=%.2f%% (n=%d) | B=%.2f%% (n=%d) | TIE=%.2f%% (n=%d)', round(pct_0, 2), n_0, round(pct_1, 2), n_1, round(pct_2, 2), n_2) AS line FROM ag
+UNION ALL SELECT 2, split, 0, printf('prompt=%.2f%% | respA=%.2f%% | respB=%.2f%%', round("trunc_prompt", 2), round("trunc_respA", 2), round("trunc_respB", 2)) FROM ag
+UNION ALL SELECT 3, split, 0, printf('mean cosine=%.3f | mean jaccard=%.3f | cosine>=0.9: %.2f%% | jaccard>=0.8: %.2f%%', round(cm, 3), round(jm, 3), round(cosine_high, 2), round(jaccard_high, 2)) FROM ag
+UNION ALL SELECT 4, split, 0, printf('near duplicates: %d of %d', near, n) FROM ag
+UNION ALL SELECT 5, split, CAST(label AS INT), printf('label=%d | A mean=%.1f (std %.1f) | B mean=%.1f (std %.1f)', label, round(am, 1), coalesce(round(astd, 1), 0.0), round(bm, 1), coalesce(round(bstd, 1), 0.0)) FROM al
+UNION ALL SELECT 6, 'all', 0, printf('prompts: train=%d | valid=%d | both=%d (%.2f%%)', CAST(n_train AS BIGINT), CAST(n_valid AS BIGINT), CAST(n_both AS BIGINT), round(n_both * 100.0 / greatest(1, least(n_train, n_valid)), 2)) FROM ak""")
+def audit_log(s: SparkSession, d: str) -> DataFrame:
+    return audit.log(_sides(s, d), 200)
+
+
+_SIDE = lambda x: ", ".join(f"round_even(100.0 * count(*) FILTER (split = '{x}' AND label = {k}) / count(*) FILTER (split = '{x}'), 2) AS pct_{x}_{k}" for k in range(3))
+
+
+@q("split_metadata", f"""
+WITH {cat._SPLIT}, r AS (SELECT prompt_sig, split, label, "respA_len", "respB_len", 0 AS s FROM sp UNION ALL SELECT prompt_sig, split, CASE label WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE label END, "respA_len", "respB_len", 1 FROM sp WHERE split = 'train'),
+k AS (SELECT CAST(sum(t) AS BIGINT) AS a, CAST(sum(v) AS BIGINT) AS b, CAST(sum(t * v) AS BIGINT) AS c FROM (SELECT prompt_sig, max(CAST(split = 'train' AS INT)) AS t, max(CAST(split = 'valid' AS INT)) AS v FROM r GROUP BY 1))
+SELECT x.*, a AS prompts_unique_train, b AS prompts_unique_valid, c AS prompts_intersection_count, round_even(c * 100.0 / greatest(1, least(a, b)), 2) AS prompts_intersection_pct, {", ".join(f"{v}::DOUBLE AS {n}" for n, v in audit.THRESHOLDS.items())}
+FROM (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'valid') AS n_valid, {_SIDE('train')}, {_SIDE('valid')}, round_even(100.0 * count(*) FILTER (split = 'train' AND s = 1) / count(*) FILTER (split = 'train'), 2) AS is_swapped_train_pct, quantile_cont("respA_len", 0.99) FILTER (s = 0) AS "p99_respA", quantile_cont("respB_len", 0.99) FILTER (s = 0) AS "p99_respB" FROM r) x, k""")
+def split_metadata(s: SparkSession, d: str) -> DataFrame:
+    sides = pf.split(cat.clean(s, d))
+    return audit.split_metadata(pf.swap_union(sides.filter("split = 'train'").drop("split")), sides.filter("split = 'valid'").drop("split"))
+
+
+@q("sample_texts", f"WITH {cat._SPLIT} SELECT split, row_idx, {', '.join(audit.TEXTS)} FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(CAST(row_idx AS VARCHAR) || ':42'), row_idx) AS r FROM sp) WHERE r <= 60")
+def sample_texts(s: SparkSession, d: str) -> DataFrame:
+    return audit.sample_texts(pf.split(cat.clean(s, d)))
+
+
+_CLIP = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS x FROM clean" for c in cat.LENS)
+
+
+@q("length_hist_clipped_all", f"WITH {cat.CLEAN}, lg AS ({_CLIP}), en AS (SELECT feature, quantile_cont(x, 0.99) AS cap, min(x) AS lo FROM lg GROUP BY 1) SELECT feature, CAST(least(floor(coalesce((least(x, cap) - lo) / nullif(cap - lo, 0), 0) * 50), 49) AS INT) AS bin, count(*) AS count FROM lg JOIN en USING (feature) GROUP BY ALL")
+def length_hist_clipped_all(s: SparkSession, d: str) -> DataFrame:
+    return pr.clipped_histograms(cat.clean(s, d), cat.LENS)
+
+
+@q("trunc_cols", f"WITH {cat.CLEAN} SELECT count(*) AS n_rows, {', '.join(f'{_pct(chr(34) + c + chr(34) + chr(32) + chr(62) + chr(32) + str(200))} AS {chr(34)}pct_{n}_truncated{chr(34)}' for n, c in audit.LENGTHS.items())} FROM clean")
+def trunc_cols(s: SparkSession, d: str) -> DataFrame:
+    return pr.trunc_cols(cat.clean(s, d), 200)
+
+
+_cell = lambda c: f"coalesce({cat._clean(f'replace({c}, {chr(39)}null{chr(39)}, {chr(39)}{chr(34) * 2}{chr(39)})')}, '')"
+_tokens = lambda c: f"list_filter(string_split({c}, ' '), lambda t: t <> '')"
+
+
+@q("serving_batch", f"""
+WITH {cat.BATTLES}, c AS (SELECT id, {_cell('prompt')} AS p, {_cell('response_a')} AS a, {_cell('response_b')} AS b FROM battles),
+n AS (SELECT *, {_tokens('p')} AS tp, len({_tokens('a')}) AS na, len({_tokens('b')}) AS nb FROM c),
+w AS (SELECT *, na > 288 OR na >= quantile_cont(na, 0.99) OVER () AS ca, nb > 288 OR nb >= quantile_cont(nb, 0.99) OVER () AS cb FROM n)
+SELECT id, CASE WHEN len(tp) <= 96 THEN p ELSE array_to_string(list_concat(list_concat(list_slice(tp, 1, 48), ['…']), list_slice(tp, len(tp) - 15, len(tp))), ' ') END AS prompt_clean,
+CASE WHEN NOT ca THEN a END AS response_a_clean, true AS response_a_fits, CASE WHEN NOT cb THEN b END AS response_b_clean, true AS response_b_fits FROM w""")
+def serving_batch(s: SparkSession, d: str) -> DataFrame:
+    """The whole batch through serving: prompts, responses that stay as they are, and whether the others have come within
+    their limit. What compression makes of a text is in the tests."""
+    raw = store(fx.battles(s, d).select("id", "prompt", "response_a", "response_b"), "batch")
+    clean = raw.select("id", *(F.coalesce(tx.clean_text(tx.literal_cell(F.col(c))), F.lit("")).alias(f"{c}_clean") for c in ("response_a", "response_b")))
+    return serving.controlled(clean, pf.serving_clean(raw))

@@ -53,6 +53,16 @@ def read_lenient(spark: SparkSession, path: str, schema: str | None = None) -> D
         return None
 
 
+def read_strict(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Latin-1 where a line isn't UTF-8, like read_lenient(); what is missing or can't be read raises an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path.rsplit("/", 1)[-1])
+    valid = spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
+    df = read_csv(spark, path, schema, "UTF-8" if valid else "ISO-8859-1")
+    df.isEmpty()
+    return df
+
+
 _CACHED: dict[str, DataFrame] = {}
 
 

@@ -57,11 +57,9 @@ def test_a_field_over_many_splits_and_files(spark, tmp_path, small_splits):
 
 
 @pytest.mark.parametrize("line, state, want", [
-    ("a,b", 0, 0), ("a,b", 1, 1), ('"a', 0, 1), ('a"', 1, 0), ('"a""', 0, 1), ('"a"",b"', 0, 0), ('a"b,c', 0, 0), ('x,"', 0, 1), ('",', 1, 0), ('","', 1, 1), ('"a"b",c', 0, 0), ("", 1, 1), ('""', 0, 0), ('"""', 0, 1), (',,"a', 0, 1), ('" ,"', 0, 1),
+    ("a,b", 0, 0), ("a,b", 1, 1), ('"a', 0, 1), ('a"', 1, 0), ('"a""', 0, 1), ('"a"",b"', 0, 0), ('a"b,c', 0, 0), ('x,"', 0, 1), ('",', 1, 0), ('","', 1, 1), ('"a"b",c', 0, 0), ("", 1, 1), ('""', 0, 0), ('"""', 0, 1), (',,"a', 0, 1), ('" ,"', 0, 0),
 ])
 def test_states_of_lines(line, state, want):
-    if line == '" ,"':
-        want = 0
     assert quoted.after(line, state) == want
 
 

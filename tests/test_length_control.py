@@ -105,3 +105,14 @@ def test_serving(spark):
 def test_english_stopwords(spark):
     words = pf.english_stopwords(spark)
     assert "the" in words and "don" in words and not any("'" in w for w in words)
+
+
+def test_serving_by_row_and_from_a_file(spark, tmp_path):
+    from prefmill.plans import serving
+
+    one = serving.clean_single(spark, "Hi @you: a question?", "['an answer', 'in two\\nparts']", None, 7).collect()
+    assert [tuple(r) for r in one] == [("7", "hi : a question?", "an answer in two parts", "")]
+    (tmp_path / "t.csv").write_text('id,prompt,response_a,response_b,other\n1,"a\nb","say ""yes""",no,x\n')
+    assert [tuple(r) for r in serving.clean_path(spark, str(tmp_path / "t.csv")).collect()] == [("1", "a b", "say yes", "no")]
+    answer = serving.predict_single(serving.clean_single(spark, "p", "a", "b"))
+    assert answer == {"id": "single", "prob_A": 0.3333, "prob_B": 0.3333, "prob_TIE": 0.3333, "pred_label": "TIE"}
