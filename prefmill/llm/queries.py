@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, ngram_join, pieces, prefix_trie, resample, token_output, url_filter, vector_codes
 
 
@@ -22,12 +20,8 @@ def queries() -> dict:
         "op11_url_filter": url_filter.op11_url_filter,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    found = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return found
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_vector_codes": vector_codes.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
