@@ -191,8 +191,9 @@ def model(path: str | None = None) -> PieceModel:
     return _MODELS.get(path) or _MODELS.setdefault(path, PieceModel(path))
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The columns of docs and piece_ids array<int>."""
+def encode(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
+    """The columns of docs and piece_ids array<int>. keep: a worker remembers words for its next task; where workers go on
+    to other work, that memory is better given back."""
     kept = [c for c in docs.columns if c != "piece_ids"]
 
     def run(batches):
@@ -201,6 +202,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for some in common.slices(b, "_text", SLICE):
                 ids = common.flat_lists(*m.encode_array(some.column("_text")))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in kept] + [ids], names=[*kept, "piece_ids"])
+        if not keep:
+            common.tidy(m.known, m.pairs)
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(run, docs.select(*kept).schema.add("piece_ids", T.ArrayType(T.IntegerType())))
