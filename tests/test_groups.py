@@ -141,3 +141,39 @@ def test_dedup_has_no_window_over_groups(spark):
     flags = pf.dedup_flags(frame)
     assert "Window" not in flags._jdf.queryExecution().toString()
     assert sorted(r["row_idx"] for r in flags.filter("keep").collect()) == [0, 1]
+
+
+# ---- groups in one task and groups over many ------------------------------------------------------------------------
+@pytest.mark.parametrize("threshold", [0.985, 0.6])
+@pytest.mark.parametrize("rows", [1, 20, 4096])
+def test_large_and_small_groups_have_the_same_pairs(spark, templates, threshold, rows, monkeypatch):
+    """With a bound of 20 rows the single group is measured in a task, the others are joined."""
+    monkeypatch.setattr(cosine_join, "TASK_ROWS", rows)
+    want = plain_pairs(templates, threshold)
+    frame = spark.createDataFrame(templates, "row_idx long, prompt_sig string, template string")
+    out = cosine_join.pairs(frame, threshold).collect()
+    got = {(r["a"], r["b"]): r["cosine"] for r in out}
+    assert len(out) == len(got) and {k for k, v in want.items() if abs(v - threshold) > 1e-9} == {k for k in got if abs(got[k] - threshold) > 1e-9}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got) and {r["prompt_sig"] for r in out} == {templates[i][1] for i, _ in want}
+    parts = lambda edges: {tuple(r) for r in pf.components(frame, edges).collect()}
+    assert parts(cosine_join.links(frame, threshold)) == parts(spark.createDataFrame([(*k, 0) for k in want], "a long, b long, c int"))
+
+
+def test_groups_of_a_task_are_shuffled_as_texts(spark, templates):
+    """Not term by term: the terms of a row stay in one row."""
+    frame = spark.createDataFrame(templates, "row_idx long, prompt_sig string, template string")
+    rows, wide, large = cosine_join.by_size(frame)
+    assert wide is None and large.isEmpty() and rows is frame
+    plan = cosine_join.links(frame, 0.9)._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan and "Window" not in plan
+
+
+def test_blocks_leave_no_pair_out(templates, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cosine_join, "BLOCK", 7)
+    texts = [" ".join(re.findall(r"[^\W]{2,}", t or "")) for _, g, t in templates if g == "a"]
+    first, _, a, b, _ = cosine_join.near_rows(pa.array(texts), 0.8)
+    want = plain_pairs([(i, "a", t) for i, t in enumerate(texts)], 0.8)
+    assert {(i, j) for i, j in want if first[i] == i and first[j] == j} == set(zip(a.tolist(), b.tolist()))
+    assert {(i, j) for i, j in combinations(range(len(texts)), 2) if first[i] == first[j] >= 0} == {(i, j) for i, j in want if Counter(texts[i].split()) == Counter(texts[j].split())}
