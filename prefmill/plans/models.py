@@ -144,7 +144,7 @@ ak AS (SELECT sum(t) AS n_train, sum(v) AS n_valid, sum(t * v) AS n_both FROM (S
 
 
 def _sides(s: SparkSession, d: str) -> DataFrame:
-    return store(pf.split(cat.feat(s, d)), "sides")
+    return store(pf.split(cat.narrow(s, d)), "sides")
 
 
 @q("audit_flags", f"""

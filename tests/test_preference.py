@@ -74,3 +74,27 @@ def test_pair_encoding_takes_from_the_longer_side(spark):
 def test_leaked_signatures(spark):
     rows = spark.createDataFrame([("b", "train"), ("b", "valid"), ("a", "train"), ("a", "valid"), ("c", "train"), ("c", "train")], "prompt_sig string, split string")
     assert [r[0] for r in pr.leaked(rows).collect()] == ["a", "b"] and pr.leaked(rows, 1).count() == 1
+
+
+def test_cosine_of_head_and_tail_terms(spark):
+    """The same cosines whatever part of the terms is broadcast; a row is not spread over rows of its terms."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    from prefmill.functions import similarity as sim
+
+    r = random.Random(4)
+    words = ["the", "of", "und", "Ärger", "x"] * 6 + [f"w{k}" for k in range(60)]
+    rows = [(k, *(r.choice([None, "", " ".join(r.choices(words, k=12)), " ".join(r.choices(words, k=3))]) for _ in "ab")) for k in range(80)]
+    bags = {k: [Counter(re.findall(r"\w{2,}", (t or "").lower())) for t in ts] for k, *ts in rows}
+    df = Counter(w for pair in bags.values() for bag in pair for w in bag)
+    idf = {w: math.log((1 + 2 * len(rows)) / (1 + n)) + 1 for w, n in df.items()}
+    size = lambda bag: math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+    want = {k: sum(n * b[w] * idf[w] ** 2 for w, n in a.items()) / (size(a) * size(b)) if a and b else 0.0 for k, (a, b) in bags.items()}
+    frame = spark.createDataFrame(rows, "k long, a string, b string").repartition(5)
+    for head in (0, 1, 10, 200_000):
+        got = {x["k"]: x["cosine_tfidf"] for x in sim.cosines(frame, "k", "a", "b", head=head).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert any(x > 0.1 for x in want.values())
