@@ -212,6 +212,6 @@ CASE WHEN NOT ca THEN a END AS response_a_clean, true AS response_a_fits, CASE W
 def serving_batch(s: SparkSession, d: str) -> DataFrame:
     """The whole batch through serving: prompts, responses that stay as they are, and whether the others have come within
     their limit. What compression makes of a text is in the tests."""
-    raw = store(fx.battles(s, d).select("id", "prompt", "response_a", "response_b"), "batch")
-    clean = raw.select("id", *(F.coalesce(tx.clean_text(tx.literal_cell(F.col(c))), F.lit("")).alias(f"{c}_clean") for c in ("response_a", "response_b")))
-    return serving.controlled(clean, pf.serving_clean(raw))
+    texts = store(pf.serving_texts(fx.battles(s, d)), "batch")
+    after = pf.tail_control(texts, pf.length_limits(texts)).select(*pf.SERVING_OUT)
+    return serving.controlled(texts.select("id", "response_a_clean", "response_b_clean"), after)

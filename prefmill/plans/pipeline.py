@@ -13,7 +13,7 @@ def run(raw: DataFrame, stopwords=(), folds: int = 10, cells=tx.literal_cell) ->
     """raw: row_idx and the columns of the raw table. Cleaned base, deduplicated rows, train (with mirror images) and
     validation rows in order of row_idx, and the reports. What several branches read is stored; sources.store.release()
     deletes it when the frames are not needed any more."""
-    base = store(pf.tail_control(store(pf.clean_base(raw, stopwords, cells), "base")), "base")
+    base = store(pf.tail_control(pf.clean_base(raw, stopwords, cells)), "base")
     flags = store(pf.dedup_flags(pf.features(base)), "flags")
     kept = flags.filter("keep")
     reps = store(pf.template_clusters(pf.templates(kept)), "clusters")

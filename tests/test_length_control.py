@@ -116,3 +116,36 @@ def test_serving_by_row_and_from_a_file(spark, tmp_path):
     assert [tuple(r) for r in serving.clean_path(spark, str(tmp_path / "t.csv")).collect()] == [("1", "a b", "say yes", "no")]
     answer = serving.predict_single(serving.clean_single(spark, "p", "a", "b"))
     assert answer == {"id": "single", "prob_A": 0.3333, "prob_B": 0.3333, "prob_TIE": 0.3333, "pred_label": "TIE"}
+
+
+def test_boilerplate_is_cut_wherever_its_patterns_match(spark):
+    """The words that are looked for first leave out no match, in any case of letters."""
+    words = ["as an ai", "AS AN Aİ", "aſ an aı", "I am an AI", "Language Model", "thanKs", "Thanks", "THANK YOU", "sincerely", "best regards", "kınd regards", "as an air", "x"]
+    texts = [None, "", " ", *words, *(f"{a} {w}, b\n{v} c" for a in ("hello", " A") for w in words for v in words)]
+
+    def plain(c):
+        for pattern in (tx.GREETING, tx.DISCLAIMER, tx.SIGN_OFF):
+            c = F.regexp_replace(c, pattern, "")
+        return F.regexp_replace(c, f"^[{tx.SPACE}]+|[{tx.SPACE}]+$", "")
+
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = frame.select(plain(F.col("t")).alias("want"), tx.strip_boilerplate(F.col("t")).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in rows) and len({r["got"] for r in rows}) > 40
+
+
+def test_ends_and_single_lines(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\x85a b\x1c", "- one item", "- one\n- two\n", "a\n\na\n\nA", "\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = frame.select("t", tx.strip(F.col("t")).alias("s"), tx.collapse_repeats(F.col("t")).alias("c")).collect()
+    assert [r["s"] for r in rows] == [None, "", "", "a", "a", "a", "a b", "- one item", "- one\n- two", "a\n\na\n\nA", ""]
+    assert [r["c"] for r in rows] == [None, "", " ", "a", "a", "a", "a b", "- one item", "- one\n- two", "a\n\na", "\n"]
+
+
+def test_percentiles_and_result_read_the_same_stored_rows(spark):
+    """Cleaning is done once: the result is a scan of stored rows, not the chain of patterns again."""
+    from prefmill.operators import preference as pf
+
+    raw = spark.createDataFrame([(k, "p", "a b " * k, "c") for k in range(1, 9)], "id long, prompt string, response_a string, response_b string")
+    out = pf.serving_clean(raw)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "https?" not in plan and "parquet" in plan and out.count() == 8
