@@ -101,18 +101,19 @@ def _pairs(x: DataFrame, y: DataFrame, window) -> DataFrame:
 
 def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of points with pivots, and pairs (a, b) that are still to be measured, from cells (h, point, n, pos,
-    share) and whole sets."""
+    share) and whole sets. Each round stores its own, and all rounds are read as one scan: the plans of what follows, and
+    the driver's memory for them, are the same for any number of rounds."""
     left = met.withColumn("d", F.array().cast("array<double>"))
-    links, pairs, before = None, None, None
+    measured_at, pairs_at, before = [], [], None
+    scan = lambda schema, paths: spark.read.schema(schema).parquet(*paths)
     while True:
         pivot = left.groupBy("h").agg(F.max_by("point", F.struct("share", -F.col("point"))).alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
         rows = common.materialise(spark, left.join(pivot, "h"), "op7-region")
         asked = rows.filter("point <> pivot").select(F.col("pivot").alias("a"), F.col("point").alias("b")).distinct()
         far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
         known = setjoin.overlaps(asked, sets).select("a", "b", far.alias("far"), F.expr(setjoin.SIMILAR).alias("near"))
-        known = common.materialise(spark, known, "op7-distances")
-        ball = known.filter("near").select("a", "b")
-        links = ball if links is None else links.union(ball)
+        measured_at.append(common.write(spark, known, "op7-distances"))
+        known = scan(known.schema, measured_at[-1:])
         measured = known.select(F.col("a").alias("pivot"), F.col("b").alias("point"), "far", "near")
         placed = rows.join(measured, ["pivot", "point"], "left").select("h", "point", "n", "pos", "share", F.concat("d", F.array(F.coalesce("far", F.lit(0.0)))).alias("d"), F.coalesce("near", F.lit(True)).alias("near"))
         placed = common.materialise(spark, placed, "op7-placed")
@@ -121,7 +122,7 @@ def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = S
         border = outside.filter(F.element_at("d", -1) <= 2 * NEAR)
         inside = placed.filter(F.col("near") & (F.element_at("d", -1) > 0)).join(border.select("h").distinct(), "h", "left_semi")
         some = _pairs(inside, border, last("b") <= last("a") + NEAR)
-        pairs = some if pairs is None else pairs.union(some)
+        pairs_at.append(common.write(spark, some, "op7-pairs"))
         sizes = outside.groupBy("h").agg(F.count("*").alias("m")).agg(F.max("m").alias("most"), F.sum(F.when(F.col("m") > small, F.col("m"))).alias("large")).first()
         left = outside.drop("near")
         large = sizes["large"] or 0
@@ -129,7 +130,8 @@ def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = S
             break
         before = large
     window = F.forall(F.zip_with("d_a", "d_b", lambda x, y: F.abs(x - y)), lambda x: x <= NEAR) & (F.col("point_a") < F.col("point_b"))
-    return links, pairs.union(_pairs(left, left, window)).distinct()
+    pairs_at.append(common.write(spark, _pairs(left, left, window), "op7-pairs"))
+    return scan(known.schema, measured_at).filter("near").select("a", "b"), scan("a long, b long", pairs_at).distinct()
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, small: int = SMALL, groups: bool = False) -> DataFrame:
