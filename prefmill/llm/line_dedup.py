@@ -81,6 +81,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, s
     items = packed.filter("id is not null").select("id", "key", "check", order.alias("o"))
     alive = common.materialise(spark, setjoin.survivors(spark, packed, extra), "op9-survivors")
 
+    # most lines stand once and have no partner: they are let go by the key alone, and what follows is for the others
+    several = packed.filter("id is not null").groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    items = common.materialise(spark, items.join(several.union(alive).hint("shuffle_hash"), "key", "left_semi"), "op9-lines")
+
     # a point's first line stands for it, and its smallest item id is its name; points of one line that can't match are done
     first = items.groupBy("key", "check").agg(F.min("o").alias("o"), F.min("id").alias("point"), F.count("*").alias("times"))
     first = first.join(alive.withColumn("alive", F.lit(True)), "key", "left").filter("times > 1 or alive")
@@ -126,7 +130,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, extra: float = EXTRA, shor
     kept = [c for c in docs.columns if c not in ("text", "n_removed")]
     names = [c for c in docs.columns if c != "n_removed"]
     both = rows.withColumn("text", F.col("text").cast("string")).join(gone.select(F.col("rid").alias(rid), F.col("lines").alias(lines)).hint("shuffle_hash"), rid, "left")
-    cut = F.pandas_udf(_without, "string")(F.when(F.col(lines).isNotNull(), F.col("text")), lines)
+    once = F.pandas_udf(_without, "string").asNondeterministic()  # else a filter on text runs it again, in workers of its own
+    cut = once(F.when(F.col(lines).isNotNull(), F.col("text")), lines)
     text = F.when(F.col(lines).isNull(), F.col("text")).otherwise(cut).alias("text")
     return both.select(*kept, text, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed")).select(*names, "n_removed")
 
