@@ -10,8 +10,9 @@ system); a row is a segment of whole documents in ascending doc_id order:
 Documents are range-partitioned by doc_id and sorted inside the partition (null ids first, then by text). A null text
 has the end id only. Rows of equal doc_id stay separate. An empty table gives no segments.
 
-Byte-level BPE works on pieces that begin at a space before a non-space, so a text without adjoining white space is
-cut at its spaces and each distinct word of a batch is encoded once; other texts are encoded whole.
+Byte-level BPE works on pieces that begin at a space before a non-space, and a line break between non-spaces is a piece,
+so a text without adjoining white space is cut at its spaces and line breaks and each distinct word of a batch is encoded
+once, its letters apart from the marks after them; other texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -32,17 +33,39 @@ from . import common, simple8b
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SEGMENT = 1 << 18
-#: Byte-level BPE always cuts between a letter and these.
-_MARKS = ".,;:!?)"
+#: Byte-level BPE always cuts between a letter and these, and takes a run of them for one piece.
+_MARKS = ".,;:!?)]}*%#$&\"+=/\\>|~^@<([{-_"
 CACHE = 500_000
 #: Bytes of text that are encoded together, if no single text is longer.
 SLICE = 12 << 20
 _SEGMENT_SQL = "part int, seq int, before long, doc_ids array<long>, lengths array<int>, n int, words binary, offsets binary, escape_at binary, escapes binary"
 
 
+def _body(words: pa.Array) -> pa.Array:
+    """Words without the line break that may stand before them; there is none within."""
+    return pc.replace_substring(words, "\n", "", max_replacements=1)
+
+
+def _odd(words: pa.Array) -> pa.Array:
+    """Words that adjoin more white space than one space or line break."""
+    body = _body(words)
+    return pc.or_(pc.equal(body, ""), pc.not_equal(pc.utf8_trim_whitespace(body), body))
+
+
+def _endings(words: pa.Array, starts: pa.Array) -> pa.Array:
+    """What each word has after its start."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)[1:].astype(np.int64)
+    sizes = (pc.binary_length(words).to_numpy() - pc.binary_length(starts).to_numpy()).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(ends - offsets[1:], sizes) + np.arange(offsets[-1])
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at] if len(at) else np.zeros(0, np.uint8)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian 32-bit integers. Each distinct word of a batch, with its space, is encoded once, many
-    at a time; CACHE words stay known, those seen first: mostly the common ones."""
+    """Ids of texts as little-endian 32-bit integers. Each distinct word of a batch, with its space or line break, is
+    encoded once, many at a time, without the marks after its letters; CACHE words stay known, those seen first: mostly
+    the common ones."""
 
     def __init__(self, path: str):
         import os
@@ -52,57 +75,66 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         pieces = self.tok.get_vocab()
-        self.begins = np.zeros(max(pieces.values()) + 1, bool)
-        self.begins[[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
+        self.begins = {lead: np.zeros(max(pieces.values()) + 1, bool) for lead in " \n"}
+        self.begins[" "][[i for p, i in pieces.items() if p.startswith("Ġ")]] = True
+        self.begins["\n"][[i for p, i in pieces.items() if p.startswith("Ċ")]] = True
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it."""
+    def _after(self, lead: str, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space or a line break before it."""
         out = []
         for k in range(0, len(words), 500):
             some = words[k : k + 500]
-            blob = self._ids([" " + " ".join(some)])[0]
-            at = (np.flatnonzero(self.begins[np.frombuffer(blob, "<u4")]) * 4).tolist()
+            blob = self._ids([lead + lead.join(some)])[0]
+            at = (np.flatnonzero(self.begins[lead][np.frombuffer(blob, "<u4")]) * 4).tolist()
             if len(at) == len(some):
                 out += [blob[i:j] for i, j in zip(at, at[1:] + [len(blob)])]
             else:
-                out += self._ids([" " + p for p in some])
+                out += self._ids([lead + p for p in some])
         return out
 
     def encode(self, texts: pa.Array):
         """Ids of all texts one after the other, and the number of each text's."""
-        words, whole, entries, counts = common.cut(texts, lambda w: pc.or_(pc.equal(w, ""), pc.not_equal(pc.utf8_trim_whitespace(w), w)))
+        words, whole, entries, counts = common.cut_words(pc.replace_substring(texts.fill_null(""), "\n", " \n"), _odd)
         starts = np.cumsum(counts) - counts
         split = np.ones(len(counts), bool)
         split[whole] = False
-        heads = entries[starts[split]]  # first words have no space before them
-        entries[starts[split]] = len(words) + len(whole) + np.arange(len(heads))
-        blobs = list(map(self.known.get, words))
-        need = [k for k, x in enumerate(blobs) if x is None]
-        for k, x in zip(need, self._learn([words[k] for k in need])):
-            blobs[k] = x
-        blobs += self._ids([texts[k].as_py() or "" for k in whole.tolist()] + [words[k] for k in heads.tolist()])
-        return common.joined(blobs, entries, counts, "<u4")
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words that are not known, each with its space; the marks after letters are encoded apart."""
+        firsts = entries[starts[split]]  # first words have no space before them
+        entries[starts[split]] = len(words) + len(whole) + np.arange(len(firsts))
+        more = self._ids([texts[k].as_py() or "" for k in whole.tolist()] + words.take(pa.array(firsts)).to_pylist())
+        return common.joined(pa.concat_arrays([self._words(words), pa.array(more, pa.large_binary())]), entries, counts, "<u4")
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, each with its space or line break; the marks after letters are encoded apart."""
+        bare = pc.utf8_rtrim(words, _MARKS)
+        bare = pc.if_else(pc.utf8_is_alpha(_body(bare)), bare, words)
+        cores = bare.dictionary_encode()
+        tails = _endings(words, bare).dictionary_encode()
+        return pc.binary_join_element_wise(self._cores(cores.dictionary).take(cores.indices), self._tails(tails.dictionary).take(tails.indices), pa.scalar(b"", pa.large_binary()))
+
+    def _tails(self, tails: pa.Array) -> pa.Array:
+        tails = tails.to_pylist()
         if len(self.tails) > CACHE:
             self.tails = {"": b""}
-        known, cores = self.known, [w.rstrip(_MARKS) for w in words]
-        tails = [w[len(c) :] if len(c) < len(w) and c.isalpha() else "" for w, c in zip(words, cores)]
-        bare = [c if t else w for w, c, t in zip(words, cores, tails)]
-        need = list(set(bare).difference(known))
-        new = dict(zip(need, self._spaced(need)))
-        more = [t for t in set(tails) if t not in self.tails]
-        self.tails.update(zip(more, self._ids(more)))
-        found = [(new.get(c) or known[c]) + self.tails[t] for c, t in zip(bare, tails)]
-        known.update(islice(new.items(), max(0, CACHE - len(known))))
-        known.update(islice(zip(words, found), max(0, CACHE - len(known))))
-        return found
+        need = [t for t in tails if t not in self.tails]
+        self.tails.update(zip(need, self._ids(need)))
+        return pa.array([self.tails[t] for t in tails], pa.large_binary())
+
+    def _cores(self, cores: pa.Array) -> pa.Array:
+        cores = cores.to_numpy(zero_copy_only=False).tolist()
+        blobs = list(map(self.known.get, cores))
+        need = [k for k, x in enumerate(blobs) if x is None]
+        lines = [k for k in need if cores[k][:1] == "\n"]
+        need = [k for k in need if cores[k][:1] != "\n"]
+        for some, new in ((need, self._after(" ", [cores[k] for k in need])), (lines, self._after("\n", [cores[k][1:] for k in lines]))):
+            for k, x in zip(some, new):
+                blobs[k] = x
+            self.known.update(islice(zip([cores[k] for k in some], new), max(0, CACHE - len(self.known))))
+        return pa.array(blobs, pa.large_binary())
 
 
 _CODERS: dict[str, PieceEncoder] = {}  # a Python worker serves many tasks
