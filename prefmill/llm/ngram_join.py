@@ -102,7 +102,9 @@ def _pairs(x: DataFrame, y: DataFrame, window) -> DataFrame:
 def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of points with pivots, and pairs (a, b) that are still to be measured, from cells (h, point, n, pos,
     share) and whole sets. Each round stores its own, and all rounds are read as one scan: the plans of what follows, and
-    the driver's memory for them, are the same for any number of rounds."""
+    the driver's memory for them, are the same for any number of rounds. Whenever half of the points have left, the sets
+    of the others are stored anew, so a round reads about as much as its cells hold."""
+    points = sets.count()
     left = met.withColumn("d", F.array().cast("array<double>"))
     measured_at, pairs_at, before = [], [], None
     scan = lambda schema, paths: spark.read.schema(schema).parquet(*paths)
@@ -123,12 +125,14 @@ def regions(spark: SparkSession, met: DataFrame, sets: DataFrame, small: int = S
         inside = placed.filter(F.col("near") & (F.element_at("d", -1) > 0)).join(border.select("h").distinct(), "h", "left_semi")
         some = _pairs(inside, border, last("b") <= last("a") + NEAR)
         pairs_at.append(common.write(spark, some, "op7-pairs"))
-        sizes = outside.groupBy("h").agg(F.count("*").alias("m")).agg(F.max("m").alias("most"), F.sum(F.when(F.col("m") > small, F.col("m"))).alias("large")).first()
+        sizes = outside.groupBy("h").agg(F.count("*").alias("m")).agg(F.max("m").alias("most"), F.sum(F.when(F.col("m") > small, F.col("m"))).alias("large"), F.sum("m").alias("rows")).first()
         left = outside.drop("near")
         large = sizes["large"] or 0
         if not large or (before is not None and large > 0.9 * before):
             break
         before = large
+        if sizes["rows"] <= points / 2:
+            sets, points = common.materialise(spark, setjoin.picked(sets, left.select(F.col("point").alias("id"))), "op7-sets"), sizes["rows"]
     window = F.forall(F.zip_with("d_a", "d_b", lambda x, y: F.abs(x - y)), lambda x: x <= NEAR) & (F.col("point_a") < F.col("point_b"))
     pairs_at.append(common.write(spark, _pairs(left, left, window), "op7-pairs"))
     return scan(known.schema, measured_at).filter("near").select("a", "b"), scan("a long, b long", pairs_at).distinct()

@@ -408,6 +408,24 @@ _PAIR = "a long, b long, na int, nb int, both int"
 SIMILAR = f"100L * both >= {PERCENT}L * (na + nb - both)"
 
 
+#: Ids of sets that are broadcast, at most (8 MB); for more the sets are shuffled.
+PICKED = 1_000_000
+
+
+def picked(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of these ids. Of few ids no other set is shuffled, here or by what follows."""
+    ids = ids.select("id").distinct()
+    if ids.limit(PICKED + 1).count() <= PICKED:
+        ids = F.broadcast(ids)
+    return sets.join(ids, "id", "left_semi")
+
+
+def _named(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs, stored, and the sets that they name."""
+    pairs = common.stored(pairs.sparkSession, pairs.select("a", "b"))
+    return pairs, picked(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
+
 def _with_sizes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     size = sets.select("id", "n")
     return pairs.select("a", "b").join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
@@ -420,11 +438,14 @@ def _with_both(df: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, na, nb, both of all pairs, whether similar or not."""
-    return _with_both(_with_sizes(pairs, sets), sets, "s").mapInArrow(_measure(np.uint64, False), _PAIR)
+    pairs, sets = _named(pairs, sets)
+    one, other = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_measure(np.uint64, False), _PAIR)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs whose sets (id, n, sig, s) are similar: sizes, then signatures, then whole sets."""
+    pairs, sets = _named(pairs, sets)
     near = _with_sizes(pairs, sets).filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     near = _with_both(near, sets, "sig").mapInArrow(_measure(np.uint16, True), _PAIR).filter(SIMILAR)
     return _with_both(near, sets, "s").mapInArrow(_measure(np.uint64, False), _PAIR).filter(SIMILAR).select("a", "b")
