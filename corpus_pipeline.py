@@ -90,7 +90,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with common.arrow_rows(spark, 500):
-        return pieces.encode(rows, keep=False).select("doc_id", "piece_ids").mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long")
+        return pieces.encode(rows, keep=False, then=digest, schema="doc_id long, n_pieces long, ids_crc32 long")
 
 
 STAGES = [

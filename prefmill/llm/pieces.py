@@ -34,7 +34,10 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 600_000
+#: Words and parts that a worker remembers, and the characters of the longest of them: 130 MB or so.
+CACHE, LONGEST = 600_000, 48
+#: Neighbours whose test is remembered.
+PAIRS = 500_000
 #: Bytes of text that are encoded together, if no single text is longer.
 SLICE = 12 << 20
 _WORD = re.compile(MARK + "+[^" + MARK + "]*")
@@ -85,7 +88,7 @@ class PieceModel:
         """Whether piece t may stand after piece p; p 0 is the beginning, or a character without a piece; p -1 no state."""
         piece = self.pieces[t]
         ok = p >= 0 and self.merge((self.pieces[p] if p else "") + piece) == ([self.pieces[p], piece] if p else [piece])
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[p << 24 | t] = ok
         return ok
@@ -149,15 +152,15 @@ class PieceModel:
         return out
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of those of the distinct words that are not known, as little-endian integers. CACHE words and parts stay
-        known, those seen first: mostly the common ones."""
+        """Ids of those of the distinct words that are not known, as little-endian integers. CACHE words and parts of
+        LONGEST characters at most stay known, those seen first: mostly the common ones."""
         known = self.known
         new = {w: self.cut(w) for w in words if w not in known}
         need = sorted({p for parts in new.values() for p in parts if p not in known})
         ids = {p: struct.pack(f"<{len(path)}I", *path) for p, path, _ in self.viterbi(need)}
         get = lambda p: ids.get(p) or known[p]
         ids |= {w: b"".join(map(get, parts)) for w, parts in new.items() if len(parts) > 1}
-        known.update(islice(ids.items(), max(0, CACHE - len(known))))
+        known.update(islice(((w, x) for w, x in ids.items() if len(w) <= LONGEST), max(0, CACHE - len(known))))
         return ids
 
     def encode(self, texts: list) -> list[bytes]:
@@ -191,22 +194,27 @@ def model(path: str | None = None) -> PieceModel:
     return _MODELS.get(path) or _MODELS.setdefault(path, PieceModel(path))
 
 
-def encode(docs: DataFrame, path: str | None = None, keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, keep: bool = True, then=None, schema: str | None = None) -> DataFrame:
     """The columns of docs and piece_ids array<int>. keep: a worker remembers words for its next task; where workers go on
-    to other work, that memory is better given back."""
+    to other work, that memory is better given back. then: makes of these batches, in the same worker, those of schema;
+    a mapInArrow of its own would be a second Python worker with a second model for each task."""
     kept = [c for c in docs.columns if c != "piece_ids"]
+    then = then or iter
 
-    def run(batches):
+    def encoded(batches):
         m = model(path)
         for b in batches:
             for some in common.slices(b, "_text", SLICE):
                 ids = common.flat_lists(*m.encode_array(some.column("_text")))
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in kept] + [ids], names=[*kept, "piece_ids"])
-        if not keep:
-            common.tidy(m.known, m.pairs)
+
+    def run(batches):
+        yield from then(encoded(batches))
+        m = model(path)
+        common.tidy(*(() if keep else (m.known, m.pairs)))
 
     rows = docs.select(*kept, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, docs.select(*kept).schema.add("piece_ids", T.ArrayType(T.IntegerType())))
+    return rows.mapInArrow(run, schema or docs.select(*kept).schema.add("piece_ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -243,4 +251,4 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and say whether the text came back."""
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with common.arrow_rows(spark, 4000):
-        return encode(docs).mapInArrow(_digest(None), "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
+        return encode(docs, then=_digest(None), schema="doc_id long, n_pieces long, ids_crc32 long, round_trip boolean")
