@@ -12,7 +12,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 
-QUERIES = ["dedup_flags", "dedup_rows", "dedup_trivial_tie", "near_dup_list", "pair_similarity", "tfidf_cosine_pairs"]
+QUERIES = ["cosine_hist_dense", "dedup_flags", "dedup_rows", "dedup_trivial_tie", "near_dup_list", "pair_similarity", "tfidf_cosine_pairs"]
 
 
 @pytest.fixture(scope="module")
