@@ -12,7 +12,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
 
-QUERIES = ["audit_log", "before_after_board", "cosine_hist_dense", "dedup_best_of_group", "dedup_flags", "dedup_rows", "dedup_trivial_tie", "exact_quantiles", "near_dup_count", "near_dup_list", "pair_similarity", "similarity_summary", "tfidf_cosine_pairs"]
+QUERIES = ["audit_log", "before_after_board", "cosine_hist_dense", "dedup_best_of_group", "dedup_flags", "dedup_meta", "dedup_rows", "dedup_trivial_tie", "exact_quantiles", "near_dup_count", "near_dup_list", "pair_similarity", "similarity_summary", "tfidf_cosine_pairs"]
 
 
 @pytest.fixture(scope="module")
